@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from examlake.fixed_values import SCORE_MAX
 
-NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER_PATTERN = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
 
 
 def parse_number(c: Column) -> Column:
     """Text (or number) to double; comma is the decimal mark, anything else becomes null.
 
-    The pattern keeps out literals only the JVM accepts, such as ``1d`` or ``NaN``.
+    The pattern keeps out literals only the JVM accepts, such as ``1d`` or ``NaN``. The input is
+    used once in the expression, so it is evaluated once.
     """
     text = F.replace(F.trim(c.cast("string")), F.lit(","), F.lit("."))
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    return F.regexp_extract(text, NUMBER_PATTERN, 1).try_cast("double")
 
 
 def parse_integer(c: Column) -> Column:

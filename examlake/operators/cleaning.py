@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from examlake.fixed_values import AGE_MAX, AGE_MIN, SCORE_MAX, SCORE_MIN, SCORES
-from examlake.functions.numeric import drop_nan
 from examlake.sources.raw_files import POSITION
 
 
@@ -24,13 +23,13 @@ class RangeRule:
     high: float | None = None
 
     def broken(self) -> Column:
-        # Null and NaN never break a rule.
-        value = drop_nan(F.col(self.column).cast("double"))
+        # Null and NaN never break a rule; Spark orders NaN above infinity.
+        value = F.col(self.column)
         checks = []
         if self.low is not None:
             checks.append(value < self.low)
         if self.high is not None:
-            checks.append(value > self.high)
+            checks.append((value > self.high) & (value <= float("inf")))
         return F.coalesce(reduce(or_, checks, F.lit(False)), F.lit(False))
 
 

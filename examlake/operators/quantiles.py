@@ -18,64 +18,54 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group; one column per named quantile.
 
-    ``percentile`` keeps all distinct values of a group in one task's memory. Here the rows are
-    first reduced to (group, value, count), then the ranks looked for are narrowed down twice by
-    counting rows per bucket: ``buckets`` equal slices of [low, high], then as many slices of each
-    slice that holds a wanted rank. Only values in the final slices are sorted. Values beyond the
-    range fall in the outer buckets, so the result is exact for any input.
+    ``percentile`` keeps all distinct values of a group in one task's memory. Here the wanted ranks
+    are located by counting. The first scan counts rows per bucket of [low, high], combined before
+    the shuffle. The second keeps only rows of buckets holding a wanted rank and counts them per
+    value; slices of those buckets narrow the ranks down again before any values are sorted.
+    Values beyond the range fall in the outer buckets, so the result is exact for any input.
+
+    The list of wanted buckets is broadcast: it has at most two rows per group and quantile, and
+    groups are a year with one of a few fixed labels.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
     width = (high - low) / buckets
-    coarse = _bucket(F.col("_v"), low, width, buckets)
-    counts = counts.withColumn("_b", coarse).withColumn(
-        "_s", _bucket(F.col("_v"), low + F.col("_b") * width, width / buckets, buckets)
-    )
-
-    per_bucket = counts.groupBy(*groups, "_b").agg(F.sum("_n").alias("_n"))
-    inside = Window.partitionBy(*groups)
-    per_bucket = per_bucket.withColumn("_total", F.sum("_n").over(inside))
-    per_bucket = _running(per_bucket, groups, "_b", F.lit(0))
-    wanted = per_bucket.filter(_holds_rank(quantiles)).select(
-        *groups, "_b", "_total", F.col("_before").alias("_base")
+    values = (
+        df.filter(F.col(value).isNotNull())
+        .select(*groups, F.col(value).alias("_v"))
+        .withColumn("_b", _bucket(F.col("_v"), F.lit(low), width, buckets))
     )
+    per_bucket = values.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
+    per_bucket = per_bucket.withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups)))
+    wanted = _holding_ranks(per_bucket, groups, "_b", F.lit(0), quantiles)
 
-    in_bucket = counts.join(wanted, [*groups, "_b"])
-    per_slice = in_bucket.groupBy(*groups, "_b", "_s", "_total", "_base").agg(
-        F.sum("_n").alias("_n")
-    )
-    per_slice = _running(per_slice, [*groups, "_b"], "_s", F.col("_base"))
-    wanted = per_slice.filter(_holds_rank(quantiles)).select(
-        *groups, "_b", "_s", "_total", F.col("_before").alias("_base")
+    slice_start = F.lit(low) + F.col("_b") * width
+    counts = (
+        values.join(F.broadcast(wanted), [*groups, "_b"])
+        .groupBy(*groups, "_b", "_total", "_base", "_v")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_s", _bucket(F.col("_v"), slice_start, width / buckets, buckets))
     )
+    per_slice = counts.groupBy(*groups, "_b", "_total", "_base", "_s").agg(F.sum("_n").alias("_n"))
+    wanted = _holding_ranks(per_slice, [*groups, "_b"], "_s", F.col("_base"), quantiles)
 
-    values = counts.join(wanted, [*groups, "_b", "_s"])
-    values = _running(values, [*groups, "_b", "_s"], "_v", F.col("_base"))
+    found = counts.drop("_base", "_total").join(F.broadcast(wanted), [*groups, "_b", "_s"])
+    found = _running(found, [*groups, "_b", "_s"], "_v", F.col("_base"))
     picks = []
     for name, q in quantiles.items():
         below, above = F.floor(_rank(q)), F.ceil(_rank(q))
         picks.append(F.max(F.when(_covers(below), F.col("_v"))).alias(f"_{name}_lo"))
         picks.append(F.max(F.when(_covers(above), F.col("_v"))).alias(f"_{name}_hi"))
         picks.append(F.max(_rank(q) - below).alias(f"_{name}_at"))
-    found = values.groupBy(*groups).agg(*picks)
-    return found.select(
-        *groups,
-        *[
-            (
-                F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_at")
-            ).alias(n)
-            for n in quantiles
-        ],
-    )
 
+    def interpolated(name: str) -> Column:
+        start, end = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return (start + (end - start) * F.col(f"_{name}_at")).alias(name)
+
+    return found.groupBy(*groups).agg(*picks).select(*groups, *[interpolated(n) for n in quantiles])
 
-def _bucket(value: Column, low, width: float, buckets: int) -> Column:
-    return F.greatest(
-        F.lit(0), F.least(F.floor((value - low) / width), F.lit(buckets - 1))
-    ).cast("int")
+
+def _bucket(value: Column, low: Column, width: float, buckets: int) -> Column:
+    inside = F.least(F.floor((value - low) / width), F.lit(buckets - 1))
+    return F.greatest(F.lit(0), inside).cast("int")
 
 
 def _running(df: DataFrame, groups: list[str], order: str, base: Column) -> DataFrame:
@@ -84,16 +74,20 @@ def _running(df: DataFrame, groups: list[str], order: str, base: Column) -> Data
     return df.withColumn("_before", base + F.coalesce(F.sum("_n").over(window), F.lit(0)))
 
 
+def _holding_ranks(
+    df: DataFrame, groups: list[str], order: str, base: Column, quantiles: dict[str, float]
+) -> DataFrame:
+    """The entries that hold a wanted rank, with the number of rows before them."""
+    checks = []
+    for q in quantiles.values():
+        checks += [_covers(F.floor(_rank(q))), _covers(F.ceil(_rank(q)))]
+    kept = _running(df, groups, order, base).filter(reduce(or_, checks))
+    return kept.select(*groups, order, "_total", F.col("_before").alias("_base"))
+
+
 def _rank(q: float) -> Column:
     return F.lit(q) * (F.col("_total") - 1)
 
 
 def _covers(rank: Column) -> Column:
     return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
-
-
-def _holds_rank(quantiles: dict[str, float]) -> Column:
-    checks = []
-    for q in quantiles.values():
-        checks += [_covers(F.floor(_rank(q))), _covers(F.ceil(_rank(q)))]
-    return reduce(or_, checks)

@@ -49,8 +49,8 @@ def standardize(df: DataFrame, year: int | Column, carry: tuple[str, ...] = ())
     """Project a raw frame to the canonical columns, in order and typed.
 
     Missing sources become typed nulls, unknown source columns are dropped and ``year`` fills in
-    where the row has none. ``carry`` passes technical columns (the row position) through. One
-    projection: it adds no shuffle and only the picked source columns are scanned.
+    where the row has none. ``carry`` passes technical columns (the row position) through. No
+    shuffle is added and only the picked source columns are scanned.
     """
     columns = {}
     for target, (kind, names) in CANONICAL_COLUMNS.items():
@@ -61,8 +61,10 @@ def standardize(df: DataFrame, year: int | Column, carry: tuple[str, ...] = ())
             columns[target] = coerce(F.col(f"`{source}`"), kind)
     default_year = year if isinstance(year, Column) else F.lit(year)
     columns["ANO"] = F.coalesce(columns["ANO"], default_year).cast("int")
-    columns = sanitize_ages(sanitize_scores(columns))
-    return df.select(*[c.alias(n) for n, c in columns.items()], *carry)
+    # Two projections: the range checks use a value several times, parsing it happens once.
+    typed = df.select(*[c.alias(n) for n, c in columns.items()], *carry)
+    checked = sanitize_ages(sanitize_scores({n: F.col(n) for n in columns}))
+    return typed.select(*[c.alias(n) for n, c in checked.items()], *carry)
 
 
 def rename_map() -> dict[str, str]:

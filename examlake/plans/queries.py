@@ -17,8 +17,9 @@ from examlake.streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the served queries; the derived exam years are 1995 to 2001.
-YEAR, STATE, TOWN, OTHER_TOWN = 1998, "PA", "sao tome d'oeste 5", "São Tomé d'Oeste 12"
+YEAR, STATE, TOWN, OTHER_TOWN = 1998, "CE", "sao tome d'oeste 14", "São Tomé d'Oeste 12"
 FIRST, LAST = 1996, 2000
+RACE_STATE = "MA"
 METRIC = "NOTA_MATEMATICA_mean"
 SUBJECT = "NOTA_MATEMATICA"
 DEFAULT_YEAR = 1990
@@ -317,7 +318,7 @@ def race_means(spark, sf):
 
 @query
 def race_means_filtered(spark, sf):
-    return serving.race_means(exam_rows(spark, sf), YEAR, STATE.lower())
+    return serving.race_means(exam_rows(spark, sf), YEAR, RACE_STATE.lower())
 
 
 @query
@@ -354,7 +355,7 @@ def stats_range(spark, sf):
 @query
 def geo_page(spark, sf):
     return serving.town_page(
-        towns(spark, sf), years=[1997, YEAR, 1999], states=["pa", "to", "ma"], min_count=5, limit=20, page=2
+        towns(spark, sf), years=[1997, YEAR, 1999], states=["ce", "to", "ma"], min_count=5, limit=20, page=2
     )
 
 

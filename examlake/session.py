@@ -14,6 +14,11 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.compression.codec": "snappy",
+    # The JVM never compiles methods over 8000 bytes of bytecode, so wide projections fused into one
+    # larger method run interpreted. Above this limit Spark evaluates them operator by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording the call site of every column expression multiplies the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
