@@ -43,7 +43,8 @@ def read_delimited(
     Lines with more fields than the header are dropped, shorter lines are padded with nulls and
     undecodable bytes replaced. ``position`` adds where each row stood (file, split offset, row),
     which later decides which copy of a duplicated row came first. Files stay splittable unless
-    ``multi_line`` is set for quoted line breaks.
+    ``multi_line`` is set for quoted line breaks. Lines are always parsed whole: with pruned
+    columns the parser no longer sees that a line is too long.
     """
     names = header_columns(spark, path, sep, encoding)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
@@ -56,6 +57,7 @@ def read_delimited(
             mode="PERMISSIVE",
             multiLine=multi_line,
             enforceSchema=True,
+            columnPruning=False,
             columnNameOfCorruptRecord=CORRUPT,
         )
         .schema(schema)
