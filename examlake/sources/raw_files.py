@@ -63,8 +63,10 @@ def read_delimited(
         .schema(schema)
         .csv(path)
     )
-    # A flagged line is either too long or too short; separators inside quotes do not count.
-    unquoted = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
+    # A flagged line is either too long or too short; separators inside quotes do not count. The
+    # first column is named because Spark refuses to count rows by the corrupt text alone.
+    line = F.coalesce(F.col(CORRUPT), F.col(f"`{names[0]}`"))
+    unquoted = F.regexp_replace(line, '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
     raw = raw.filter(F.col(CORRUPT).isNull() | (fields <= len(names)))
     kept = [n for n in names if columns is None or n in columns]
