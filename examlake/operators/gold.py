@@ -3,7 +3,7 @@
 from functools import reduce
 from operator import add, and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlake.fixed_values import (
@@ -262,6 +262,14 @@ def five_score_means(df: DataFrame) -> DataFrame:
     return valid.withColumn("MEDIA_5_DISC", round_half_even(mean, 2))
 
 
+def load_bands(spark: SparkSession, path: str | None = None) -> list[tuple]:
+    """Band table from a JSON file of {id, min, max, descricao} records, else the default bands."""
+    if path is None:
+        return MEAN_BANDS
+    rows = spark.read.option("multiLine", True).json(path).select("id", "min", "max", "descricao")
+    return sorted(tuple(r) for r in rows.collect())
+
+
 def state_bands(df: DataFrame, bands: list[tuple] = MEAN_BANDS, dense: bool = False) -> DataFrame:
     """People per year, state and band of the five-score mean; unknown states are "XX".
 

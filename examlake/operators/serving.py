@@ -18,12 +18,54 @@ from examlake.fixed_values import (
 )
 from examlake.functions.numeric import lookup, round_half_even
 from examlake.functions.text import fold, fold_text, is_ascii, title_case
-from examlake.operators.gold import GEO_COLUMNS
 
 TOWN = "NO_MUNICIPIO_PROVA"
 STATE = "SG_UF_PROVA"
 
 
+# Columns of the served rows; a trailing "?" marks those that may be missing.
+_MEANS = {f"{s}_{x}": t for s in SCORES for x, t in (("count", "int"), ("mean", "float?"))}
+STATE_ROW = {"ANO": "int", "SG_UF_PROVA": "text", "INSCRITOS": "int", **_MEANS}
+TOWN_ROW = {
+    "ANO": "int",
+    "SG_UF_PROVA": "text",
+    "CO_MUNICIPIO_PROVA": "text",
+    "NO_MUNICIPIO_PROVA": "text",
+    "INSCRITOS": "int?",
+    **_MEANS,
+}
+STATS_ROW = {
+    "ANO": "int",
+    "TOTAL_INSCRITOS": "int",
+    **{f"IDADE_{x}": "float?" for x in ("mean", "std", "min", "median", "max")},
+    **{
+        f"{s}_{x}": "int" if x == "count" else "float?"
+        for s in SCORES
+        for x in ("count", "mean", "std", "min", "median", "max")
+    },
+}
+
+
+def conforming_rows(df: DataFrame, row: dict[str, str]) -> DataFrame:
+    """Rows fit to be served: the row's columns in order, absent optional ones as nulls.
+
+    A row with a missing required value or a fractional count is left out.
+    """
+    types = {"int": "bigint", "float": "double", "text": "string"}
+    have = dict(df.dtypes)
+    checks, out = [], []
+    for name, kind in row.items():
+        base, required = kind.rstrip("?"), not kind.endswith("?")
+        c = F.col(name) if name in have else F.lit(None).cast(types[base])
+        if required:
+            checks.append(c.isNotNull())
+        if base == "int" and have.get(name) in ("double", "float"):
+            checks.append(c.isNull() | (c % 1 == 0))
+        wanted = "int" if name == "ANO" and have.get(name) == "int" else types[base]
+        out.append((c if have.get(name) == wanted else c.cast(wanted)).alias(name))
+    return df.filter(_all(checks)).select(*out)
+
+
 def _all(conditions: list[Column]) -> Column:
     return reduce(and_, conditions, F.lit(True))
 
@@ -97,6 +139,12 @@ def town_list(towns: DataFrame, state: str | None = None) -> DataFrame:
     return chosen.select(F.col("best.display").alias(TOWN)).orderBy(TOWN)
 
 
+def published_towns(spark: SparkSession) -> DataFrame:
+    """The municipality dimension, or the municipality table where it was not published."""
+    known = spark.catalog.tableExists("dim_municipio")
+    return spark.table("dim_municipio" if known else "gold_tb_notas_geo")
+
+
 def years_available(stats: DataFrame) -> DataFrame:
     counts = reduce(add, [F.coalesce(F.col(f"{s}_count"), F.lit(0)) for s in SCORES])
     return stats.filter(counts > 0).select("ANO").distinct().orderBy("ANO")
@@ -108,7 +156,7 @@ def stats_range(stats: DataFrame, start: int | None = None, end: int | None = No
         filters.append(F.col("ANO") >= start)
     if end is not None:
         filters.append(F.col("ANO") <= end)
-    return stats.filter(_all(filters)).orderBy("ANO")
+    return conforming_rows(stats.filter(_all(filters)), STATS_ROW).orderBy("ANO")
 
 
 # ------------------------------------------------------------------ municipalities and states
@@ -128,9 +176,7 @@ def filter_towns(
         filters.append(fold(F.col(TOWN)).isin([fold_text(n) for n in names]))
     if min_count > 0:
         filters += [F.col(f"{s}_count") >= min_count for s in SCORES]
-    return towns.filter(_all(filters)).select(
-        *[F.col(c).cast("string").alias(c) if c == "CO_MUNICIPIO_PROVA" else c for c in GEO_COLUMNS]
-    )
+    return conforming_rows(towns.filter(_all(filters)), TOWN_ROW)
 
 
 def order_towns(df: DataFrame) -> DataFrame:
@@ -173,7 +219,7 @@ def state_page(
         filters.append(F.col("ANO") == year)
     if state is not None:
         filters.append(F.col(STATE) == state.upper())
-    return states.filter(_all(filters)).orderBy("ANO", STATE)
+    return conforming_rows(states.filter(_all(filters)), STATE_ROW).orderBy("ANO", STATE)
 
 
 def histogram_one(histogram: DataFrame, year: int, subject: str) -> DataFrame:

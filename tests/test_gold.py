@@ -168,3 +168,10 @@ def test_year_counts(spark):
 def test_hot_town_is_combined_before_the_shuffle(spark):
     plan = gold.town_scores(place_frame(spark), unique_ids=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "partial_count" in plan
+
+
+def test_bands_from_a_file(spark, tmp_path):
+    path = tmp_path / "bands.json"
+    path.write_text('[{"id": 2, "min": 650, "max": 1000, "descricao": "high"}, {"id": 1, "min": 0, "max": 650, "descricao": "low"}]')
+    assert gold.load_bands(spark, str(path)) == [(1, 0, 650, "low"), (2, 650, 1000, "high")]
+    assert len(gold.load_bands(spark)) == 4

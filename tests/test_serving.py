@@ -177,3 +177,13 @@ def test_history_aligns_columns(spark):
     df = spark.createDataFrame([(2008, 1), (2010, 2)], "ANO int, TOTAL_INSCRITOS bigint")
     assert [r.INSCRITOS for r in views.history(df).collect()] == [2]
     assert [r.ANO for r in views.text_years(df).collect()] == ["2008", "2010"]
+
+
+def test_rows_that_do_not_fit_are_left_out(spark):
+    fields = "ANO int, SG_UF_PROVA string, INSCRITOS double" + "".join(f", {s}_count bigint" for s in SCORES)
+    df = spark.createDataFrame(
+        [(2023, "SP", 1000.0, *[5] * 5), (2023, "RJ", 100.5, *[5] * 5), (2023, None, 900.0, *[5] * 5), (2023, "BA", 900.0, *[None] * 5)],
+        fields,
+    )
+    rows = serving.state_page(df).collect()
+    assert [(r.SG_UF_PROVA, r.INSCRITOS, r.NOTA_REDACAO_mean) for r in rows] == [("SP", 1000, None)]
