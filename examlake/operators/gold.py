@@ -133,7 +133,7 @@ def year_stats(df: DataFrame, unique_ids: bool = False) -> DataFrame:
 
 # ------------------------------------------------------------------ places
 def _place_scores(df: DataFrame, keys: list[str], presence: bool, unique_ids: bool) -> DataFrame:
-    known = df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys if k != "ANO"]))
+    known = df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
     narrow = known.select(
         *keys,
         *[c for c in ["ID_INSCRICAO"] if c in df.columns],
@@ -147,11 +147,8 @@ def _place_scores(df: DataFrame, keys: list[str], presence: bool, unique_ids: bo
         measures.insert(0, enrolled_here(narrow).alias("INSCRITOS"))
     places = narrow.groupBy(*keys).agg(*measures)
     if total is not None:
-        # Both sides have one row per place; place names can be null-free here, the year may not.
-        renamed = [F.col(k).alias(f"_{k}") for k in keys]
-        total = total.select(*renamed, "INSCRITOS")
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        places = places.join(total, same, "left")
+        # Both sides are already partitioned by the keys, so this adds no shuffle.
+        places = places.join(total, keys, "left")
     score_columns = [c for c in GEO_COLUMNS if c.startswith("NOTA_")]
     return places.select(*keys, "INSCRITOS", *score_columns)
 
@@ -159,7 +156,7 @@ def _place_scores(df: DataFrame, keys: list[str], presence: bool, unique_ids: bo
 def town_scores(df: DataFrame, unique_ids: bool = False, presence: bool = True) -> DataFrame:
     """Per year and municipality: enrolment, and count and mean of each score of those present.
 
-    Rows without a complete place are left out. If a place or score column is missing altogether
+    Rows without a year or a complete place are left out. If a place or score column is missing altogether
     the result is empty but typed.
     """
     if not set([*GEO, *SCORES]) <= set(df.columns):

@@ -176,7 +176,9 @@ def filter_towns(
         filters.append(fold(F.col(TOWN)).isin([fold_text(n) for n in names]))
     if min_count > 0:
         filters += [F.col(f"{s}_count") >= min_count for s in SCORES]
-    return conforming_rows(towns.filter(_all(filters)), TOWN_ROW)
+    return towns.filter(_all(filters)).select(
+        *[F.col(c).cast("string").alias(c) if c == "CO_MUNICIPIO_PROVA" else c for c in TOWN_ROW]
+    )
 
 
 def order_towns(df: DataFrame) -> DataFrame:
@@ -195,7 +197,7 @@ def town_page(
 ) -> DataFrame:
     """One page of municipality rows with title-cased names."""
     rows = order_towns(filter_towns(towns, years, states, names, min_count))
-    rows = rows.offset((page - 1) * limit).limit(limit)
+    rows = conforming_rows(rows.offset((page - 1) * limit).limit(limit), TOWN_ROW)
     return order_towns(rows).withColumn(TOWN, title_case(F.col(TOWN)))
 
 

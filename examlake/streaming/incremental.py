@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
+from pyspark.sql.types import StructType
 
 from examlake.fixed_values import CLASS_COLUMNS
 from examlake.operators.classes import DEFAULT_CLASSES, ClassRule, apply_classes, class_counts
@@ -64,8 +65,8 @@ def stream_clean(silver: DataFrame, output: str, checkpoint: str, plan: Cleaning
     """New silver rows cleaned against themselves and against all rows cleaned before.
 
     Writes ``valid``, ``invalid``, ``duplicates`` and ``report`` below ``output``. The identifiers
-    seen so far are read from ``valid`` itself (key columns only), so there is no second store to
-    keep in step and the state may be as large as the table.
+    seen so far are read from ``valid`` itself (key columns only, and only the years the batch
+    brings), so there is no second store to keep in step and the state may be as large as the table.
     """
     spark = silver.sparkSession
 
@@ -75,7 +76,12 @@ def stream_clean(silver: DataFrame, output: str, checkpoint: str, plan: Cleaning
         passing, invalid = quarantine(batch, plan.ranges)
         first = keep_first(passing, keys, plan.order)
         again = later_copies(passing, keys, plan.order)
-        seen = _cleaned_before(spark, f"{output}/valid", batch_id, keys)
+        by_year = ["ANO"] if "ANO" in scope else []
+        stored = first.drop(POSITION).schema.add(BATCH, "integer")
+        seen = _cleaned_before(spark, f"{output}/valid", batch_id, keys, stored)
+        if seen is not None and by_year:
+            years = [r["ANO"] for r in batch.select("ANO").distinct().collect()]
+            seen = seen.filter(F.col("_seen_ANO").isin(years))
         if seen is not None:
             # Null-safe on every key, so a missing identifier is a value like any other.
             same = [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in keys]
@@ -89,8 +95,10 @@ def stream_clean(silver: DataFrame, output: str, checkpoint: str, plan: Cleaning
             "report": report,
         }
         for name, table in tables.items():
-            drop = [] if name == "report" else [c for c in [POSITION] if c in table.columns]
-            table.drop(*drop).write.mode("overwrite").parquet(f"{output}/{name}/{BATCH}={batch_id}")
+            writer = table.drop(POSITION).write.mode("overwrite")
+            if name == "valid" and by_year:
+                writer = writer.partitionBy("ANO").option("partitionOverwriteMode", "static")
+            writer.parquet(f"{output}/{name}/{BATCH}={batch_id}")
 
     _finish(
         silver.writeStream.foreachBatch(clean_batch)
@@ -101,12 +109,12 @@ def stream_clean(silver: DataFrame, output: str, checkpoint: str, plan: Cleaning
 
 
 def _cleaned_before(
-    spark: SparkSession, path: str, batch_id: int, keys: Sequence[str]
+    spark: SparkSession, path: str, batch_id: int, keys: Sequence[str], schema: StructType
 ) -> DataFrame | None:
     """Keys kept by earlier batches (a repeated batch must not see its own first attempt)."""
     if batch_id == 0:
         return None
-    table = spark.read.parquet(path).filter(F.col(BATCH) < batch_id)
+    table = spark.read.schema(schema).parquet(path).filter(F.col(BATCH) < batch_id)
     return table.select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
 
 

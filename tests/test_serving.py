@@ -77,11 +77,11 @@ def test_race_means(spark):
 
 def test_radar_and_years(spark):
     stats = spark.createDataFrame(
-        [(2023, *[10, 500.0] * 5), (2022, *[0, 0.0] * 5), (2021, *[None, None] * 5)],
-        "ANO int" + "".join(f", {s}_count bigint, {s}_mean double" for s in SCORES),
+        [(2023, 9, *[10, 500.0] * 5), (2022, 9, *[0, 0.0] * 5), (2021, 9, *[None, None] * 5)],
+        "ANO int, TOTAL_INSCRITOS bigint" + "".join(f", {s}_count bigint, {s}_mean double" for s in SCORES),
     )
     assert [r.ANO for r in serving.years_available(stats).collect()] == [2023]
-    assert [r.ANO for r in serving.stats_range(stats, 2022).collect()] == [2022, 2023]
+    assert [r.ANO for r in serving.stats_range(stats, 2021).collect()] == [2022, 2023]
     states = towns(spark).drop("CO_MUNICIPIO_PROVA", "NO_MUNICIPIO_PROVA")
     rows = {r.metric: r for r in serving.radar(stats, states, 2023, "ba").collect()}
     assert len(rows) == 5

@@ -59,6 +59,14 @@ def test_stream_clean_equals_batch(spark, arrivals, tmp_path):
         assert rows_of(got, "pos") == rows_of(getattr(batch, name).select("pos"), "pos")
 
 
+def test_first_batch_without_valid_rows(spark, arrivals, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for start, stop in ((4, 5), (5, 7)):
+        arrivals(start, stop)
+        incremental.stream_clean(stream(spark, arrivals), out, checkpoint, PLAN)
+    assert rows_of(incremental.read_cleaned(spark, out).select("pos"), "pos") == [(5,), (6,)]
+
+
 def test_repeated_batch_overwrites_itself(spark, arrivals, tmp_path):
     """A batch run again from the start (its checkpoint lost) must not see its own first attempt."""
     out = str(tmp_path / "out")
