@@ -482,7 +482,39 @@ def oracle_sql() -> dict[str, str]:
     audit_names = ", ".join(q(c) for c in EXAM_COLUMNS)
     untracked = sorted(c for c in EXAM_COLUMNS if c not in ("ID_INSCRICAO", "ANO", *SCORES))
     kpi = " + ".join(f"round(coalesce({s}_mean, 0), 1)" for s in SCORES)
+    town_rows = over(
+        "geo",
+        f"""SELECT ANO, SG_UF_PROVA, CAST(CO_MUNICIPIO_PROVA AS VARCHAR) AS CO_MUNICIPIO_PROVA, NO_MUNICIPIO_PROVA,
+INSCRITOS, {GEO_MEASURES} FROM geo WHERE {min_counts(1)}""",
+    )
+    # table -> (source, number of columns, has a year)
+    gold = {
+        "tb_notas": ("exam", 10, True),
+        "tb_notas_stats": ("stats", 37, True),
+        "tb_notas_geo": ("geo", 15, True),
+        "tb_notas_geo_uf": ("geo_uf", 13, True),
+        "tb_notas_histogram": ("hist", 5, True),
+        "tb_socio_economico": ("box", 8, True),
+        "tb_media_uf": ("bands", 5, True),
+        "dim_municipio": ("(SELECT 1 FROM dim WHERE SG_UF_PROVA IS NOT NULL)", 3, False),
+    }
     out = {
+        "audit_gold": over(
+            "exam stats geo geo_uf hist box bands dim",
+            " UNION ALL ".join(
+                f"SELECT 'gold' AS layer, '{t}' AS parquet_path, count(*) AS row_count, {n} AS column_count, "
+                f"{str(year).lower()} AS has_ano_column FROM {src}"
+                for t, (src, n, year) in gold.items()
+            ),
+        ),
+        "json_export": town_rows,
+        "csv_export": town_rows,
+        "lake_round_trip": over(
+            "exam",
+            f"""SELECT ANO, SG_UF_PROVA, count(*) AS n, {r4(f"avg({SUBJECT})", "mean")}
+FROM (SELECT ANO, SG_UF_PROVA, {SUBJECT} FROM exam WHERE ANO IN ({FIRST}, {YEAR})
+      UNION ALL SELECT ANO, SG_UF_PROVA, {SUBJECT} FROM exam WHERE ANO = {YEAR}) GROUP BY ANO, SG_UF_PROVA""",
+        ),
         "std_typed": STD_TYPED,
         "csv_round_trip": STD_TYPED,
         "stream_standardize": STD_TYPED,

@@ -428,13 +428,6 @@ def adhoc_sql(spark, sf):
     )
 
 
-@query
-def table_columns(spark, sf):
-    for name, df in {"gold_tb_notas_geo_uf": states(spark, sf), "gold_tb_notas_histogram": histogram(spark, sf)}.items():
-        df.createOrReplaceTempView(name)
-    return exports.describe_tables(spark, ("gold_tb_notas_geo_uf", "gold_tb_notas_histogram"))
-
-
 # ------------------------------------------------------------------ chart views
 @query
 def state_weighted(spark, sf):
@@ -552,6 +545,14 @@ def audit(spark, sf):
     return report.select(*[F.concat_ws(",", c).alias(c) if c in arrays else c for c in report.columns])
 
 
+@query
+def audit_gold(spark, sf):
+    """Row and column counts of every gold table."""
+    tables = gold_tables(exam_rows(spark, sf))
+    report = quality.audit_report([quality.audit_dataset(df, "gold", name) for name, df in tables.items()])
+    return report.select("layer", "parquet_path", "row_count", "column_count", "has_ano_column")
+
+
 @query
 def mask(spark, sf):
     rows = exam_rows(spark, sf).select(
@@ -610,6 +611,35 @@ def csv_round_trip(spark, sf):
     return standardize.standardize(read_delimited(spark, folder), DEFAULT_YEAR)
 
 
+@query
+def lake_round_trip(spark, sf):
+    """Written by year, one year appended a second time, two years read back with pruned columns."""
+    stored = lake.Lake(shared_folder(spark, "lake"))
+    rows = exam_rows(spark, sf)
+    stored.write(rows, "cleaned", compact=True)
+    stored.write(lake.only_years(rows, [YEAR]), "cleaned", append=True)
+    found = stored.read(spark, "cleaned", ["ANO", "SG_UF_PROVA", SUBJECT])
+    return lake.only_years(found, [FIRST, YEAR]).groupBy("ANO", "SG_UF_PROVA").agg(
+        F.count("*").alias("n"), F.avg(SUBJECT).alias("mean")
+    )
+
+
+@query
+def json_export(spark, sf):
+    folder = shared_folder(spark, "json")
+    page = serving.filter_towns(towns(spark, sf), min_count=1)
+    exports.export_json(page, folder)
+    return spark.read.schema(page.schema).json(folder)
+
+
+@query
+def csv_export(spark, sf):
+    folder = shared_folder(spark, "export")
+    page = serving.filter_towns(towns(spark, sf), min_count=1)
+    exports.export_csv(page, folder)
+    return spark.read.options(header=True, sep=";").schema(page.schema).csv(folder)
+
+
 # ------------------------------------------------------------------ incremental
 def line_stream(spark, sf):
     """The line items as a file stream, joined to the static tables."""
