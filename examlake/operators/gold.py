@@ -106,8 +106,11 @@ def year_stats(df: DataFrame, unique_ids: bool = False) -> DataFrame:
     stats = scores.groupBy("ANO").agg(*simple)
     if total is not None:
         stats = stats.join(total, "ANO", "left")
+    # Stacked rather than unpivoted: an unpivot inside a frame used twice is not planned alike both
+    # times, which would cost the quantiles a third scan.
+    pairs = [x for m in measures for x in (F.lit(m), F.col(m))]
     medians = exact_quantiles(
-        scores.select("ANO", *measures).unpivot(["ANO"], measures, "measure", "value"),
+        scores.select("ANO", F.stack(F.lit(len(measures)), *pairs).alias("measure", "value")),
         ["ANO", "measure"],
         "value",
         {"median": 0.5},

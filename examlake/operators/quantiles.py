@@ -1,7 +1,7 @@
 """Exact quantiles without gathering a group's values in one task."""
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +22,18 @@ def exact_quantiles(
     are located by counting. The first scan counts rows per bucket of [low, high], combined before
     the shuffle. The second keeps only rows of buckets holding a wanted rank and counts them per
     value; slices of those buckets narrow the ranks down again before any values are sorted.
-    Values beyond the range fall in the outer buckets, so the result is exact for any input.
+    Values beyond the range fall in the outer buckets, so the result is exact for any input. Rows with
+    a null group or value are left out.
 
     The list of wanted buckets is broadcast: it has at most two rows per group and quantile, and
     groups are a year with one of a few fixed labels.
     """
     width = (high - low) / buckets
+    # The null filters are said outright: joins would add them to one use of a frame only, and the
+    # second use would no longer be planned like the first and could not read its shuffle.
+    known = [F.col(c).isNotNull() for c in [*groups, value]]
     values = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(reduce(and_, known))
         .select(*groups, F.col(value).alias("_v"))
         .withColumn("_b", _bucket(F.col("_v"), F.lit(low), width, buckets))
     )
