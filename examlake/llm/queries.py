@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm import decontaminate, line_dedup, mixing, quality_rules, secret_ledger
+from examlake.llm import decontaminate, line_dedup, mixing, quality_rules, secret_ledger, substring_dedup, suffix_array
 from examlake.llm.common import table
 from examlake.session import shared_folder
 
@@ -62,3 +62,14 @@ def op8_secret_ledger(spark, sf):
         F.sha2(digest(base), 256).alias("base_sha256"),
         digest(F.col("found")).alias("spans"),
     )
+
+
+@query
+def op7_substring_dedup(spark, sf):
+    docs = substring_dedup.dedup_substrings(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_suffix_array(spark, sf):
+    return suffix_array.dedup_bytes(table(spark, sf, "documents")).drop("kept")
