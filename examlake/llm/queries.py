@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm import decontaminate, line_dedup, mixing, quality_rules, secret_ledger, substring_dedup, suffix_array
+from examlake.llm import decontaminate, line_dedup, mixing, quality_rules, secret_ledger, simhash_golay, substring_dedup, suffix_array
 from examlake.llm.common import table
 from examlake.session import shared_folder
 
@@ -73,3 +73,9 @@ def op7_substring_dedup(spark, sf):
 @query
 def op9_suffix_array(spark, sf):
     return suffix_array.dedup_bytes(table(spark, sf, "documents")).drop("kept")
+
+
+@query
+def op10_simhash_golay(spark, sf):
+    found = simhash_golay.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
