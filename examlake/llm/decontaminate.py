@@ -106,7 +106,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WORDS, percent: in
 def remove_documents(docs: DataFrame, items: DataFrame, n: int = WORDS, percent: int = 5) -> DataFrame:
     """``docs`` without the contaminated ones; all columns stay."""
     found = contamination(docs, items, n, percent).filter("contaminated").select("doc_id", "text_key").distinct()
-    bad = found.select(F.col("doc_id").alias(i := fresh("id")), F.col("text_key").alias(k := fresh("key")))
+    bad = small(stored(found, "contaminated")).select(F.col("doc_id").alias(i := fresh("id")), F.col("text_key").alias(k := fresh("key")))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad[i]) & (text_key(docs["text"]) == bad[k]), "left_anti")
 
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm import decontaminate, line_dedup, mixing, quality_rules, secret_ledger, simhash_golay, substring_dedup, suffix_array
+from examlake.llm import decontaminate, line_dedup, mixing, quality_rules, secret_ledger, simhash_golay, substring_dedup, suffix_array, token_shards, toxicity
 from examlake.llm.common import table
 from examlake.session import shared_folder
 
@@ -79,3 +79,14 @@ def op9_suffix_array(spark, sf):
 def op10_simhash_golay(spark, sf):
     found = simhash_golay.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op3_toxicity(spark, sf):
+    rows = toxicity.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted", "lang_threshold", "rejected")
+
+
+@query
+def op5_token_shards(spark, sf):
+    return token_shards.materialize(table(spark, sf, "documents"))

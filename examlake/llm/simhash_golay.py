@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlake.llm.anchors import list_parts
-from examlake.llm.common import ascii_lower, blank_words, fresh, full_text, stored, text_key
+from examlake.llm.common import ascii_lower, blank_words, fresh, full_text, small, stored, text_key
 
 SHINGLE, MOST_BITS = 3, 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -257,11 +257,26 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """``docs`` with one document of each component: the smallest id, then the smallest text key; all columns stay."""
-    found = near_duplicates(docs, most)
+    """``docs`` with one document of each component: the smallest id, then the smallest text key; all columns stay.
+
+    Rows repeated in full are one document. Only keys are moved: the texts pass a join with the keys of what goes.
+    """
+    found = stored(near_duplicates(docs, most), "simhash-found")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("best"))
-    kept = best.select(F.col("best.doc_id").alias(i := fresh("id")), F.col("best.text_key").alias(k := fresh("key"))).distinct()
-    joined = docs.withColumn(t := fresh("own"), text_key(docs["text"])).join(kept, docs["doc_id"].eqNullSafe(kept[i]) & (F.col(t) == kept[k]))
-    # Rows repeated in full are one document.
-    first = F.row_number().over(Window.partitionBy(docs["doc_id"], F.col(t)).orderBy(F.lit(0)))
-    return joined.withColumn(r := fresh("nth"), first).filter(F.col(r) == 1).select(*docs.columns)
+    first = (F.col("best.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("best.text_key") == F.col("text_key"))
+    rows = found.join(best, "root").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max(first).alias("first"))
+    i, k, t = fresh("id"), fresh("key"), fresh("own")
+    odd = stored(rows.filter("n > 1 or not first").select(F.col("doc_id").alias(i), F.col("text_key").alias(k), "first"), "simhash-odd")
+    named = docs.withColumn(t, text_key(docs["text"]))
+
+    def same(right: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(right[i]) & (F.col(t) == right[k])
+
+    gone = small(odd)
+    kept = named.join(gone, same(gone), "left_anti").select(*docs.columns)
+    again = odd.filter("first")
+    if again.limit(1).count():
+        once = F.row_number().over(Window.partitionBy(docs["doc_id"], F.col(t)).orderBy(F.lit(0)))
+        repeated = named.join(small(again), same(again), "left_semi").withColumn(r := fresh("nth"), once).filter(F.col(r) == 1)
+        kept = kept.unionByName(repeated.select(*docs.columns))
+    return kept
