@@ -12,7 +12,7 @@ doc as (select doc_id, {TOKENS} as w from documents),
 size as (select distinct n from gram),
 place as (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as i from doc, size where len(w) >= n),
 hit as (select p.doc_id, p.i, p.n, g.item from (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g from place) p join gram g on g.g = p.g and g.n = p.n),
-word as (select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(i, i + n)) as at from hit) group by 1),
+word as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(i, i + n)) as pos from hit) group by 1),
 found as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as ids from hit group by 1)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
