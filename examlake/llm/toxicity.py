@@ -83,7 +83,11 @@ class Model:
                 x[place] = self.embed(np.concatenate([codes[b:e] for _, b, e in group]))
             for w, (f, bias) in enumerate(zip(self.filters, self.bias)):
                 y = x[: len(x) - widest] @ f[0] if len(f) == 1 else sum(x[o : len(x) - widest + o] @ f[o] for o in range(len(f)))
-                top = np.maximum.reduceat(np.maximum(y + bias, 0), np.minimum(begins, len(y) - 1), axis=0)
+                y = np.maximum(y + bias, 0)
+                for (i, _, end), at, n in zip(group, begins, lengths):
+                    if end < offsets[i + 1]:  # a part's last words are whole windows in the next part only
+                        y[at + n - len(f) + 1 : at + n + widest] = 0
+                top = np.maximum.reduceat(y, np.minimum(begins, len(y) - 1), axis=0)
                 for (i, _, _), row in zip(group, top):
                     cell = slice(w * FILTERS, (w + 1) * FILTERS)
                     result[i, cell] = np.maximum(result[i, cell], row)
