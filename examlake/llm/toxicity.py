@@ -76,7 +76,7 @@ class Model:
                 k += 1
             group = jobs[first:k]
             lengths = np.array([e - b for _, b, e in group])
-            x = np.zeros((int(lengths.sum()) + widest * len(group), DIM), np.float32)
+            x = np.zeros((int(lengths.sum()) + widest * (len(group) + 1), DIM), np.float32)
             begins = np.cumsum(lengths + widest) - lengths - widest
             place = np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
             if len(place):
@@ -84,10 +84,12 @@ class Model:
             for w, (f, bias) in enumerate(zip(self.filters, self.bias)):
                 y = x[: len(x) - widest] @ f[0] if len(f) == 1 else sum(x[o : len(x) - widest + o] @ f[o] for o in range(len(f)))
                 y = np.maximum(y + bias, 0)
+                for beyond in range(1, widest):  # these windows would reach into the next text
+                    y[begins + lengths + beyond] = 0
                 for (i, _, end), at, n in zip(group, begins, lengths):
                     if end < offsets[i + 1]:  # a part's last words are whole windows in the next part only
                         y[at + n - len(f) + 1 : at + n + widest] = 0
-                top = np.maximum.reduceat(y, np.minimum(begins, len(y) - 1), axis=0)
+                top = np.maximum.reduceat(y, begins, axis=0)
                 for (i, _, _), row in zip(group, top):
                     cell = slice(w * FILTERS, (w + 1) * FILTERS)
                     result[i, cell] = np.maximum(result[i, cell], row)
