@@ -129,6 +129,9 @@ def anchor_rows(shape: Shape) -> Callable:
                 many = doc[first] != doc[first + size - 1] if shape.across_docs else size > 1
                 sure = np.repeat(many, size)
                 salt = np.where(sure, np.arange(len(a)) - np.repeat(first, size), 0)
+                # Back in the order of the texts: rows of one text next to each other take less room in a shuffle.
+                back = np.argsort(order)
+                a, t, s, n, doc, sure, salt = (x[back] for x in (a, t, s, n, doc, sure, salt))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a), pa.array(salt.astype(np.int32)), pa.array(rows[t]), pa.array(doc), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sure)],
                     ["anchor", "salt", "row", "doc", "at", "n", "sure"],
@@ -146,6 +149,7 @@ def repeated_anchors(symbols: DataFrame, shape: Shape) -> DataFrame:
     return seen.filter("again or sure").groupBy("row").agg(F.collect_set(F.struct("anchor", "at", "n", "heavy")).alias("anchors"))
 
 
+KEPT_BYTES = 5  # of a word's hash in a context; the 128-bit hash of a context is of whole ones
 CONTEXT_SCHEMA = "g bigint, c1 bigint, c2 bigint, row bigint, doc bigint, at int, n int, weight int, done boolean, context binary"
 CONTEXT_NAMES = ["g", "c1", "c2", "row", "doc", "at", "n", "weight", "done", "context"]
 
@@ -195,16 +199,22 @@ def context_rows(shape: Shape) -> Callable:
             else:
                 done = ~new
             weight = np.where(new, np.repeat(size, size), 1)
-            spread = mix(np.arange(len(g), dtype=U) + U(int(abs(int(row[0]))) & 0xFFFFFFFF)).view(np.int64)
+            # What is settled needs no hash and any group.
+            g, c1, c2 = np.where(done, np.arange(len(g)) % 4096, g), np.where(done, 0, c1), np.where(done, 0, c2)
+            back = np.argsort(order)
+            g, c1, c2, row, doc, at, n, weight, done, begin, length, whole = (
+                x[back] for x in (g, c1, c2, row, doc, at, n, weight, done, begin, length, whole)
+            )
+            narrow = values if values.itemsize == 1 else values.view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
             for lo in range(0, len(g), 20_000):
                 hi = min(lo + 20_000, len(g))
                 texts = [
-                    values[b : b + m].tobytes() if f and not w else None
-                    for b, m, f, w in zip(begin[lo:hi].tolist(), length[lo:hi].tolist(), new[lo:hi].tolist(), whole[lo:hi].tolist())
+                    None if d or w else narrow[b : b + m].tobytes()
+                    for b, m, d, w in zip(begin[lo:hi].tolist(), length[lo:hi].tolist(), done[lo:hi].tolist(), whole[lo:hi].tolist())
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.where(done, spread, g)[lo:hi]), pa.array(c1[lo:hi]), pa.array(c2[lo:hi]), pa.array(row[lo:hi]), pa.array(doc[lo:hi]),
+                        pa.array(g[lo:hi]), pa.array(c1[lo:hi]), pa.array(c2[lo:hi]), pa.array(row[lo:hi]), pa.array(doc[lo:hi]),
                         pa.array(at[lo:hi].astype(np.int32)), pa.array(n[lo:hi].astype(np.int32)), pa.array(weight[lo:hi].astype(np.int32)), pa.array(done[lo:hi]), pa.array(texts, pa.binary()),
                     ],
                     CONTEXT_NAMES,

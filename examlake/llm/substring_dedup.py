@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.anchors import Shape, U, groups, keyed_rows, repeated_spans
+from examlake.llm.anchors import KEPT_BYTES, Shape, U, groups, keyed_rows, repeated_spans
 from examlake.llm.common import blank_words, fresh
 
 WIDTH = 13
@@ -66,8 +66,12 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             picked = first[several]
             if len(picked):
                 texts = contexts.take(pa.array(open_[picked]))
-                offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) // 8
-                words = np.frombuffer(texts.buffers()[2], U)
+                offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) // KEPT_BYTES
+                packed = np.frombuffer(texts.buffers()[2], np.uint8)
+                packed = packed[: len(packed) // KEPT_BYTES * KEPT_BYTES].reshape(-1, KEPT_BYTES)
+                words = np.zeros((len(packed), 8), np.uint8)
+                words[:, :KEPT_BYTES] = packed
+                words = words.view(U).ravel()
                 windows = np.diff(offsets) - (WIDTH - 1)
                 owner = np.repeat(np.arange(len(picked)), windows)
                 step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
