@@ -17,7 +17,7 @@ def parse_number(c: Column) -> Column:
     The pattern keeps out literals only the JVM accepts, such as ``1d`` or ``NaN``. The input is
     used once in the expression, so it is evaluated once.
     """
-    text = F.replace(F.trim(c.cast("string")), F.lit(","), F.lit("."))
+    text = F.replace(F.trim(c.cast("string"), F.lit(" \t\n\x0b\f\r")), F.lit(","), F.lit("."))
     return F.regexp_extract(text, NUMBER_PATTERN, 1).try_cast("double")
 
 

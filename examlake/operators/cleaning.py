@@ -260,7 +260,7 @@ def enforce_ranges(
         .agg(F.count("*").alias("affected_rows"))
         .select(
             F.lit("numeric_range").alias("rule_type"),
-            F.substring(F.col("_reason"), len("range_") + 1, 10_000).alias("column"),
+            F.substr(F.col("_reason"), F.lit(len("range_") + 1)).alias("column"),
             F.coalesce(*issues).alias("issue"),
             "affected_rows",
         )

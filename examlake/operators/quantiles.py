@@ -43,7 +43,7 @@ def exact_quantiles(
 
     slice_start = F.lit(low) + F.col("_b") * width
     counts = (
-        values.join(F.broadcast(wanted), [*groups, "_b"])
+        values.join(wanted, [*groups, "_b"])
         .groupBy(*groups, "_b", "_total", "_base", "_v")
         .agg(F.count("*").alias("_n"))
         .withColumn("_s", _bucket(F.col("_v"), slice_start, width / buckets, buckets))
@@ -51,7 +51,7 @@ def exact_quantiles(
     per_slice = counts.groupBy(*groups, "_b", "_total", "_base", "_s").agg(F.sum("_n").alias("_n"))
     wanted = _holding_ranks(per_slice, [*groups, "_b"], "_s", F.col("_base"), quantiles)
 
-    found = counts.drop("_base", "_total").join(F.broadcast(wanted), [*groups, "_b", "_s"])
+    found = counts.drop("_base", "_total").join(wanted, [*groups, "_b", "_s"])
     found = _running(found, [*groups, "_b", "_s"], "_v", F.col("_base"))
     picks = []
     for name, q in quantiles.items():

@@ -64,19 +64,21 @@ def sanitize_report(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+SUMMARY_WIDTH = 60  # fixed display length of the list of towns
+
+
 def filter_summary(
     years: list[int] | None = None, states: list[str] | None = None, towns: list[str] | None = None
 ) -> str:
     """One line of text naming the filters a report was made with."""
-    parts = []
-    if years:
-        parts.append("Anos: " + ", ".join(str(y) for y in sorted(years)))
-    if states:
-        parts.append("UFs: " + ", ".join(sorted(states)))
-    if towns:
-        names = ", ".join(sorted(towns))
-        parts.append("Municípios: " + (names if len(names) <= 60 else names[:57] + "..."))
-    return " | ".join(parts) if parts else "Filtros: Todos os registros"
+    shown = {
+        label: ", ".join(map(str, sorted(values or ())))
+        for label, values in {"Anos": years, "UFs": states, "Municípios": towns}.items()
+    }
+    if len(shown["Municípios"]) > SUMMARY_WIDTH:
+        shown["Municípios"] = shown["Municípios"][: SUMMARY_WIDTH - 3] + "..."
+    named = [f"{label}: {text}" for label, text in shown.items() if text]
+    return " | ".join(named) or "Filtros: Todos os registros"
 
 
 def format_numbers(df: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def format_numbers(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def head_with_flag(df: DataFrame, order: list, rows: int = 2000) -> DataFrame:
+def head_with_flag(df: DataFrame, order: list, rows: int) -> DataFrame:
     """The first rows in the given order, each with a flag telling whether any were cut off.
 
     One row past the limit is read to know, so the windows never see more than ``rows + 1`` rows.

@@ -1,5 +1,6 @@
 """Parameterised queries over the gold tables."""
 
+import re
 from functools import reduce
 from operator import add, and_
 
@@ -196,8 +197,9 @@ def town_page(
     page: int = 1,
 ) -> DataFrame:
     """One page of municipality rows with title-cased names."""
-    rows = order_towns(filter_towns(towns, years, states, names, min_count))
-    rows = conforming_rows(rows.offset((page - 1) * limit).limit(limit), TOWN_ROW)
+    # Rows unfit to be served go before the page is cut, so that pages are full.
+    rows = conforming_rows(filter_towns(towns, years, states, names, min_count), TOWN_ROW)
+    rows = order_towns(rows).offset((page - 1) * limit).limit(limit)
     return order_towns(rows).withColumn(TOWN, title_case(F.col(TOWN)))
 
 
@@ -205,7 +207,7 @@ def town_count(towns: DataFrame, **filters) -> DataFrame:
     return filter_towns(towns, **filters).agg(F.count("*").alias("total"))
 
 
-def check_export_size(towns: DataFrame, ceiling: int = 50_000, **filters) -> int:
+def check_export_size(towns: DataFrame, ceiling: int, **filters) -> int:
     """Row count of an export; raises when a format built in one piece would exceed the ceiling."""
     total = town_count(towns, **filters).first()["total"]
     if total > ceiling:
@@ -384,21 +386,23 @@ def band_shares(counts: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ ad-hoc SQL
-def run_query(spark: SparkSession, sql: str, params: dict | list | None = None, row_limit: int = 50_000):
-    """Read-only SQL over the published views.
+LITERAL_OR_COMMENT = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
 
-    Statements that could change data are refused. A SELECT without a LIMIT gets ``row_limit``.
+
+def run_query(spark: SparkSession, sql: str, params: dict | list | None = None, row_limit: int | None = None):
+    """Read-only SQL over the published views; every row of the result, or the first ``row_limit``.
+
+    Statements with a verb that could change data are refused, whatever stands around the verb; literals and
+    comments don't count. What is left must be a query.
     """
     text = sql.strip().rstrip(";").strip()
-    lowered = text.lower()
-    if any(verb in lowered for verb in FORBIDDEN_SQL_VERBS):
+    words = re.findall(r"[a-z_]+", LITERAL_OR_COMMENT.sub(" ", text).lower())
+    if {v.strip() for v in FORBIDDEN_SQL_VERBS} & set(words):
         raise ValueError(f"statement refused in read-only mode: {sql[:50]}")
-    if not lowered.startswith(("select", "with", "describe", "show", "explain", "values", "from")):
+    if not words or words[0] not in ("select", "with", "describe", "desc", "show", "explain", "values", "from"):
         raise ValueError(f"only queries are allowed: {sql[:50]}")
     result = spark.sql(text, args=params) if params else spark.sql(text)
-    if lowered.startswith("select") and "limit" not in lowered:
-        result = result.limit(row_limit)
-    return result
+    return result if row_limit is None else result.limit(row_limit)
 
 
 def preview(spark: SparkSession, sql: str, rows: int = 20) -> DataFrame:

@@ -40,8 +40,9 @@ def raw_to_silver(
     layouts: dict[tuple[str, ...], list[str]] = {}
     for year in years:
         files = year_files(spark, raw_root, year)
-        header = tuple(header_columns(spark, files, encoding=encoding))
-        layouts.setdefault(header, []).extend(files)
+        # Each file is read by its own header: files of a year may hold their columns in other orders.
+        for file in files:
+            layouts.setdefault(tuple(header_columns(spark, [file], encoding=encoding)), []).append(file)
     file_year = year_from_path(F.col(f"{POSITION}.file"))
     parts = []
     for files in layouts.values():
@@ -68,8 +69,11 @@ def cleaned_to_classes(
 ) -> None:
     classes = apply_classes(only_years(lake.read(spark, "cleaned"), list(years)), rules)
     lake.write(classes, "classes")
-    written = only_years(lake.read(spark, "classes"), list(years))
-    lake.write(class_summary(written, [r.name for r in rules]), "classes_summary")
+    written = lake.read(spark, "classes")
+    names = [r.name for r in rules]
+    by_year = [class_summary(only_years(written, [y]), names).withColumn("ANO", F.lit(y)) for y in years]
+    # A folder for each year: building one year leaves the summaries of the others.
+    lake.write(reduce(DataFrame.unionByName, by_year), "classes_summary", partition_by=["ANO"])
 
 
 def gold_tables(cleaned: DataFrame, bands: list[tuple] = MEAN_BANDS) -> dict[str, DataFrame]:

@@ -70,20 +70,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out a scan that has fewer splits than the session has cores (one small row group).
-
-    Large inputs have more splits than cores and pass through without a shuffle. Hashing the nearly
-    unique ``keys`` avoids the sort that keeps a keyless repartition repeatable.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def exam_rows(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
     """Candidates of the batch tables; ``keyed`` keeps the row key."""
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
-    rows = exam_from(lines, table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier"))
+    rows = exam_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier"))
     return rows if keyed else rows.drop(*ROW_KEY)
 
 

@@ -580,7 +580,8 @@ WHERE RENDA_FAMILIAR NOT IN ('A', 'B', 'C') HAVING count(*) > 0""",
         "dedup_two_keys_rest": dedup("> 1"),
         "class_rows": CLASS_ROWS,
         "stream_classes": CLASS_ROWS,
-        "class_summary": class_summary("NU_IDADE > 17"),
+        "adhoc_sql_all": over("exam", "SELECT ID_INSCRICAO, ANO, NU_IDADE FROM exam"),
+        "class_summary": class_summary("TRUE"),
         "stream_class_summary": over(
             "classed",
             "SELECT class_name, coalesce(class_value, 'nan') AS class_value, count(*) AS total FROM ("

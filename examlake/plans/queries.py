@@ -193,9 +193,7 @@ def class_rows(spark, sf):
 
 @query
 def class_summary(spark, sf):
-    # Every age is over 17 here, which leaves a class empty but listed.
-    adults = exam_rows(spark, sf).filter(F.col("NU_IDADE") > 17)
-    return classes.class_summary(classes.apply_classes(adults))
+    return classes.class_summary(classes.apply_classes(exam_rows(spark, sf)))
 
 
 @query
@@ -428,6 +426,13 @@ def adhoc_sql(spark, sf):
     )
 
 
+@query
+def adhoc_sql_all(spark, sf):
+    """A plain SELECT returns every row."""
+    exam_rows(spark, sf).createOrReplaceTempView("exam_rows_view")
+    return serving.run_query(spark, "SELECT ID_INSCRICAO, ANO, NU_IDADE FROM exam_rows_view")
+
+
 # ------------------------------------------------------------------ chart views
 @query
 def state_weighted(spark, sf):

@@ -118,7 +118,11 @@ def test_town_bands_do_not_round_or_cap(spark):
 def test_guarded_sql(spark):
     towns(spark).createOrReplaceTempView("t_geo")
     assert serving.run_query(spark, "SELECT * FROM t_geo;", row_limit=2).count() == 2
-    assert serving.run_query(spark, "SELECT * FROM t_geo LIMIT 4", row_limit=2).count() == 4
+    assert serving.run_query(spark, "SELECT * FROM t_geo LIMIT 4", row_limit=2).count() == 2
+    assert serving.run_query(spark, "SELECT id, 'limit' AS x FROM range(60000)").count() == 60_000
+    assert serving.run_query(spark, "SELECT 'drop table' AS x -- insert").count() == 1
+    with pytest.raises(ValueError):
+        serving.run_query(spark, "WITH x AS (SELECT 1) INSERT\nOVERWRITE DIRECTORY '/tmp/x' SELECT * FROM x")
     assert serving.run_query(spark, "SELECT * FROM t_geo WHERE ANO = :y", {"y": 2022}).count() == 1
     assert serving.preview(spark, "SELECT * FROM t_geo", 3).count() == 3
     for bad in ("DROP TABLE t_geo", "select 1; delete from t_geo", "CREATE TABLE x AS SELECT 1", "INSERT INTO t_geo VALUES (1)"):
