@@ -112,7 +112,7 @@ class Shard:
     """The suffix array of some contexts laid end to end."""
 
     def __init__(self, texts: list[bytes], width: int = WIDTH):
-        self.width = width
+        self.width, self.texts = width, texts
         self.data = np.frombuffer(bytes([END]).join(texts) + bytes([END]), np.uint8)
         lengths = np.array([len(t) for t in texts], np.int64)
         windows = lengths - (width - 1)
@@ -129,11 +129,13 @@ class Shard:
         number[self.order] = np.cumsum(self.shared < self.width) - 1
         return number[self.window_at]
 
-    def holds(self, other: "Shard") -> np.ndarray:
-        """Which windows of ``other`` start a suffix here: a binary search for each, all at once."""
+    def holds(self, other: "Shard", texts: np.ndarray) -> np.ndarray:
+        """Which windows of the marked ``texts`` of ``other`` start a suffix here: a binary search for each, all at once."""
         out = np.zeros(len(other.window_at), bool)
-        for begin in range(0, len(out), 20_000):
-            at = other.window_at[begin : begin + 20_000]
+        wanted_at = np.flatnonzero(texts[other.owner])
+        for begin in range(0, len(wanted_at), 20_000):
+            part = wanted_at[begin : begin + 20_000]
+            at = other.window_at[part]
             wanted = _windows(other.data, at, self.width)
             low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
             while (low < high).any():
@@ -142,7 +144,7 @@ class Shard:
                 low, high = np.where(less, middle + 1, low), np.where(less | (low >= high), high, middle)
             found = low < len(self.order)
             there = _windows(self.data, self.order[np.minimum(low, len(self.order) - 1)], self.width)
-            out[begin : begin + 20_000] = found & (there == wanted).all(axis=1)
+            out[part] = found & (there == wanted).all(axis=1)
         return out
 
 
@@ -161,24 +163,27 @@ def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def repeated_windows(texts: list[bytes], group: np.ndarray, weight: np.ndarray, width: int = WIDTH, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
     """(text, first byte) of the windows found more than once among ``texts`` of a group; a text counts ``weight`` times.
 
-    Texts come sorted by group. Shards hold ``shard`` bytes; those that share a group look each other's windows up.
+    Texts come sorted by group. Shards hold ``shard`` bytes and whole groups; only a group too large for one takes several, which
+    look each other's windows up.
     """
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    total = np.cumsum(sizes)
+    total = np.cumsum([len(t) + 1 for t in texts])
     text_out, at_out = [], []
-    begin, kept = 0, []  # shards before this one that hold its first group
+    begin, kept = 0, []  # shards before this one that hold nothing but its first group
     while begin < len(texts):
         end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + shard, side="right")))
+        if end < len(texts) and group[begin] != group[end]:
+            end = int(np.searchsorted(group, group[end]))
         piece = Shard(texts[begin:end], width)
         number = piece.classes()
         repeated = np.bincount(number, weights=weight[begin:end][piece.owner])[number] > 1
-        kept = [(b, s) for b, s in kept if group[b + len(np.unique(s.owner)) - 1] == group[begin]]
+        kept = [(b, s) for b, s in kept if group[b] == group[begin]]
         for b, earlier in kept:
-            repeated |= earlier.holds(piece)
-            again = piece.holds(earlier)
+            repeated |= earlier.holds(piece, group[begin:end] == group[begin])
+            again = piece.holds(earlier, np.ones(len(earlier.texts), bool))
             text_out.append(b + earlier.owner[again]), at_out.append(earlier.step[again])
         text_out.append(begin + piece.owner[repeated]), at_out.append(piece.step[repeated])
-        kept.append((begin, piece))
+        if group[end - 1] == group[begin]:
+            kept.append((begin, piece))
         begin = end
     return np.concatenate(text_out), np.concatenate(at_out)
 
