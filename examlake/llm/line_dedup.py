@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm.common import BLANKS, ascii_lower, fresh, full_text, stored, text_key
+from examlake.llm.common import BLANKS, ascii_lower, fresh, full_text, small, stored, text_key
 from examlake.session import shared_folder
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -102,7 +102,8 @@ def repeated_lines(docs: DataFrame, batches: int = 4, least_docs: int = LEAST_DO
     runs = LineRuns(spark)
     for i in range(len(bounds) + 1):
         runs.add(hashes.filter(F.col("batch") == i).select("doc_id", *HASH))
-    spread = runs.totals().filter(F.col("n") >= least_docs).select(*HASH, "owner")
+    # Stored, so that its rows are counted before a broadcast; else both sides are plain shuffles, whose hot hashes can be split.
+    spread = small(stored(runs.totals().filter(F.col("n") >= least_docs).select(*HASH, "owner"), "spread-lines"))
     drops = hashes.join(spread, HASH).filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
     return drops.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("drop"))
 
