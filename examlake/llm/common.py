@@ -43,10 +43,10 @@ def fresh(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read from there: computed once, its size known, its lineage cut."""
     folder = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -210,7 +210,7 @@ def materialize(
     with open(tokenizer, "rb") as f:
         vocabulary = f.read()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), full_text().alias("text"))
-    tokens = stored(texts.mapInArrow(tokenize(vocabulary), TOKEN_SCHEMA), "tokens")
+    tokens = stored(texts.mapInArrow(tokenize(vocabulary), TOKEN_SCHEMA), "tokens", "zstd")
     # One row per task of the step before.
     sums = tokens.groupBy("task").agg(F.sum("n").alias("sum"))
     before = F.sum("sum").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow))
