@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -109,9 +110,10 @@ def tokenize(vocabulary: bytes):
 
 
 def pieces(length: int, total: int, per_shard: int, tasks: int, key: int):
-    """Parts of texts by the sequence they fall in: ``part, slot, at, doc_id, tokens``."""
+    """Parts of texts by the sequence they fall in: ``part, slot, at, doc_id, tokens``, the tokens compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             start, ids = batch.column(0).to_numpy(), batch.column(1)
             n, tokens = batch.column(2).to_numpy().astype(np.int64), batch.column(3)
@@ -128,7 +130,7 @@ def pieces(length: int, total: int, per_shard: int, tasks: int, key: int):
                 for o, a, b in zip(owner[s].tolist(), (low - start[owner])[s].tolist(), (high - start[owner])[s].tolist()):
                     if o != last:
                         last, data = o, memoryview(tokens[o].as_py())
-                    parts.append(data[2 * a : 2 * b])
+                    parts.append(pack(data[2 * a : 2 * b]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((slot[s] // per_shard % tasks).astype(np.int32)), pa.array(slot[s]), pa.array((low % length)[s].astype(np.int32)),
@@ -151,6 +153,7 @@ def write_shards(folder: str, length: int, per_shard: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(folder)
+        unpack = zstandard.ZstdDecompressor().decompress
         attempt = TaskContext.get().taskAttemptId()
         rows: list[tuple] = []
         sink, shard, slot, record, docs = None, None, None, bytearray(), []
@@ -182,7 +185,7 @@ def write_shards(folder: str, length: int, per_shard: int):
                         close()
                         shard = to // per_shard
                         sink = files.open_output_stream(f"{root}/.{shard:08d}.{attempt}")
-                record.extend(tokens)
+                record.extend(unpack(tokens))
                 docs.append(doc)
             if len(rows) >= 1000:
                 yield made()
