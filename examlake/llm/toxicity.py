@@ -121,7 +121,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col(i)).select(
         F.col(i).alias("doc_id"), F.col(y).alias("toxic"), docs["lang"], word_codes(full_text(docs["text"])).alias("codes")
     )
-    return rows.filter(F.size("codes") <= MOST_WORDS).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    # By Arrow, so that the driver holds arrays of numbers instead of Python lists.
+    table = rows.filter(F.size("codes") <= MOST_WORDS).dropDuplicates(["doc_id"]).toArrow()
+    return table.to_pandas().sort_values("doc_id")
 
 
 def train(rows: pd.DataFrame, updates: int = 900, docs_per_step: int = 32, rate: float = 0.05) -> Model:
