@@ -113,7 +113,7 @@ def pieces(length: int, total: int, per_shard: int, tasks: int, key: int):
     """Parts of texts by the sequence they fall in: ``part, slot, at, doc_id, tokens``, the tokens compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=9).compress
         for batch in batches:
             start, ids = batch.column(0).to_numpy(), batch.column(1)
             n, tokens = batch.column(2).to_numpy().astype(np.int64), batch.column(3)
