@@ -158,10 +158,11 @@ def outside_domain(df: DataFrame, rules: Sequence[DomainRule]) -> Column:
     for rule in rules:
         value = F.col(rule.column)
         if is_numeric(df, rule.column):
-            value, allowed = value.cast("double"), [float(v) for v in rule.allowed]
+            # Text among the allowed values matches no number.
+            value, allowed = value.cast("double"), [F.lit(str(v)).try_cast("double") for v in rule.allowed]
         else:
             allowed = [str(v) for v in rule.allowed]
-        check = value.isNotNull() & ~value.isin(allowed)
+        check = value.isNotNull() & ~F.coalesce(value.isin(allowed), F.lit(False))
         if rule.year is not None and "ANO" in df.columns:
             check = check & (F.col("ANO") == rule.year)
         checks.append(F.coalesce(check, F.lit(False)))
