@@ -199,12 +199,13 @@ def context_rows(shape: Shape) -> Callable:
             else:
                 done = ~new
             weight = np.where(new, np.repeat(size, size), 1)
-            # What is settled needs no hash and any group.
-            g, c1, c2 = np.where(done, np.arange(len(g)) % 4096, g), np.where(done, 0, c1), np.where(done, 0, c2)
             back = np.argsort(order)
             g, c1, c2, row, doc, at, n, weight, done, begin, length, whole = (
                 x[back] for x in (g, c1, c2, row, doc, at, n, weight, done, begin, length, whole)
             )
+            # What is settled needs no hash and any group; neighbours of one text stay together, in blocks, and take less room.
+            block = mix(row.view(U) + (np.arange(len(g)) // 64).astype(U)).view(np.int64)
+            g, c1, c2 = np.where(done, block, g), np.where(done, 0, c1), np.where(done, 0, c2)
             narrow = values if values.itemsize == 1 else values.view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
             for lo in range(0, len(g), 20_000):
                 hi = min(lo + 20_000, len(g))
