@@ -21,7 +21,7 @@ MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 CHUNK = 1 << 20  # symbols worked on at once; above it a text is a chunk of its own
 POSITION_BITS = U(32)
 
-ANCHOR_SCHEMA = "anchor bigint, salt int, row bigint, doc bigint, at int, n int, sure boolean"
+ANCHOR_SCHEMA = "anchor bigint, salt int, row bigint, at int, sure boolean"
 # More occurrences than this, and a group's windows are compared one by one, by the hash of the whole window.
 HEAVY = 20_000
 NO_DOC = -(1 << 63)  # stands for a null id
@@ -92,6 +92,16 @@ def chunks(lengths: np.ndarray) -> Iterator[slice]:
         yield slice(begin, len(lengths))
 
 
+def all_anchors(values: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+    """Anchors of a batch of texts, in the order of the texts."""
+    found = [(np.zeros(0, np.int64),) * 4]
+    for part in chunks(np.diff(offsets)):
+        low, high = offsets[part.start], offsets[part.stop]
+        a, t, s, n = find_anchors(values[low:high], offsets[part.start : part.stop] - low, shape)
+        found.append((a, t + part.start, s, n))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of a list<int64> or of a binary column, without copying them to Python objects."""
     if pa.types.is_binary(column.type) or pa.types.is_string(column.type):
@@ -112,17 +122,10 @@ def anchor_rows(shape: Shape) -> Callable:
         for batch in batches:
             rows, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             values, offsets = list_parts(batch.column(2))
-            found = []
-            for part in chunks(np.diff(offsets)):
-                low, high = offsets[part.start], offsets[part.stop]
-                a, t, s, n = find_anchors(values[low:high], offsets[part.start : part.stop] - low, shape)
-                found.append((a, t + part.start, s, n))
-            if not found:
-                continue
-            a, t, s, n = (np.concatenate(x) for x in zip(*found))
+            a, t, s, _ = all_anchors(values, offsets, shape)
             doc = docs[t]
             order = np.lexsort((doc, a))
-            a, t, s, n, doc = a[order], t[order], s[order], n[order], doc[order]
+            a, t, s, doc = a[order], t[order], s[order], doc[order]
             if len(a):
                 first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
                 size = np.diff(np.append(first, len(a)))
@@ -131,26 +134,31 @@ def anchor_rows(shape: Shape) -> Callable:
                 salt = np.where(sure, np.arange(len(a)) - np.repeat(first, size), 0)
                 # Back in the order of the texts: rows of one text next to each other take less room in a shuffle.
                 back = np.argsort(order)
-                a, t, s, n, doc, sure, salt = (x[back] for x in (a, t, s, n, doc, sure, salt))
+                a, t, s, sure, salt = (x[back] for x in (a, t, s, sure, salt))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(salt.astype(np.int32)), pa.array(rows[t]), pa.array(doc), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sure)],
-                    ["anchor", "salt", "row", "doc", "at", "n", "sure"],
-                )
+                    [pa.array(a), pa.array(salt.astype(np.int32)), pa.array(rows[t]), pa.array(s.astype(np.int32)), pa.array(sure)],
+                    ["anchor", "salt", "row", "at", "sure"],
+                )
 
     return scan
 
 
 def repeated_anchors(symbols: DataFrame, shape: Shape) -> DataFrame:
-    """Per ``row`` of ``symbols`` (row, doc, symbols): ``anchors``, the (anchor, at, n, heavy) that occur elsewhere too."""
+    """Per ``row`` of ``symbols`` (row, doc, symbols): ``anchors``, the (at, heavy) that occur elsewhere too.
+
+    With ``across_docs``, different rows stand for different documents here; rows of one id are told apart later.
+    """
     rows = symbols.mapInArrow(anchor_rows(shape), ANCHOR_SCHEMA)
     group = Window.partitionBy("anchor", "salt")
-    again = F.min("doc").over(group) != F.max("doc").over(group) if shape.across_docs else F.count("*").over(group) > 1
+    again = F.min("row").over(group) != F.max("row").over(group) if shape.across_docs else F.count("*").over(group) > 1
     seen = rows.withColumns({"again": again, "heavy": F.count("*").over(group) > HEAVY})
-    return seen.filter("again or sure").groupBy("row").agg(F.collect_set(F.struct("anchor", "at", "n", "heavy")).alias("anchors"))
+    return seen.filter("again or sure").groupBy("row").agg(F.collect_set(F.struct("at", "heavy")).alias("anchors"))
 
 
-KEPT_BYTES = 5  # of a word's hash in a context; the 128-bit hash of a context is of whole ones
-CONTEXT_SCHEMA = "g bigint, c1 bigint, c2 bigint, row bigint, doc bigint, at int, n int, weight int, done boolean, context binary"
+KEPT_BYTES = 5  # of a word's hash in a context
+CONTEXT_SCHEMA = "g bigint, row bigint, doc bigint, at int, n int, weight int, done boolean, context binary"
+HASH_BYTES = 16  # a context of one window is sent as its hash alone; others are longer
+SENT_NAMES = ["g", "row", "doc", "at", "n", "weight", "done", "context"]
 CONTEXT_NAMES = ["g", "c1", "c2", "row", "doc", "at", "n", "weight", "done", "context"]
 
 
@@ -169,8 +177,12 @@ def context_rows(shape: Shape) -> Callable:
             flat = anchors.values
             owner = np.repeat(np.arange(len(anchors)), np.diff(anchors.offsets.to_numpy()))
             low = int(anchors.offsets[0].as_py()) if len(anchors) else 0
-            a, at, n, heavy = (flat.field(i).to_numpy(zero_copy_only=False)[low : low + len(owner)] for i in range(4))
-            at, n = at.astype(np.int64), n.astype(np.int64)
+            at, heavy = (flat.field(i).to_numpy(zero_copy_only=False)[low : low + len(owner)] for i in range(2))
+            at = at.astype(np.int64)
+            # Found again rather than shuffled: a text's anchors follow from its symbols.
+            a, text, first, n = all_anchors(values, offsets, shape)
+            of = np.searchsorted((text << 32) + first, (owner << 32) + at)
+            a, n = a[of], n[of]
             if heavy.any():  # one window each
                 light, reps = np.flatnonzero(~heavy), np.repeat(np.flatnonzero(heavy), n[heavy])
                 step = np.arange(len(reps)) - np.repeat(np.cumsum(n[heavy]) - n[heavy], n[heavy])
@@ -205,20 +217,21 @@ def context_rows(shape: Shape) -> Callable:
             )
             # What is settled needs no hash and any group; neighbours of one text stay together, in blocks, and take less room.
             block = mix(row.view(U) + (np.arange(len(g)) // 64).astype(U)).view(np.int64)
-            g, c1, c2 = np.where(done, block, g), np.where(done, 0, c1), np.where(done, 0, c2)
+            g = np.where(done, block, g)
+            hashes = np.stack([c1, c2], axis=1)
             narrow = values if values.itemsize == 1 else values.view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
             for lo in range(0, len(g), 20_000):
                 hi = min(lo + 20_000, len(g))
                 texts = [
-                    None if d or w else narrow[b : b + m].tobytes()
-                    for b, m, d, w in zip(begin[lo:hi].tolist(), length[lo:hi].tolist(), done[lo:hi].tolist(), whole[lo:hi].tolist())
+                    None if d else hashes[i].tobytes() if w else narrow[b : b + m].tobytes()
+                    for i, b, m, d, w in zip(range(lo, hi), begin[lo:hi].tolist(), length[lo:hi].tolist(), done[lo:hi].tolist(), whole[lo:hi].tolist())
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(g[lo:hi]), pa.array(c1[lo:hi]), pa.array(c2[lo:hi]), pa.array(row[lo:hi]), pa.array(doc[lo:hi]),
+                        pa.array(g[lo:hi]), pa.array(row[lo:hi]), pa.array(doc[lo:hi]),
                         pa.array(at[lo:hi].astype(np.int32)), pa.array(n[lo:hi].astype(np.int32)), pa.array(weight[lo:hi].astype(np.int32)), pa.array(done[lo:hi]), pa.array(texts, pa.binary()),
                     ],
-                    CONTEXT_NAMES,
+                    SENT_NAMES,
                 )
 
     return cut
@@ -281,7 +294,15 @@ def repeated_spans(keyed: DataFrame, symbols: Callable, shape: Shape, judge: Cal
     anchors = repeated_anchors(keyed.select("row", doc, made), shape)
     joined = keyed.join(anchors, "row").select("row", doc, made, "anchors")
     contexts = joined.mapInArrow(context_rows(shape), CONTEXT_SCHEMA)
-    parted = contexts.repartition(F.col("g")).sortWithinPartitions("g", "c1", "c2", "doc")
+    # The hash that tells contexts apart is made after the shuffle, which carries what it is made of.
+    hashed = contexts.repartition(F.col("g")).withColumns(
+        {
+            "c1": F.xxhash64("context"),
+            "c2": F.xxhash64(F.lit(7), "context"),
+            "context": F.when(F.octet_length("context") > HASH_BYTES, F.col("context")),
+        }
+    )
+    parted = hashed.select(*CONTEXT_NAMES).sortWithinPartitions("g", "c1", "c2", "doc")
     marks = parted.mapInArrow(judge, "row bigint, at int, n int")
     return marks.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
