@@ -191,9 +191,15 @@ def score_histogram(
 
     Rows are counted per bin before anything is widened. Each subject's counts then fit a map of
     at most ``bins`` entries, from which the full row of bins is read off.
+
+    Scores that are missing as columns have no bins; without any score column the result is empty but typed.
     """
     width = (high - low) / bins
     present = [s for s in SCORES if s in df.columns]
+    if not present:
+        return df.sparkSession.createDataFrame(
+            [], "ANO int, DISCIPLINA string, BIN_START double, BIN_END double, CONTAGEM bigint"
+        )
     long = (
         df.select("ANO", *[within(drop_nan(F.col(s).cast("double")), low, high).alias(s) for s in present])
         .unpivot(["ANO"], present, "DISCIPLINA", "value")
@@ -223,9 +229,14 @@ def score_histogram(
 def income_boxes(df: DataFrame) -> DataFrame:
     """Five-number summary of the general score per year and income class.
 
-    Only people present at all four exams with a regular essay count.
+    Only people present at all four exams with a regular essay count. If a column this needs is missing
+    altogether, the result is empty but typed.
     """
     flags = ["TP_PRESENCA_CN", "TP_PRESENCA_CH", "TP_PRESENCA_LC", "TP_PRESENCA_MT", "TP_STATUS_REDACAO"]
+    if not {"ANO", "Q006", *flags, *SCORES} <= set(df.columns):
+        return df.sparkSession.createDataFrame(
+            [], "CLASSE string, LOW double, Q1 double, MEDIAN double, Q3 double, HIGH double, COUNT bigint, ANO int"
+        )
     complete = df.filter(reduce(and_, [F.col(c) == 1 for c in flags]))
     scored = complete.select(
         "ANO",
@@ -273,8 +284,13 @@ def load_bands(spark: SparkSession, path: str | None = None) -> list[tuple]:
 def state_bands(df: DataFrame, bands: list[tuple] = MEAN_BANDS, dense: bool = False) -> DataFrame:
     """People per year, state and band of the five-score mean; unknown states are "XX".
 
-    ``dense`` lists every band of each state and year, with zero where nobody falls in it.
+    ``dense`` lists every band of each state and year, with zero where nobody falls in it. Without the state
+    or any score column the result is empty but typed.
     """
+    if "SG_UF_PROVA" not in df.columns or not set(SCORES) & set(df.columns):
+        return df.sparkSession.createDataFrame(
+            [], "ANO int, SG_UF_PROVA string, ID_FAIXA int, DESCRICAO_FAIXA string, QTD_ALUNOS bigint"
+        )
     mean = F.col("MEDIA_5_DISC")
     keys = ["ANO", "SG_UF_PROVA"]
     counts = (

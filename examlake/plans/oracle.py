@@ -625,6 +625,11 @@ LEFT JOIN bands x ON x.ANO = s.ANO AND x.SG_UF_PROVA = s.SG_UF_PROVA AND x.ID_FA
             "dim", "SELECT CO_MUNICIPIO_PROVA, NO_MUNICIPIO_PROVA, SG_UF_PROVA FROM dim WHERE SG_UF_PROVA IS NOT NULL"
         ),
         "year_counts": over("exam", "SELECT ANO, count(*) AS n_linhas_silver FROM exam GROUP BY ANO"),
+        "gold_missing_columns": over(
+            "exam",
+            """SELECT * FROM (VALUES ('income', 8, 0::BIGINT), ('bands', 5, 0::BIGINT), ('histogram', 5, 0::BIGINT),
+('towns', 15, 0::BIGINT)) t(dataset, columns, n) UNION ALL SELECT 'years', 2, count(DISTINCT ANO) FROM exam""",
+        ),
         "pipeline_states": over(
             "silver",
             f"""SELECT CAST(ANO AS INTEGER) AS ANO, SG_UF_PROVA, count(ID_INSCRICAO) AS INSCRITOS,

@@ -1,6 +1,7 @@
 """Registered queries: one per operator, each over the whole given tables."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +10,17 @@ from examlake.fixed_values import RACE_LABELS, SCORES
 from examlake.functions import text
 from examlake.operators import classes, cleaning, gold, metadata, quality, reports, serving, standardize, views
 from examlake.plans.build import gold_tables
-from examlake.plans.exam_view import EXAM_COLUMNS, ROW_KEY, exam_from, exam_rows, raw_text, table
+from examlake.plans.exam_view import (
+    EXAM_COLUMNS,
+    LINE_ONLY,
+    NO_ORDER,
+    NO_PLACE,
+    ROW_KEY,
+    exam_from,
+    exam_rows,
+    raw_text,
+    table,
+)
 from examlake.session import shared_folder
 from examlake.sources import exports, lake
 from examlake.streaming import incremental
@@ -81,7 +92,7 @@ def unified_scores(spark, sf):
 
 @query
 def small_domain(spark, sf):
-    rows = exam_rows(spark, sf, keyed=True)
+    rows = exam_rows(spark, sf, keyed=True, wanted=LINE_ONLY)
     found = metadata.small_domains(
         rows, ["TP_SEXO", "Q006", "RENDA_FAMILIAR", "NO_MUNICIPIO_PROVA", "TP_COR_RACA"], F.struct(*ROW_KEY)
     )
@@ -101,7 +112,7 @@ def contract_typed(spark, sf):
 
 @query
 def year_selection(spark, sf):
-    return lake.only_years(exam_rows(spark, sf), lake.select_years(start=FIRST, end=LAST, known=range(1990, 2010))).groupBy(
+    return lake.only_years(exam_rows(spark, sf, wanted=["ANO"]), lake.select_years(start=FIRST, end=LAST, known=range(1990, 2010))).groupBy(
         "ANO"
     ).agg(F.count("*").alias("n"))
 
@@ -109,7 +120,7 @@ def year_selection(spark, sf):
 @query
 def skip_existing(spark, sf):
     wanted = spark.range(1990, 2010).select(F.col("id").cast("int").alias("ANO"))
-    return lake.missing_years(wanted, exam_rows(spark, sf))
+    return lake.missing_years(wanted, exam_rows(spark, sf, wanted=["ANO"]))
 
 
 # ------------------------------------------------------------------ clean
@@ -160,13 +171,13 @@ DOMAIN_RULES = [
 
 @query
 def domain_null_repair(spark, sf):
-    rows = exam_rows(spark, sf).select("ID_INSCRICAO", "SG_UF_PROVA", "RENDA_FAMILIAR")
+    rows = exam_rows(spark, sf, wanted=["ID_INSCRICAO", "SG_UF_PROVA", "RENDA_FAMILIAR"])
     return cleaning.enforce_domains(rows, DOMAIN_RULES)[0]
 
 
 @query
 def domain_report(spark, sf):
-    return cleaning.enforce_domains(exam_rows(spark, sf), DOMAIN_RULES)[1]
+    return cleaning.enforce_domains(exam_rows(spark, sf, wanted=NO_ORDER), DOMAIN_RULES)[1]
 
 
 @query
@@ -187,18 +198,18 @@ def dedup_two_keys_rest(spark, sf):
 # ------------------------------------------------------------------ classify
 @query
 def class_rows(spark, sf):
-    rows = exam_rows(spark, sf)
+    rows = exam_rows(spark, sf, wanted=NO_PLACE)
     return classes.apply_classes(rows).select("ID_INSCRICAO", "ANO", "NU_IDADE", *SCORES, *classes.CLASS_COLUMNS)
 
 
 @query
 def class_summary(spark, sf):
-    return classes.class_summary(classes.apply_classes(exam_rows(spark, sf)))
+    return classes.class_summary(classes.apply_classes(exam_rows(spark, sf, wanted=NO_PLACE)))
 
 
 @query
 def class_alt(spark, sf):
-    rows = exam_rows(spark, sf)
+    rows = exam_rows(spark, sf, wanted=NO_PLACE)
     out = classes.apply_classes(rows, classes.ALTERNATIVE_CLASSES)
     return out.select("ID_INSCRICAO", "ANO", *classes.CLASS_COLUMNS)
 
@@ -212,13 +223,13 @@ def class_custom(spark, sf):
             "CLASS_PERFIL", lambda _: F.concat_ws("/", "CLASS_FAIXA_ETARIA", "CLASS_NOTA_GLOBAL")
         ),
     ]
-    rows = classes.apply_classes(exam_rows(spark, sf), rules)
+    rows = classes.apply_classes(exam_rows(spark, sf, wanted=NO_PLACE), rules)
     return rows.groupBy("ANO", "CLASS_PERFIL").agg(F.count("*").alias("total"))
 
 
 # ------------------------------------------------------------------ gold
 def stats(spark, sf):
-    return gold.year_stats(exam_rows(spark, sf))
+    return gold.year_stats(exam_rows(spark, sf, wanted=NO_PLACE))
 
 
 def towns(spark, sf):
@@ -230,11 +241,11 @@ def states(spark, sf):
 
 
 def histogram(spark, sf):
-    return gold.score_histogram(exam_rows(spark, sf))
+    return gold.score_histogram(exam_rows(spark, sf, wanted=NO_PLACE))
 
 
 def boxes(spark, sf):
-    return gold.income_boxes(exam_rows(spark, sf))
+    return gold.income_boxes(exam_rows(spark, sf, wanted=NO_PLACE))
 
 
 def bands(spark, sf):
@@ -276,7 +287,7 @@ def income_ordered(spark, sf):
 
 @query
 def mean5_rows(spark, sf):
-    return gold.five_score_means(exam_rows(spark, sf)).select("ID_INSCRICAO", "ANO", *SCORES, "MEDIA_5_DISC")
+    return gold.five_score_means(exam_rows(spark, sf, wanted=NO_PLACE)).select("ID_INSCRICAO", "ANO", *SCORES, "MEDIA_5_DISC")
 
 
 @query
@@ -291,12 +302,31 @@ def state_bands_dense(spark, sf):
 
 @query
 def dim_municipality(spark, sf):
-    return gold.town_dimension(exam_rows(spark, sf))
+    return gold.town_dimension(exam_rows(spark, sf, wanted=NO_ORDER))
 
 
 @query
 def year_counts(spark, sf):
-    return gold.year_counts(exam_rows(spark, sf))
+    return gold.year_counts(exam_rows(spark, sf, wanted=["ANO"]))
+
+
+@query
+def gold_missing_columns(spark, sf):
+    """Rows of gold tables built from rows without an income answer, without any place and without any score."""
+    old = [c for c in LINE_ONLY if c not in ("Q006", *SCORES)]
+    rows = exam_rows(spark, sf, wanted=old)
+    tables = {
+        "income": gold.income_boxes(rows),
+        "bands": gold.state_bands(rows),
+        "histogram": gold.score_histogram(rows),
+        "towns": gold.town_scores(rows),
+        "years": gold.year_counts(rows),
+    }
+    counts = [
+        df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("dataset"), F.lit(len(df.columns)).alias("columns"), "n")
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query
@@ -311,7 +341,7 @@ def pipeline_states(spark, sf):
 # ------------------------------------------------------------------ serve
 @query
 def race_means(spark, sf):
-    return serving.race_means(exam_rows(spark, sf))
+    return serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE))
 
 
 @query
@@ -321,7 +351,7 @@ def race_means_filtered(spark, sf):
 
 @query
 def race_means_town(spark, sf):
-    return serving.race_means(exam_rows(spark, sf), town=TOWN, more_than=5)
+    return serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE), town=TOWN, more_than=5)
 
 
 @query
@@ -337,7 +367,7 @@ def municipality_list(spark, sf):
 
 @query
 def municipality_list_state(spark, sf):
-    return serving.town_list(gold.town_dimension(exam_rows(spark, sf)), STATE)
+    return serving.town_list(gold.town_dimension(exam_rows(spark, sf, wanted=NO_ORDER)), STATE)
 
 
 @query
@@ -429,7 +459,7 @@ def adhoc_sql(spark, sf):
 @query
 def adhoc_sql_all(spark, sf):
     """A plain SELECT returns every row."""
-    exam_rows(spark, sf).createOrReplaceTempView("exam_rows_view")
+    exam_rows(spark, sf, wanted=LINE_ONLY).createOrReplaceTempView("exam_rows_view")
     return serving.run_query(spark, "SELECT ID_INSCRICAO, ANO, NU_IDADE FROM exam_rows_view")
 
 
@@ -441,7 +471,7 @@ def state_weighted(spark, sf):
 
 @query
 def race_history(spark, sf):
-    rows = serving.race_means(exam_rows(spark, sf))
+    rows = serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE))
     return views.race_history(rows, list(RACE_LABELS.values()), FIRST, 2003)
 
 
@@ -462,12 +492,12 @@ def histogram_peak(spark, sf):
 
 @query
 def race_rank(spark, sf):
-    return views.race_ranking(serving.race_means(exam_rows(spark, sf), YEAR))
+    return views.race_ranking(serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE), YEAR))
 
 
 @query
 def race_rank_subject(spark, sf):
-    return views.race_ranking(serving.race_means(exam_rows(spark, sf), YEAR), SUBJECT)
+    return views.race_ranking(serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE), YEAR), SUBJECT)
 
 
 @query
@@ -514,7 +544,7 @@ def band_total(spark, sf):
 
 @query
 def race_chart(spark, sf):
-    return views.race_chart_rows(serving.race_means(exam_rows(spark, sf), YEAR))
+    return views.race_chart_rows(serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE), YEAR))
 
 
 @query
@@ -560,7 +590,7 @@ def audit_gold(spark, sf):
 
 @query
 def mask(spark, sf):
-    rows = exam_rows(spark, sf).select(
+    rows = exam_rows(spark, sf, wanted=LINE_ONLY).select(
         F.col("ID_INSCRICAO").alias("NU_INSCRICAO"), "ID_INSCRICAO", F.col("Q006").alias("email"), "ANO"
     )
     masked = reports.mask_personal(rows)
@@ -583,7 +613,7 @@ def report_text(spark, sf):
 
 @query
 def export_cells(spark, sf):
-    rows = exam_rows(spark, sf).select(
+    rows = exam_rows(spark, sf, wanted=NO_ORDER).select(
         "ID_INSCRICAO",
         "ANO",
         "SG_UF_PROVA",
@@ -647,9 +677,12 @@ def csv_export(spark, sf):
 
 # ------------------------------------------------------------------ incremental
 def line_stream(spark, sf):
-    """The line items as a file stream, joined to the static tables."""
+    """The line items as a file stream, joined to the static tables.
+
+    A pattern, because a stream takes no single file by its name; it matches a folder of part files as well.
+    """
     schema = table(spark, sf, "lineitem").schema
-    lines = incremental.file_stream(spark, schema, sf, pathGlobFilter="lineitem.parquet")
+    lines = incremental.file_stream(spark, schema, f"{sf}/lineitem.parque[t]")
     return exam_from(lines, table(spark, sf, "orders"), table(spark, sf, "supplier"))
 
 
