@@ -21,8 +21,8 @@ MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 CHUNK = 1 << 20  # symbols worked on at once; above it a text is a chunk of its own
 POSITION_BITS = U(32)
 
-ANCHOR_SCHEMA = "anchor bigint, salt int, row bigint, at int, sure boolean"
-# More occurrences than this, and a group's windows are compared one by one, by the hash of the whole window.
+ANCHOR_SCHEMA = "anchor bigint, salt int, row bigint, at int, sure boolean, size int"
+# More occurrences of an anchor than this, and its windows are compared one by one, by the hash of the whole window.
 HEAVY = 20_000
 NO_DOC = -(1 << 63)  # stands for a null id
 
@@ -115,7 +115,7 @@ def anchor_rows(shape: Shape) -> Callable:
     """Anchors of a batch of ``row, doc, symbols``.
 
     An anchor met again in its batch is surely repeated: its later occurrences are salted, so that a common one
-    does not gather in one task; the first stands for them.
+    does not gather in one task; the first stands for them, and its ``size`` counts them.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +132,17 @@ def anchor_rows(shape: Shape) -> Callable:
                 many = doc[first] != doc[first + size - 1] if shape.across_docs else size > 1
                 sure = np.repeat(many, size)
                 salt = np.where(sure, np.arange(len(a)) - np.repeat(first, size), 0)
+                stands = np.where(salt > 0, 0, np.where(sure, np.repeat(size, size), 1))
                 # Back in the order of the texts: rows of one text next to each other take less room in a shuffle.
                 back = np.argsort(order)
-                a, t, s, sure, salt = (x[back] for x in (a, t, s, sure, salt))
+                a, t, s, sure, salt, stands = (x[back] for x in (a, t, s, sure, salt, stands))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(salt.astype(np.int32)), pa.array(rows[t]), pa.array(s.astype(np.int32)), pa.array(sure)],
-                    ["anchor", "salt", "row", "at", "sure"],
-                )
+                    [
+                        pa.array(a), pa.array(salt.astype(np.int32)), pa.array(rows[t]),
+                        pa.array(s.astype(np.int32)), pa.array(sure), pa.array(stands.astype(np.int32)),
+                    ],
+                    ["anchor", "salt", "row", "at", "sure", "size"],
+                )
 
     return scan
 
@@ -148,11 +152,17 @@ def repeated_anchors(symbols: DataFrame, shape: Shape) -> DataFrame:
 
     With ``across_docs``, different rows stand for different documents here; rows of one id are told apart later.
     """
-    rows = symbols.mapInArrow(anchor_rows(shape), ANCHOR_SCHEMA)
+    rows = symbols.mapInArrow(anchor_rows(shape), ANCHOR_SCHEMA).repartition(F.col("anchor"), F.col("salt"))
     group = Window.partitionBy("anchor", "salt")
     again = F.min("row").over(group) != F.max("row").over(group) if shape.across_docs else F.count("*").over(group) > 1
-    seen = rows.withColumns({"again": again, "heavy": F.count("*").over(group) > HEAVY})
-    return seen.filter("again or sure").groupBy("row").agg(F.collect_set(F.struct("at", "heavy")).alias("anchors"))
+    # All occurrences of an anchor are counted where its salt is 0. Both sides name every column, so they read one shuffle.
+    named = [F.max(F.col(c).cast("bigint")).alias(f"most_{c}") for c in ("row", "at", "sure")]
+    counts = rows.groupBy("anchor", "salt").agg(F.sum("size").alias("total"), *named)
+    heavy = counts.filter(F.col("total") > HEAVY).select(F.col("anchor").alias("heavy_anchor"), F.least("most_row", "most_at", "most_sure").isNotNull().alias("heavy"))
+    seen = rows.withColumn("again", again).filter("again or sure or size < 0")
+    # At most one anchor for each HEAVY occurrences. A plain equality would filter nulls below one side's shuffle, and part the two.
+    flagged = seen.join(F.broadcast(heavy), seen["anchor"].eqNullSafe(heavy["heavy_anchor"]), "left")
+    return flagged.groupBy("row").agg(F.collect_set(F.struct("at", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("anchors"))
 
 
 KEPT_BYTES = 5  # of a word's hash in a context

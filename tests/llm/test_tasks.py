@@ -51,6 +51,15 @@ def test_large_groups_equal_brute_force(spark, copies, heavy, monkeypatch):
     assert ordered(data) == ordered(brute.op9(copies))
 
 
+def test_an_anchor_is_heavy_in_all_its_rows(spark, monkeypatch):
+    """One document repeats a phrase in one partition; two documents with that phrase stand in another."""
+    monkeypatch.setattr(anchors, "HEAVY", 40)
+    rows = [(1, "wal " * 100), (2, "wal " * 13), (3, "wal " * 13)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = substring_dedup.dedup_substrings(df).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()
+    assert ordered(got) == ordered(brute.op7(rows))
+
+
 def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(2)
     for n, letters in ((1, 2), (50, 2), (400, 3), (900, 1)):
