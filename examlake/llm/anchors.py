@@ -21,7 +21,7 @@ MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 CHUNK = 1 << 20  # symbols worked on at once; above it a text is a chunk of its own
 POSITION_BITS = U(32)
 
-ANCHOR_SCHEMA = "anchor bigint, salt int, row bigint, at int, sure boolean, size int"
+ANCHOR_SCHEMA = "anchor bigint, salt int, row bigint, packed bigint"  # packed: size, then at in 32 bits
 # More occurrences of an anchor than this, and its windows are compared one by one, by the hash of the whole window.
 HEAVY = 20_000
 NO_DOC = -(1 << 63)  # stands for a null id
@@ -115,7 +115,7 @@ def anchor_rows(shape: Shape) -> Callable:
     """Anchors of a batch of ``row, doc, symbols``.
 
     An anchor met again in its batch is surely repeated: its later occurrences are salted, so that a common one
-    does not gather in one task; the first stands for them, and its ``size`` counts them.
+    does not gather in one task; the first stands for them, and its ``size`` counts them. Theirs is 0; 1 is not sure.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +135,11 @@ def anchor_rows(shape: Shape) -> Callable:
                 stands = np.where(salt > 0, 0, np.where(sure, np.repeat(size, size), 1))
                 # Back in the order of the texts: rows of one text next to each other take less room in a shuffle.
                 back = np.argsort(order)
-                a, t, s, sure, salt, stands = (x[back] for x in (a, t, s, sure, salt, stands))
+                a, t, s, salt, stands = (x[back] for x in (a, t, s, salt, stands))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(a), pa.array(salt.astype(np.int32)), pa.array(rows[t]),
-                        pa.array(s.astype(np.int32)), pa.array(sure), pa.array(stands.astype(np.int32)),
-                    ],
-                    ["anchor", "salt", "row", "at", "sure", "size"],
-                )
+                    [pa.array(a), pa.array(salt.astype(np.int32)), pa.array(rows[t]), pa.array((stands << 32) | s)],
+                    ["anchor", "salt", "row", "packed"],
+                )
 
     return scan
 
@@ -155,19 +152,19 @@ def repeated_anchors(symbols: DataFrame, shape: Shape) -> DataFrame:
     rows = symbols.mapInArrow(anchor_rows(shape), ANCHOR_SCHEMA).repartition(F.col("anchor"), F.col("salt"))
     group = Window.partitionBy("anchor", "salt")
     again = F.min("row").over(group) != F.max("row").over(group) if shape.across_docs else F.count("*").over(group) > 1
+    size, at = F.shiftright("packed", 32), F.col("packed").bitwiseAND((1 << 32) - 1).cast("int").alias("at")
     # All occurrences of an anchor are counted where its salt is 0. Both sides name every column, so they read one shuffle.
-    named = [F.max(F.col(c).cast("bigint")).alias(f"most_{c}") for c in ("row", "at", "sure")]
-    counts = rows.groupBy("anchor", "salt").agg(F.sum("size").alias("total"), *named)
-    heavy = counts.filter(F.col("total") > HEAVY).select(F.col("anchor").alias("heavy_anchor"), F.least("most_row", "most_at", "most_sure").isNotNull().alias("heavy"))
-    seen = rows.withColumn("again", again).filter("again or sure or size < 0")
+    counts = rows.groupBy("anchor", "salt").agg(F.sum(size).alias("total"), F.max("row").alias("most_row"))
+    heavy = counts.filter(F.col("total") > HEAVY).select(F.col("anchor").alias("heavy_anchor"), F.col("most_row").isNotNull().alias("heavy"))
+    seen = rows.withColumn("again", again).filter(F.col("again") | (size != 1))
     # At most one anchor for each HEAVY occurrences. A plain equality would filter nulls below one side's shuffle, and part the two.
     flagged = seen.join(F.broadcast(heavy), seen["anchor"].eqNullSafe(heavy["heavy_anchor"]), "left")
-    return flagged.groupBy("row").agg(F.collect_set(F.struct("at", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("anchors"))
+    return flagged.groupBy("row").agg(F.collect_set(F.struct(at, F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("anchors"))
 
 
 KEPT_BYTES = 5  # of a word's hash in a context
 CONTEXT_SCHEMA = "g bigint, row bigint, doc bigint, at int, n int, weight int, done boolean, context binary"
-HASH_BYTES = 16  # a context of one window is sent as its hash alone; others are longer
+HASH_BYTES = 8  # a context of one window is sent as its second hash, its first is the group; others are longer
 SENT_NAMES = ["g", "row", "doc", "at", "n", "weight", "done", "context"]
 CONTEXT_NAMES = ["g", "c1", "c2", "row", "doc", "at", "n", "weight", "done", "context"]
 
@@ -176,7 +173,8 @@ def context_rows(shape: Shape) -> Callable:
     """Contexts of a batch of ``row, doc, symbols, anchors``, keyed by group and by the hash of what they hold.
 
     Equal contexts of a batch are settled here but for one: with ``across_docs`` those of a later document than the
-    first are repeated, otherwise all of them are. They leave as ``done``, with a key of their own.
+    first are repeated, otherwise all of them are. They leave as ``done``, with a key of their own. The single windows
+    of heavy anchors are worked on about CHUNK at once.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,60 +191,61 @@ def context_rows(shape: Shape) -> Callable:
             a, text, first, n = all_anchors(values, offsets, shape)
             of = np.searchsorted((text << 32) + first, (owner << 32) + at)
             a, n = a[of], n[of]
-            if heavy.any():  # one window each
-                light, reps = np.flatnonzero(~heavy), np.repeat(np.flatnonzero(heavy), n[heavy])
-                step = np.arange(len(reps)) - np.repeat(np.cumsum(n[heavy]) - n[heavy], n[heavy])
-                owner, a, at, n = (
-                    np.concatenate([owner[light], owner[reps]]),
-                    np.concatenate([a[light], a[reps]]),
-                    np.concatenate([at[light], at[reps] + step]),
-                    np.concatenate([n[light], np.ones(len(reps), np.int64)]),
-                )
-                whole = np.concatenate([np.zeros(len(light), bool), np.ones(len(reps), bool)])
-            else:
-                whole = np.zeros(len(a), bool)
-            if not len(a):
-                continue
-            begin, length = offsets[owner] + at, n + shape.width - 1
-            c1, c2 = context_hashes(values, begin, length)
-            doc, row = docs[owner], rows[owner]
-            g = np.where(whole, c1, a)
-            order = np.lexsort((doc, c2, c1, g))
-            g, c1, c2, row, doc, at, n, begin, length, whole = (x[order] for x in (g, c1, c2, row, doc, at, n, begin, length, whole))
-            new = np.concatenate([[True], (g[1:] != g[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(g)))
-            if shape.across_docs:
-                done = doc != np.repeat(doc[first], size)
-            else:
-                done = ~new
-            weight = np.where(new, np.repeat(size, size), 1)
-            back = np.argsort(order)
-            g, c1, c2, row, doc, at, n, weight, done, begin, length, whole = (
-                x[back] for x in (g, c1, c2, row, doc, at, n, weight, done, begin, length, whole)
-            )
-            # What is settled needs no hash and any group; neighbours of one text stay together, in blocks, and take less room.
-            block = mix(row.view(U) + (np.arange(len(g)) // 64).astype(U)).view(np.int64)
-            g = np.where(done, block, g)
-            hashes = np.stack([c1, c2], axis=1)
-            narrow = values if values.itemsize == 1 else values.view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
-            for lo in range(0, len(g), 20_000):
-                hi = min(lo + 20_000, len(g))
-                texts = [
-                    None if d else hashes[i].tobytes() if w else narrow[b : b + m].tobytes()
-                    for i, b, m, d, w in zip(range(lo, hi), begin[lo:hi].tolist(), length[lo:hi].tolist(), done[lo:hi].tolist(), whole[lo:hi].tolist())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(g[lo:hi]), pa.array(row[lo:hi]), pa.array(doc[lo:hi]),
-                        pa.array(at[lo:hi].astype(np.int32)), pa.array(n[lo:hi].astype(np.int32)), pa.array(weight[lo:hi].astype(np.int32)), pa.array(done[lo:hi]), pa.array(texts, pa.binary()),
-                    ],
-                    SENT_NAMES,
-                )
+            order = np.lexsort((at, owner))
+            light, single = order[~heavy[order]], order[heavy[order]]
+            if len(light):
+                yield from settled_rows(shape, values, offsets, rows, docs, owner[light], a[light], at[light], n[light])
+            for part in chunks(n[single]):
+                many = n[single[part]]
+                reps = np.repeat(single[part], many)
+                step = np.arange(len(reps)) - np.repeat(np.cumsum(many) - many, many)
+                yield from settled_rows(shape, values, offsets, rows, docs, owner[reps], None, at[reps] + step, np.ones(len(reps), np.int64))
 
     return cut
 
 
+def settled_rows(
+    shape: Shape, values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, docs: np.ndarray, owner: np.ndarray, a: np.ndarray | None, at: np.ndarray, n: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Contexts in the order of the texts, equal ones settled; without anchors ``a`` each is one window, grouped by its hash."""
+    begin, length = offsets[owner] + at, n + shape.width - 1
+    c1, c2 = context_hashes(values, begin, length)
+    doc, row = docs[owner], rows[owner]
+    g = c1 if a is None else a
+    order = np.lexsort((doc, c2, c1, g))
+    new = np.concatenate([[True], np.any([x[order[1:]] != x[order[:-1]] for x in (g, c1, c2)], axis=0)])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(g)))
+    done, weight = np.empty(len(g), bool), np.empty(len(g), np.int64)
+    done[order] = doc[order] != np.repeat(doc[order[first]], size) if shape.across_docs else ~new
+    weight[order] = np.where(new, np.repeat(size, size), 1)
+    if a is None:  # neighbours of one text that are settled, or equal, leave as one run
+        run = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (done[1:] == done[:-1])
+        run &= done[1:] | ((c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1]))
+        heads = np.flatnonzero(np.concatenate([[True], ~run]))
+        n, weight = np.add.reduceat(n, heads), np.maximum.reduceat(weight, heads)
+        g, c2, row, doc, at, done, begin, length = (x[heads] for x in (g, c2, row, doc, at, done, begin, length))
+    # What is settled needs no hash and any group; neighbours of one text stay together, in blocks, and take less room.
+    block = mix(row.view(U) + (np.arange(len(g)) // 64).astype(U)).view(np.int64)
+    g = np.where(done, block, g)
+    narrow = values if values.itemsize == 1 else values.view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
+    for lo in range(0, len(g), 20_000):
+        hi = min(lo + 20_000, len(g))
+        ended = done[lo:hi].tolist()
+        if a is None:
+            hashes = c2[lo:hi].tobytes()
+            texts = [None if d else hashes[i : i + HASH_BYTES] for i, d in zip(range(0, len(hashes), HASH_BYTES), ended)]
+        else:
+            texts = [None if d else narrow[b : b + m].tobytes() for b, m, d in zip(begin[lo:hi].tolist(), length[lo:hi].tolist(), ended)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(g[lo:hi]), pa.array(row[lo:hi]), pa.array(doc[lo:hi]),
+                pa.array(at[lo:hi].astype(np.int32)), pa.array(n[lo:hi].astype(np.int32)), pa.array(weight[lo:hi].astype(np.int32)), pa.array(done[lo:hi]), pa.array(texts, pa.binary()),
+            ],
+            SENT_NAMES,
+        )
+
+
 def context_hashes(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit hashes of ranges of ``values``, from running sums of hashed symbols times powers of an odd number."""
     out = []
@@ -262,20 +261,29 @@ def context_hashes(values: np.ndarray, begin: np.ndarray, length: np.ndarray) ->
 
 
 def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[dict[str, np.ndarray], list]]:
-    """Rows sorted by group, given on in pieces that hold whole groups and about ``most`` bytes of contexts.
+    """Rows sorted by group, given on in pieces of about ``most`` bytes that hold whole groups.
 
-    Rows that are settled leave at once with their batch. A group's equal contexts follow one another.
+    A group of one window sent as its hash may be of any size: it goes on in the next piece, after its first row once more,
+    which has the least document and makes the count more than one. A group's equal contexts follow one another.
     """
     held: list[pa.RecordBatch] = []
     size = 0
+    head, key = None, None  # first row of the last context so far
     for batch in batches:
         if not batch.num_rows:
             continue
-        g = batch.column(0).to_numpy()
+        ids = [batch.column(i).to_numpy() for i in range(3)]
+        g = ids[0]
+        if key != (key := tuple(x[-1] for x in ids)):
+            head = batch.slice(batch.num_rows - int(np.count_nonzero(np.all([x == x[-1] for x in ids], axis=0))), 1)
         size += batch.nbytes
         if size < most:
             held.append(batch)
             continue
+        if not batch.column(8)[-1].as_py() and not batch.column(9)[-1].is_valid:
+            yield _columns([*held, batch])
+            held, size = [head], head.nbytes
+            continue
         last = int(np.searchsorted(g, g[-1]))  # the last group may go on
         if last == 0:
             held.append(batch)

@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ordered
 from pyspark.sql import functions as F
@@ -60,6 +61,40 @@ def test_an_anchor_is_heavy_in_all_its_rows(spark, monkeypatch):
     assert ordered(got) == ordered(brute.op7(rows))
 
 
+@pytest.mark.parametrize("module", [substring_dedup, suffix_array])
+def test_repeats_of_a_batch_make_an_anchor_heavy(spark, copies, module, monkeypatch):
+    """Each batch has the passage too few times to pass the limit alone."""
+    monkeypatch.setattr(anchors, "HEAVY", 400)
+    df = spark.createDataFrame(copies * 2, "doc_id long, text string").repartition(6)
+    symbols = F.col("text").cast("binary") if module is suffix_array else substring_dedup.word_hashes(F.col("text"))
+    found = anchors.repeated_anchors(anchors.keyed_rows(df).select("row", F.col("doc_id").alias("doc"), symbols.alias("symbols")), module.SHAPE)
+    marks = found.select(F.explode("anchors").alias("a")).groupBy("a.heavy").count().collect()
+    assert dict(marks).get(True, 0) > 400 and dict(marks).get(False, 0) > 0
+
+
+@pytest.mark.parametrize("judge", [substring_dedup.judge, suffix_array.judge])
+def test_a_window_of_any_number_passes_in_pieces(judge, monkeypatch):
+    """One group over many batches is judged as it comes, and loses nothing at the seams."""
+    monkeypatch.setattr(substring_dedup, "PIECE", 1000)
+    monkeypatch.setattr(suffix_array, "PIECE", 1000)
+    taken = []
+
+    def batches():
+        for i in range(50):
+            taken.append(i)
+            rows = [np.full(20, x, np.int64) for x in (5, 6, 7)]
+            ids = np.arange(20 * i, 20 * i + 20)
+            ints = [np.full(20, x, np.int32) for x in (3, 1, 1)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, [*rows, ids, ids, *ints, np.zeros(20, bool)]), pa.nulls(20, pa.binary())], anchors.CONTEXT_NAMES)
+
+    found, seen = set(), []
+    for out in judge(batches()):
+        seen.append(len(taken))
+        found.update(out.column(0).to_pylist())
+    assert found == set(range(1 if judge is substring_dedup.judge else 0, 1000))
+    assert seen[0] < 5
+
+
 def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(2)
     for n, letters in ((1, 2), (50, 2), (400, 3), (900, 1)):
