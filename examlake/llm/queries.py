@@ -45,7 +45,10 @@ def op6_quality_rules(spark, sf):
 @query
 def op8_secret_ledger(spark, sf):
     versions = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    ledger = secret_ledger.BlobLedger(spark, shared_folder(spark, "blob-ledger"))
+    folder = shared_folder(spark, "blob-ledger")
+    # Half of the documents come first; the ledger is opened again for all of them.
+    secret_ledger.BlobLedger(spark, folder).scan(versions.filter(F.xxhash64("doc_id") % 2 == 0))
+    ledger = secret_ledger.BlobLedger(spark, folder)
     ledger.scan(versions)
     found = ledger.findings(versions)
     base = F.filter("found", lambda f: f["kind"].isin([r.kind for r in secret_ledger.BASE_RULES]))

@@ -4,6 +4,7 @@ Every version of a text is addressed by its SHA-256. The ledger remembers which
 scanned and what was found; a scan touches only unseen pairs, each blob once, and findings are joined back to every path.
 """
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,18 +79,26 @@ def spans(content: str, rule: Rule) -> Column:
 
 
 class BlobLedger:
-    """Findings per scanned (blob, kind, version), kept as Parquet below ``folder``, one part per scan."""
+    """Findings per scanned (blob, kind, version), kept as Parquet below ``folder``, one part per scan.
+
+    The folder is all there is: a ledger opened on it again, in another session too, goes on where the last one ended.
+    """
 
     SCHEMA = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.parts = spark, folder.rstrip("/"), 0
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def begun(self) -> bool:
+        """Whether anything was ever written here."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
 
     def entries(self) -> DataFrame:
         """Everything scanned so far; a blob scanned without a finding has empty spans."""
-        if not self.parts:
+        if not self.begun():
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.folder}/scan={i}" for i in range(self.parts)])
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder).select("blob", "kind", "version", "spans")
 
     def scan(self, contents: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
         """Scan the unseen pairs of ``contents`` (column ``content``) and rules, and write them down.
@@ -99,7 +108,7 @@ class BlobLedger:
         blobs = contents.select(blob_id(F.col("content")).alias("blob"), full_text("content").alias("content"))
         once = blobs.dropDuplicates(["blob"])
         wanted = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-        if self.parts:
+        if self.begun():
             seen = self.entries().groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("seen"))
             once = once.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
         else:
@@ -115,8 +124,7 @@ class BlobLedger:
             ]
         )
         rows = once.select("blob", F.explode_outer(results).alias("r")).filter("r.spans is not null").select("blob", "r.*")
-        rows.write.mode("overwrite").parquet(f"{self.folder}/scan={self.parts}")
-        self.parts += 1
+        rows.write.mode("error").parquet(f"{self.folder}/scan={uuid.uuid4().hex}")
 
     def findings(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """``versions`` (``content`` and any other columns) with ``found``: kind, start, end of every finding.

@@ -161,3 +161,19 @@ def test_ledger_scans_only_what_is_unseen(spark, docs):
     ledger.scan(versions, newer)
     assert ledger.entries().count() == blobs * (len(rules) + 1)
     assert ledger.findings(versions, newer).filter("doc_id = 116").first()["found"]
+
+
+def test_ledger_opened_again_goes_on(spark, docs):
+    versions = docs.select("doc_id", F.col("text").alias("content"))
+    folder = shared_folder(spark, "ledger")
+    secret_ledger.BlobLedger(spark, folder).scan(versions.filter("doc_id <= 115"))
+    first = secret_ledger.BlobLedger(spark, folder).entries().collect()
+    secret_ledger.BlobLedger(spark, folder).scan(versions.filter("doc_id > 115"))
+    again = secret_ledger.BlobLedger(spark, folder)
+    assert first and {(r["blob"], r["kind"]) for r in first} < {(r["blob"], r["kind"]) for r in again.entries().collect()}
+    found = again.findings(versions).filter("size(found) > 0").select("doc_id").collect()
+    assert {115, 116, 117} <= {r["doc_id"] for r in found}
+    again.scan(versions)
+    before = again.entries().count()
+    secret_ledger.BlobLedger(spark, folder).scan(versions)
+    assert again.entries().count() == before == again.entries().select("blob", "kind", "version").distinct().count()
