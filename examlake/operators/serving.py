@@ -50,8 +50,19 @@ STATS_ROW = {
 def conforming_rows(df: DataFrame, row: dict[str, str]) -> DataFrame:
     """Rows fit to be served: the row's columns in order, absent optional ones as nulls.
 
-    A row with a missing required value or a fractional count is left out.
+    A row with a missing required value or a fractional count is left out; ``rejected_rows`` gives those.
     """
+    checks, out = _row_contract(df, row)
+    return df.filter(_all(checks)).select(*out)
+
+
+def rejected_rows(df: DataFrame, row: dict[str, str]) -> DataFrame:
+    """Rows that ``conforming_rows`` leaves out, as they are."""
+    return df.filter(~_all(_row_contract(df, row)[0]))
+
+
+def _row_contract(df: DataFrame, row: dict[str, str]) -> tuple[list[Column], list[Column]]:
+    """What a row must meet, never null, and its columns in order."""
     types = {"int": "bigint", "float": "double", "text": "string"}
     have = dict(df.dtypes)
     checks, out = [], []
@@ -64,7 +75,7 @@ def conforming_rows(df: DataFrame, row: dict[str, str]) -> DataFrame:
             checks.append(c.isNull() | (c % 1 == 0))
         wanted = "int" if name == "ANO" and have.get(name) == "int" else types[base]
         out.append((c if have.get(name) == wanted else c.cast(wanted)).alias(name))
-    return df.filter(_all(checks)).select(*out)
+    return checks, out
 
 
 def _all(conditions: list[Column]) -> Column:

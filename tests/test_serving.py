@@ -191,3 +191,12 @@ def test_rows_that_do_not_fit_are_left_out(spark):
     )
     rows = serving.state_page(df).collect()
     assert [(r.SG_UF_PROVA, r.INSCRITOS, r.NOTA_REDACAO_mean) for r in rows] == [("SP", 1000, None)]
+
+
+def test_rejected_rows_are_the_rest(spark):
+    rows = towns(spark).withColumn("SG_UF_PROVA", F.when(F.col("CO_MUNICIPIO_PROVA") != 3, F.col("SG_UF_PROVA")))
+    rows = rows.withColumn(f"{SCORES[0]}_count", F.when(F.col("CO_MUNICIPIO_PROVA") == 4, 31.5).otherwise(90.0))
+    rejected = serving.rejected_rows(rows, serving.TOWN_ROW)
+    assert sorted(r["CO_MUNICIPIO_PROVA"] for r in rejected.collect()) == [3, 4]
+    assert rejected.columns == rows.columns
+    assert serving.conforming_rows(rows, serving.TOWN_ROW).count() + rejected.count() == rows.count()
