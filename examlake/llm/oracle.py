@@ -68,6 +68,59 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n, 0) as n_remove
 from doc d left join kept k using (doc_id) left join count_ using (doc_id)
 """
 
+OP11 = r"""
+with doc as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u,
+    sha256('7:' || coalesce(cast(doc_id as varchar), 'null')) as h
+  from documents),
+drawn as (
+  select doc_id, t, u, cast(len(u) as bigint) as n, cast('0x' || substr(h, 1, 8) as bigint) % (len(u) + 1) as x, cast('0x' || substr(h, 9, 8) as bigint) % (len(u) + 1) as y,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || substr(h, 17, 8) as bigint) % 100 >= 100 then 'plain'
+      when cast('0x' || substr(h, 25, 8) as bigint) % 100 < 50 then 'spm' else 'psm' end as form
+  from doc),
+cut as (
+  select *, coalesce(array_to_string(u[1:least(x, y)], ''), '') as p, coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') as m,
+    coalesce(array_to_string(u[greatest(x, y) + 1:], ''), '') as s
+  from drawn)
+select doc_id, n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from cut
+"""
+
+OP13 = rf"""
+with doc as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+word as (select r, lang, source, unnest(w) as term from doc),
+own as (select lang, source, term, count(*) as n, count(distinct r) as docs from word group by all),
+kept as (select lang, term, cast(sum(n) as hugeint) as n from own group by all having sum(docs) >= 30),
+size as (select lang, count(*) as v, sum(n) as total from kept group by 1),
+grp as (select distinct lang, source from doc),
+full_ as (
+  select g.lang, g.source, k.term, cast(coalesce(o.n, 0) as hugeint) as n, k.n as lang_n from grp g join kept k using (lang) left join own o using (lang, source, term)),
+share as (
+  select f.lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) over (partition by f.lang, source) + 5 * v) as p,
+    1 + (1000000000::hugeint * (lang_n + 5)) // (total + 5 * v) as q
+  from full_ f join size z on f.lang = z.lang),
+gap as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from share a join share b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pair as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source left join gap g on g.lang = a.lang and g.source = a.source and g.item = b.source),
+term as (select lang, source, 'term' as part, term as item, cast(p - q as bigint) as value from share where n > 0 and p > q),
+ranked as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (select * from pair union all select * from term))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_mix_sources": OP2, "op4_line_dedup": OP4, "op7_substring_dedup": OP7}
+    return {
+        "op1_decontaminate": OP1,
+        "op2_mix_sources": OP2,
+        "op4_line_dedup": OP4,
+        "op7_substring_dedup": OP7,
+        "op11_fill_in_middle": OP11,
+        "op13_source_divergence": OP13,
+    }

@@ -5,7 +5,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm import decontaminate, line_dedup, mixing, quality_rules, secret_ledger, simhash_golay, substring_dedup, suffix_array, token_shards, toxicity
+from examlake.llm import (
+    decontaminate,
+    fill_in_middle,
+    line_dedup,
+    mixing,
+    packing,
+    quality_rules,
+    secret_ledger,
+    simhash_golay,
+    source_divergence,
+    substring_dedup,
+    suffix_array,
+    token_shards,
+    toxicity,
+)
 from examlake.llm.common import table
 from examlake.session import shared_folder
 
@@ -93,3 +107,19 @@ def op3_toxicity(spark, sf):
 @query
 def op5_token_shards(spark, sf):
     return token_shards.materialize(table(spark, sf, "documents"))
+
+
+@query
+def op11_fill_in_middle(spark, sf):
+    return fill_in_middle.digests(table(spark, sf, "documents"))
+
+
+@query
+def op12_packing(spark, sf):
+    pieces = packing.pack(table(spark, sf, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op13_source_divergence(spark, sf):
+    return source_divergence.audit(table(spark, sf, "documents"))
