@@ -2,7 +2,8 @@
 
 Each text is cut at two line ends into prefix, middle and suffix. A task turns a document into pieces of whole lines, each keyed by
 document and place in the output; ``repartitionAndSortWithinPartitions`` brings a document's pieces together in output
-order, so they stream into a digest one by one. For restoration the pieces that came out are keyed by their place in the
+order, so they stream into a digest one by one. The texts are measured first, and there are so many partitions that each
+has about ``PARTITION`` bytes. For restoration the pieces that came out are keyed by their place in the
 text and sorted again; the partitioning is the same, so that nothing moves a second time. No task holds a document's
 pieces at once: Spark's sorter spills them.
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from examlake.llm.common import full_text
 
 PLAIN, PSM, SPM = "plain", "psm", "spm"
+PARTITION = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -123,9 +125,10 @@ def sorted_pieces(rdd: RDD, parts: int) -> RDD:
 
 
 def arranged(docs: DataFrame, mix: Mix = Mix()) -> tuple[RDD, int]:
-    """All pieces in output order, and the number of partitions: as many as the session's shuffles or as the scan has, if that is more."""
+    """All pieces in output order, and the number of partitions: as many as the session's shuffles have, more for many bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
     rows = docs.select("doc_id", full_text().alias("text")).rdd
-    parts = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return sorted_pieces(rows.mapPartitions(partial(keyed, mix)), parts), parts
 
 

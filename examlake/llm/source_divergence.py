@@ -82,13 +82,13 @@ def share(n: Column | str, total: Column | str, kept: Column | str) -> Column:
     return F.when(kept > 0, 1 + F.call_function("div", top, low))
 
 
-def group_shares(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+def group_shares(docs: DataFrame, least_docs: int = LEAST_DOCS, held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """(``lang, source, place, sources, total, kept, rest`` of each group, ``lang, source, term, n, p, q`` of each kept term it has).
 
     ``place`` numbers a language's sources, ``rest`` is the share of a kept term that a group lacks, ``q`` the language's share.
     """
     rows = docs.select(full_text("lang").alias("lang"), full_text("source").alias("source"), full_text().cast("binary").alias("text"))
-    found = rows.mapInArrow(partial(count_terms, HELD), COUNTS)
+    found = rows.mapInArrow(partial(count_terms, held), COUNTS)
     counts = stored(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
     words = counts.filter("term <> ''")
     kept = words.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
@@ -112,15 +112,15 @@ def group_shares(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFra
     return groups, shares
 
 
-def blocks_of(rows: DataFrame, slices: Column) -> DataFrame:
+def blocks_of(rows: DataFrame, slices: Column, block: int) -> DataFrame:
     """Rows once for each other block of their language's sources: ``low`` and ``high`` are the two blocks, ``slice`` that of the term."""
-    own = F.floor(F.col("place") / BLOCK).cast("int")
-    last = F.floor((F.col("sources") - 1) / BLOCK).cast("int")
+    own = F.floor(F.col("place") / block).cast("int")
+    last = F.floor((F.col("sources") - 1) / block).cast("int")
     other = rows.withColumns({"_slice": slices, "_own": own}).withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
     return other.withColumns({"low": F.least("_own", "_other"), "high": F.greatest("_own", "_other"), "slice": F.col("_slice")})
 
 
-def differences(shares: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+def differences(shares: pd.DataFrame, groups: pd.DataFrame, block: int) -> pd.DataFrame:
     """One language, two blocks of sources, one slice of terms: the sum of all differences of each pair of sources.
 
     ``shares``: ``place, term, p``; ``groups``: ``place, rest`` of all sources in the two blocks.
@@ -138,8 +138,8 @@ def differences(shares: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
         for i in range(len(places)):
             total[i] += np.abs(matrix - matrix[:, i : i + 1]).sum(axis=0)
     low, high = int(groups["low"].iloc[0]), int(groups["high"].iloc[0])
-    block = places // BLOCK
-    a, b = np.nonzero((block[:, None] == low) & (block[None, :] == high) & (places[:, None] != places[None, :]))
+    own = places // block
+    a, b = np.nonzero((own[:, None] == low) & (own[None, :] == high) & (places[:, None] != places[None, :]))
     pairs = {"lang": groups["lang"].iloc[0], "a": places[a], "b": places[b], "value": total[a, b]}
     out = pd.DataFrame(pairs)
     if low == high:
@@ -147,21 +147,21 @@ def differences(shares: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[out.columns]], ignore_index=True)
 
 
-def pair_sums(groups: DataFrame, shares: DataFrame) -> DataFrame:
+def pair_sums(groups: DataFrame, shares: DataFrame, block: int = BLOCK, terms_each: int = SLICE) -> DataFrame:
     """``lang, source, item, value``: each two sources of a language, both ways.
 
     A term that neither of two blocks has adds what the two groups' shares for absent terms differ, so only terms of a block are
     shuffled to it, and the others are added by their number.
     """
-    slices = F.greatest(F.ceil(F.col("kept") / SLICE), F.lit(1)).cast("int")
+    slices = F.greatest(F.ceil(F.col("kept") / terms_each), F.lit(1)).cast("int")
     keys = ["lang", "low", "high", "slice"]
-    left = blocks_of(shares, F.pmod(F.xxhash64("term"), slices).cast("int")).select(*keys, "place", "term", "p")
+    left = blocks_of(shares, F.pmod(F.xxhash64("term"), slices).cast("int"), block).select(*keys, "place", "term", "p")
     renewed = groups.select([F.col(c).alias(c) for c in groups.columns])  # shares descend from groups as well
-    right = blocks_of(renewed, F.explode(F.sequence(F.lit(0), slices - 1))).select(*keys, "place", "rest")
+    right = blocks_of(renewed, F.explode(F.sequence(F.lit(0), slices - 1)), block).select(*keys, "place", "rest")
     schema = "lang string, a bigint, b bigint, value bigint, terms bigint"
 
     def summed(shares: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
-        return differences(shares, groups).assign(terms=shares["term"].nunique())
+        return differences(shares, groups, block).assign(terms=shares["term"].nunique())
 
     sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(summed, schema)
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
@@ -172,11 +172,11 @@ def pair_sums(groups: DataFrame, shares: DataFrame) -> DataFrame:
     return joined.select("lang", "source", "item", (F.col("value") + absent).alias("value"))
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block: int = BLOCK, terms_each: int = SLICE) -> DataFrame:
     """``lang, source, part, item, value, rank``: per group all other sources (``pair``) and the ``top`` terms it uses most beyond its language (``term``)."""
     groups, shares = group_shares(docs, least_docs)
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pair_sums(groups, shares).withColumn("rank", F.row_number().over(ranked))
+    pairs = pair_sums(groups, shares, block, terms_each).withColumn("rank", F.row_number().over(ranked))
     more = shares.filter((F.col("n") > 0) & (F.col("p") > F.col("q"))).select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     words = more.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
     both = [d.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank") for d, part in ((pairs, "pair"), (words, "term"))]

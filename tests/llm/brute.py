@@ -156,3 +156,53 @@ def op10(docs, most=3):
         known = [d for d in ids if d is not None]
         least[root(f)] = min([*known, least.get(root(f), math.inf)])
     return [(doc, f"{f:016x}", None if least[root(f)] == math.inf else least[root(f)]) for doc, f in prints]
+
+
+def op11(docs, seed=7, share=100, suffix_first=50):
+    out = []
+    for doc, text in docs:
+        text = text or ""
+        lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+        digits = sha(f"{seed}:{'null' if doc is None else doc}")
+        h1, h2, h3, h4 = (int(digits[8 * i : 8 * i + 8], 16) for i in range(4))
+        a, b = sorted([h1 % (len(lines) + 1), h2 % (len(lines) + 1)])
+        p, m, s = "".join(lines[:a]), "".join(lines[a:b]), "".join(lines[b:])
+        if not text or "<P>" in text or "<S>" in text or "<M>" in text or h3 % 100 >= share:
+            out.append((doc, len(lines), "plain", None, None, sha(text), sha(text)))
+        elif h4 % 100 < suffix_first:
+            out.append((doc, len(lines), "spm", len(p), len(m), sha(f"<S>{s}<P>{p}<M>{m}"), sha(text)))
+        else:
+            out.append((doc, len(lines), "psm", len(p), len(m), sha(f"<P>{p}<S>{s}<M>{m}"), sha(text)))
+    return out
+
+
+LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def op13(docs, least=30, top=50):
+    """docs: list of (text, lang, source)."""
+    counts, where, langs = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(set)), defaultdict(set)
+    for i, (text, lang, source) in enumerate(docs):
+        lang, source = lang or "", source or ""
+        langs[lang].add(source)
+        for term in LETTERS.findall((text or "").translate(LOWER)):
+            counts[lang, source][term] += 1
+            where[lang][term].add(i)
+    out = []
+    for lang, sources in langs.items():
+        kept = [t for t, found in where[lang].items() if len(found) >= least]
+
+        def shares(n):
+            total = sum(n.values())
+            return {t: 1 + 10**9 * (n[t] + 5) // (total + 5 * len(kept)) for t in kept}
+
+        own = {s: {t: counts[lang, s].get(t, 0) for t in kept} for s in sources}
+        p = {s: shares(own[s]) for s in sources}
+        q = shares({t: sum(own[s][t] for s in sources) for t in kept})
+        for s in sources:
+            pairs = [(x, sum(abs(p[s][t] - p[x][t]) for t in kept)) for x in sources if x != s]
+            words = [(t, p[s][t] - q[t]) for t in kept if own[s][t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", pairs, len(pairs)), ("term", words, top)):
+                found.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, value, i) for i, (item, value) in enumerate(found[:most], 1)]
+    return out
