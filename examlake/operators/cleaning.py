@@ -87,6 +87,28 @@ def domains_from_metadata(metadata: DataFrame, years: list[int] | None = None) -
     return tuple(DomainRule(name, tuple(values), year=year) for name, values, year in found)
 
 
+def domains_by_year(metadata: DataFrame) -> DataFrame:
+    """One row per year of the metadata: ``_year, _domains``, a map from column to its declared lists of allowed values.
+
+    Nothing is collected: the table is joined to the rows by year. Of several declarations of a column in a year all hold.
+    """
+    declared = metadata.filter("nome_padrao <> '' AND dominio_valores IS NOT NULL")
+    lists = declared.groupBy(F.col("ano").cast("int").alias("_year"), "nome_padrao").agg(F.collect_list("dominio_valores").alias("lists"))
+    entries = F.map_from_entries(F.collect_list(F.struct("nome_padrao", "lists")))
+    return lists.groupBy("_year").agg(entries.alias("_domains"))
+
+
+def outside_declared(df: DataFrame, column: str) -> Column:
+    """Present value that the declared domain of its row's year does not allow; numbers compare as numbers."""
+    value, lists = F.col(column), F.try_element_at("_domains", F.lit(column))
+    if is_numeric(df, column):
+        number = value.cast("double")
+        allowed = lambda values: F.exists(values, lambda x: x.try_cast("double") == number)
+    else:
+        allowed = lambda values: F.array_contains(values, value.cast("string"))
+    return F.coalesce(value.isNotNull() & ~F.forall(lists, lambda x: F.coalesce(allowed(x), F.lit(False))), F.lit(False))
+
+
 # ------------------------------------------------------------------ quarantine
 def out_of_range(df: DataFrame, rules: Sequence[RangeRule]) -> Column:
     checks = [r.broken() for r in rules if r.column in df.columns]
@@ -234,6 +256,112 @@ def cleaning_report(df: DataFrame, plan: CleaningPlan, first: DataFrame) -> Data
     )
 
 
+# ------------------------------------------------------------------ one marked pass
+VERDICT, REPAIRED = "_VERDICT", "_REPAIRED"
+VALID, INVALID, DUPLICATE = "valid", "invalid", "duplicate"
+
+
+def unique_keys(df: DataFrame, plan: CleaningPlan) -> list[str]:
+    """Scope and identifier columns that exist; none if there is no identifier."""
+    scope, keys = present_keys(df, plan.scope), present_keys(df, plan.keys)
+    return [*scope, *[k for k in keys if k not in scope]] if keys else []
+
+
+def flag(df: DataFrame, plan: CleaningPlan = CleaningPlan()) -> DataFrame:
+    """Rows with a first verdict that needs no other row: ``invalid`` or, so far, ``valid``."""
+    return df.withColumn(VERDICT, F.when(out_of_range(df, plan.ranges), INVALID).otherwise(VALID))
+
+
+def first_positions(flagged: DataFrame, plan: CleaningPlan) -> DataFrame:
+    """Per key among the valid rows: its first position and its number of rows, combined before the shuffle."""
+    keys = unique_keys(flagged, plan)
+    valid = flagged.filter(F.col(VERDICT) == VALID)
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    return valid.groupBy(*named).agg(F.min(F.struct(*plan.order)).alias("_first"), F.count("*").alias("_copies"))
+
+
+def mark(
+    flagged: DataFrame, plan: CleaningPlan, taken: DataFrame | None = None, domains: DataFrame | None = None
+) -> DataFrame:
+    """Flagged rows with their last verdict and the repairs made (``_REPAIRED``, names of columns).
+
+    A valid row is a duplicate if its key is ``taken`` already (``_key0``, ... of ``first_positions``) or if another row of
+    its key comes first; missing identifiers are one key. Only keys that are taken or repeated are joined to the rows, one
+    row for each, so a hot key is split between tasks. ``plan.order`` must tell rows apart: equal first rows all stay.
+    Values outside their domain are replaced in valid rows only: domains of the plan, or those of the row's year
+    from ``domains`` (``domains_by_year``).
+    """
+    keys = unique_keys(flagged, plan)
+    rows = flagged
+    if keys:
+        names = [f"_key{i}" for i in range(len(keys))]
+        firsts = first_positions(flagged, plan)
+        if taken is None:
+            known = firsts.filter("_copies > 1").withColumn("_taken", F.lit(False))
+        else:
+            seen = taken.select(*[F.col(n).alias(f"_seen{n}") for n in names], F.lit(True).alias("_taken"))
+            same = [F.col(n).eqNullSafe(F.col(f"_seen{n}")) for n in names]
+            known = firsts.join(seen, same, "left").filter("_copies > 1 OR _taken")
+        known = known.select(*names, "_first", "_taken")
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+        rows = flagged.join(known, same, "left")
+        later = F.coalesce(F.col("_taken"), F.lit(False)) | F.coalesce(F.struct(*plan.order) > F.col("_first"), F.lit(False))
+        rows = rows.withColumn(VERDICT, F.when((F.col(VERDICT) == VALID) & later, DUPLICATE).otherwise(F.col(VERDICT)))
+    outside = domain_checks(flagged, plan.domains)
+    if domains is not None:
+        rows = rows.join(domains, F.col("ANO") == F.col("_year"), "left")
+        plain = [f.name for f in flagged.schema if f.name != VERDICT and isinstance(f.dataType, T.AtomicType)]
+        outside = {c: outside_declared(flagged, c) for c in plain}
+    checks = {c: (F.col(VERDICT) == VALID) & check for c, check in outside.items()}
+    unknown = {c: "UNKNOWN" for c in checks} | {rule.column: rule.unknown for rule in plan.domains}
+
+    def repaired(column: str) -> Column:
+        if column not in checks:
+            return F.col(column)
+        kind = flagged.schema[column].dataType
+        text = isinstance(kind, T.StringType)
+        fill = F.lit(unknown[column]) if text else F.lit(None).cast(kind)
+        return F.when(checks[column], fill).otherwise(F.col(column)).alias(column)
+
+    names = F.array(*[F.when(check, F.lit(c)) for c, check in checks.items()]) if checks else F.array().cast("array<string>")
+    out = [repaired(c) for c in flagged.columns]
+    return rows.select(*out, F.filter(names, lambda x: x.isNotNull()).alias(REPAIRED))
+
+
+def marked_report(marked: DataFrame, plan: CleaningPlan) -> DataFrame:
+    """Affected rows per rule and scope value, read off the marks."""
+    scope = present_keys(marked, plan.scope)
+    verdict = F.when(F.col(VERDICT) == INVALID, F.lit("invalid_rows")).when(F.col(VERDICT) == DUPLICATE, F.lit("duplicates"))
+    repairs = F.transform(REPAIRED, lambda c: F.concat(F.lit("domain:"), c))
+    rules = F.filter(F.concat(F.array(verdict), repairs), lambda x: x.isNotNull())
+    return marked.select(*scope, F.explode(rules).alias("rule")).groupBy(*scope, "rule").agg(F.count("*").alias("affected_rows"))
+
+
+def by_verdict(marked: DataFrame, plan: CleaningPlan) -> Cleaned:
+    """The four tables as views of marked rows."""
+
+    def having(verdict: str) -> DataFrame:
+        return marked.filter(F.col(VERDICT) == verdict).drop(VERDICT, REPAIRED)
+
+    return Cleaned(having(VALID), having(INVALID), having(DUPLICATE), marked_report(marked, plan))
+
+
+def write_marked(
+    df: DataFrame, path: str, plan: CleaningPlan = CleaningPlan(), compact: bool = False, domains: DataFrame | None = None
+) -> Cleaned:
+    """``clean`` by one write: rows once on disk, in folders by verdict and scope, and the four tables as views of them.
+
+    ``compact`` evens out the files by one more shuffle, for rows of many tasks and years.
+    """
+    marked = mark(flag(df, plan), plan, domains=domains)
+    marked = marked.drop(POSITION) if POSITION in marked.columns else marked
+    folders = [VERDICT, *present_keys(marked, plan.scope)]
+    out = marked.hint("rebalance", *[F.col(c) for c in folders]) if compact else marked
+    out.write.partitionBy(*folders).parquet(path)
+    rows = df.sparkSession.read.schema(marked.schema).parquet(path)
+    return by_verdict(rows.select(*marked.columns), plan)
+
+
 # ------------------------------------------------------------------ stand-alone rule checks
 def first_broken_rule(df: DataFrame, rules: Sequence[RangeRule]) -> Column:
     """Reason of the first rule a row breaks, in rule order, or null."""

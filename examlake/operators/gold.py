@@ -28,7 +28,7 @@ from examlake.functions.numeric import (
     row_mean,
     within,
 )
-from examlake.operators.quantiles import exact_quantiles
+from examlake.operators.quantiles import exact_summary
 from examlake.operators.standardize import normalize_for_gold
 
 STATE_KEYS = ["ANO", "SG_UF_PROVA"]
@@ -91,36 +91,17 @@ def year_stats(df: DataFrame, unique_ids: bool = False) -> DataFrame:
         *[valid_score(df, s).alias(s) for s in SCORES],
     )
     measures = ["IDADE", *SCORES]
-    simple = []
-    for m in measures:
-        simple += [
-            F.count(m).alias(f"{m}_count"),
-            F.avg(m).alias(f"{m}_mean"),
-            F.stddev_samp(m).alias(f"{m}_std"),
-            F.min(m).alias(f"{m}_min"),
-            F.max(m).alias(f"{m}_max"),
-        ]
     total = enrolment(scores, ["ANO"], "TOTAL_INSCRITOS", unique_ids)
     if total is None:
-        simple.append(enrolled_here(scores).alias("TOTAL_INSCRITOS"))
-    stats = scores.groupBy("ANO").agg(*simple)
-    if total is not None:
-        stats = stats.join(total, "ANO", "left")
-    # Stacked rather than unpivoted: an unpivot inside a frame used twice is not planned alike both
-    # times, which would cost the quantiles a third scan.
+        total = scores.groupBy("ANO").agg(enrolled_here(scores).alias("TOTAL_INSCRITOS"))
     pairs = [x for m in measures for x in (F.lit(m), F.col(m))]
-    medians = exact_quantiles(
-        scores.select("ANO", F.stack(F.lit(len(measures)), *pairs).alias("measure", "value")),
-        ["ANO", "measure"],
-        "value",
-        {"median": 0.5},
-        SCORE_MIN,
-        SCORE_MAX,
-    )
-    medians = medians.groupBy("ANO").agg(
+    long = scores.select("ANO", F.stack(F.lit(len(measures)), *pairs).alias("measure", "value"))
+    found = exact_summary(long, ["ANO", "measure"], "value", {"median": 0.5}, SCORE_MIN, SCORE_MAX)
+    stats = found.groupBy(F.col("ANO").alias("_ANO")).agg(
         *[
-            F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"{m}_median")
+            F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{m}_{x}")
             for m in measures
+            for x in ("count", "mean", "std", "min", "median", "max")
         ]
     )
     out = [F.col("ANO"), F.col("TOTAL_INSCRITOS")]
@@ -131,7 +112,7 @@ def year_stats(df: DataFrame, unique_ids: bool = False) -> DataFrame:
             F.coalesce(F.col(f"{s}_{x}"), F.lit(0.0)).alias(f"{s}_{x}")
             for x in ("mean", "std", "min", "median", "max")
         ]
-    return stats.join(medians, "ANO", "left").select(*out)
+    return total.join(stats, F.col("ANO").eqNullSafe(F.col("_ANO")), "left").select(*out)
 
 
 # ------------------------------------------------------------------ places
@@ -243,15 +224,11 @@ def income_boxes(df: DataFrame) -> DataFrame:
         lookup(INCOME_CLASS_BY_LETTER, F.col("Q006")).alias("CLASSE"),
         row_mean([drop_nan(F.col(s).cast("double")) for s in SCORES]).alias("score"),
     ).filter(F.col("CLASSE").isNotNull())
-    keys = ["ANO", "CLASSE"]
-    simple = scored.groupBy(*keys).agg(
-        F.min("score").alias("LOW"), F.max("score").alias("HIGH"), F.count("score").alias("COUNT")
+    found = exact_summary(
+        scored, ["ANO", "CLASSE"], "score", {"Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75}, SCORE_MIN, SCORE_MAX
     )
-    middle = exact_quantiles(
-        scored, keys, "score", {"Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75}, SCORE_MIN, SCORE_MAX
-    )
-    return simple.join(middle, keys, "left").select(
-        "CLASSE", "LOW", "Q1", "MEDIAN", "Q3", "HIGH", "COUNT", "ANO"
+    return found.select(
+        "CLASSE", F.col("min").alias("LOW"), "Q1", "MEDIAN", "Q3", F.col("max").alias("HIGH"), F.col("count").alias("COUNT"), "ANO"
     )
 
 
@@ -281,6 +258,57 @@ def load_bands(spark: SparkSession, path: str | None = None) -> list[tuple]:
     return sorted(tuple(r) for r in rows.collect())
 
 
+BANDS = "place int, id int, low double, high double, label string"
+
+
+def bands_from_file(spark: SparkSession, path: str) -> DataFrame:
+    """Band table (``place, id, low, high, label``) from the YAML form ``- id: 1``, ``min:``, ``max:``, ``descricao:``.
+
+    Each band is a list item of ``key: value`` lines; other keys, comments and quotes around values are left out.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
+    items = text.select(F.posexplode(F.split("text", r"(?m)^\s*-\s+")).alias("place", "item")).filter("place > 0")
+
+    def field(name: str) -> Column:
+        quoted, bare = (F.regexp_extract("item", rf"(?m)^\s*{name}\s*:\s*{v}", 1) for v in ("[\"']([^\"'\n]*)[\"']", r"([^#\n\"']*)"))
+        return F.trim(F.when(quoted != "", quoted).otherwise(bare))
+
+    return items.select(
+        "place",
+        field("id").cast("int").alias("id"),
+        field("min").cast("double").alias("low"),
+        field("max").cast("double").alias("high"),
+        field("descricao").alias("label"),
+    )
+
+
+def state_bands_joined(df: DataFrame, bands: DataFrame) -> DataFrame:
+    """``state_bands`` by a band table of any size, given as a DataFrame (``bands_from_file``).
+
+    People are counted by state and mean first (means have two decimals). The counts are joined to the bands by the whole number
+    below the mean, which each band lists, and then by its limits; of overlapping bands the first in the table holds.
+    A mean in no band falls to the first.
+    """
+    if "SG_UF_PROVA" not in df.columns or not set(SCORES) & set(df.columns):
+        return state_bands(df)
+    state = F.coalesce("SG_UF_PROVA", F.lit("XX")).alias("SG_UF_PROVA")
+    means = five_score_means(df.select("ANO", "SG_UF_PROVA", *[s for s in SCORES if s in df.columns]))
+    counts = means.groupBy("ANO", state, "MEDIA_5_DISC").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("cell", F.floor("MEDIA_5_DISC").cast("int"))
+    inside = (F.col("high") > SCORE_MIN) & (F.col("low") <= SCORE_MAX)
+    ends = [F.greatest(F.lit(SCORE_MIN), F.least(F.lit(SCORE_MAX), F.floor(c))).cast("int") for c in ("low", "high")]
+    cells = bands.filter(inside).withColumn("_cell", F.explode(F.sequence(*ends)))
+    mean = F.col("MEDIA_5_DISC")
+    below = F.when(F.col("high") == SCORE_MAX, mean <= F.col("high")).otherwise(mean < F.col("high"))
+    held = counts.join(cells, (F.col("cell") == F.col("_cell")) & (mean >= F.col("low")) & below, "left")
+    band = F.struct("place", "id", "label")
+    held = held.groupBy("ANO", "SG_UF_PROVA", "MEDIA_5_DISC", "n").agg(F.min(F.when(F.col("place").isNotNull(), band)).alias("band"))
+    first = bands.agg(F.min(band).alias("first")).scalar()
+    held = held.withColumn("band", F.coalesce("band", first))
+    by = ["ANO", "SG_UF_PROVA", F.col("band.id").alias("ID_FAIXA"), F.col("band.label").alias("DESCRICAO_FAIXA")]
+    return held.groupBy(*by).agg(F.sum("n").alias("QTD_ALUNOS"))
+
+
 def state_bands(df: DataFrame, bands: list[tuple] = MEAN_BANDS, dense: bool = False) -> DataFrame:
     """People per year, state and band of the five-score mean; unknown states are "XX".
 

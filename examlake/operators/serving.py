@@ -398,13 +398,54 @@ def band_shares(counts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ ad-hoc SQL
 LITERAL_OR_COMMENT = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
+# Statements that only look something up, by the name of their parsed node.
+LOOKUPS = re.compile(r"Describe\w+|Show(?!CreateTable)\w+|ExplainCommand")
+# Functions that call any Java method by its name.
+CALLS_JAVA = {"java_method", "reflect", "try_reflect"}
+
+
+def _parts(jvm, *found) -> list:
+    return [x for seq in found for x in jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq.toSeq())]
+
+
+def refused_node(spark: SparkSession, sql: str) -> str | None:
+    """Name of the first node of the parsed statement that does more than query, or None.
+
+    Every node is looked at, also in common table expressions and subqueries: commands, statements that write, scripts,
+    and functions that call Java methods. What the parser makes of the text decides, so no spelling of a literal hides a verb.
+    """
+    jvm = spark._jvm
+    catalyst = "org.apache.spark.sql.catalyst"
+
+    def kind(name: str):
+        return jvm.java.lang.Class.forName(f"{catalyst}.{name}")
+
+    commands = [kind("plans.logical.Command"), kind("plans.logical.ParsedStatement")]
+    plan_kind, function, subquery = kind("plans.logical.LogicalPlan"), kind("analysis.UnresolvedFunction"), kind("expressions.PlanExpression")
+    root = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if plan_kind.isInstance(node):
+            writes = any(c.isInstance(node) for c in commands) or re.match(r"Insert|\w*ScriptTransformation|CompoundBody", name)
+            if writes and not (node.equals(root) and LOOKUPS.fullmatch(name)):
+                return name
+            todo += _parts(jvm, node.children(), node.innerChildren(), node.expressions())
+            continue
+        if function.isInstance(node) and CALLS_JAVA & {x.lower() for x in _parts(jvm, node.nameParts())}:
+            return name
+        if subquery.isInstance(node):
+            todo.append(node.plan())
+        todo += _parts(jvm, node.children())
+    return None
 
 
 def run_query(spark: SparkSession, sql: str, params: dict | list | None = None, row_limit: int | None = None):
     """Read-only SQL over the published views; every row of the result, or the first ``row_limit``.
 
     Statements with a verb that could change data are refused, whatever stands around the verb; literals and
-    comments don't count. What is left must be a query.
+    comments don't count. What is left must be a query, and nothing in its parsed plan may be a command.
     """
     text = sql.strip().rstrip(";").strip()
     words = re.findall(r"[a-z_]+", LITERAL_OR_COMMENT.sub(" ", text).lower())
@@ -412,6 +453,9 @@ def run_query(spark: SparkSession, sql: str, params: dict | list | None = None,
         raise ValueError(f"statement refused in read-only mode: {sql[:50]}")
     if not words or words[0] not in ("select", "with", "describe", "desc", "show", "explain", "values", "from"):
         raise ValueError(f"only queries are allowed: {sql[:50]}")
+    refused = refused_node(spark, text)
+    if refused is not None:
+        raise ValueError(f"statement refused in read-only mode ({refused}): {sql[:50]}")
     result = spark.sql(text, args=params) if params else spark.sql(text)
     return result if row_limit is None else result.limit(row_limit)
 

@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 
 from examlake.fixed_values import MEAN_BANDS
 from examlake.operators import gold
-from examlake.operators.classes import DEFAULT_CLASSES, ClassRule, apply_classes, class_summary
-from examlake.operators.cleaning import CleaningPlan, clean
-from examlake.operators.quality import DASHBOARD_CHECKS, assert_checks, audit_gold, audit_report, audit_years
+from examlake.operators.classes import DEFAULT_CLASSES, ClassRule, apply_classes, class_summary_by_year
+from examlake.operators.cleaning import DUPLICATE, INVALID, REPAIRED, VALID, VERDICT, CleaningPlan, flag, mark, marked_report
+from examlake.operators.quality import (
+    DASHBOARD_CHECKS,
+    Check,
+    assert_checks,
+    assert_outcomes,
+    audit_gold,
+    audit_report,
+    audit_years,
+    checked_write,
+)
 from examlake.operators.standardize import standardize, validate_required
 from examlake.sources.exports import DASHBOARD_TABLES, materialize_tables, publish_views
 from examlake.sources.lake import Lake, only_years
 from examlake.sources.raw_files import (
     POSITION,
-    header_columns,
+    catalog,
+    files_of_year,
     read_delimited,
-    year_files,
     year_from_path,
 )
 
@@ -32,48 +41,54 @@ def raw_to_silver(
 ) -> None:
     """Standardise the years' raw files into the silver table.
 
-    Files with the same header are one scan, so the number of scans follows the number of layouts,
-    and all of them are written by one job. There is no shuffle: a task reads a split of a file and
+    One catalog of the raw files gives all paths and headers. Files with the same header are one scan, so the number of scans
+    follows the number of layouts, and all of them are written by one job. There is no shuffle: a task reads a split of a file and
     writes that file's year. The folder is the year of the file, so writing a year can never
     replace another year's folder because of a stray row.
     """
+    files = catalog(spark, raw_root, encoding)
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for year in years:
-        files = year_files(spark, raw_root, year)
-        # Each file is read by its own header: files of a year may hold their columns in other orders.
-        for file in files:
-            layouts.setdefault(tuple(header_columns(spark, [file], encoding=encoding)), []).append(file)
+    # Each file is read by its own header: files of a year may hold their columns in other orders.
+    for file in [f for year in years for f in files_of_year(files, year, raw_root)]:
+        layouts.setdefault(file.columns, []).append(file.path)
     file_year = year_from_path(F.col(f"{POSITION}.file"))
     parts = []
-    for files in layouts.values():
-        raw = read_delimited(spark, files, encoding=encoding, position=True)
+    for paths in layouts.values():
+        raw = read_delimited(spark, paths, encoding=encoding, position=True)
         validate_required(raw, required, sorted(years))
         parts.append(standardize(raw, file_year, carry=(POSITION,)).withColumn("ANO", file_year))
-    lake.write(reduce(DataFrame.unionByName, parts), "silver")
+    lake.write(reduce(DataFrame.unionByName, parts), "silver", years=years)
+
+
+CLEANING_TABLES = {VALID: "cleaned", INVALID: "cleaning_invalid", DUPLICATE: "cleaning_duplicates"}
 
 
 def silver_to_cleaned(
     spark: SparkSession, lake: Lake, years: Sequence[int], plan: CleaningPlan = CleaningPlan()
 ) -> None:
-    """Clean all requested years in one job chain; year is part of the de-duplication key."""
+    """Clean all requested years in one job chain; year is part of the de-duplication key.
+
+    Rows are written once, by verdict and year; the cleaned, invalid and duplicate rows are tables of that one
+    write, and the report is read off the marks.
+    """
     silver = only_years(lake.read(spark, "silver"), list(years))
-    result = clean(silver, plan)
-    lake.write(result.valid.drop(POSITION), "cleaned", compact=True)
-    lake.write(result.report, "cleaning_report", partition_by=["ANO"])
-    lake.write(result.invalid.drop(POSITION), "cleaning_invalid", partition_by=["ANO"])
-    lake.write(result.duplicates.drop(POSITION), "cleaning_duplicates", partition_by=["ANO"])
+    marked = mark(flag(silver, plan), plan).drop(POSITION)
+    own = lake if lake.pending is not None else lake.begin()
+    folder = own.write_split(marked, "cleaned_rows", VERDICT, CLEANING_TABLES, hide=[REPAIRED], compact=True, years=years)
+    written = spark.read.schema(marked.schema).parquet(folder)
+    own.write(marked_report(written, plan), "cleaning_report", partition_by=["ANO"], years=years)
+    if own is not lake:
+        own.commit(spark)
 
 
 def cleaned_to_classes(
     spark: SparkSession, lake: Lake, years: Sequence[int], rules: Sequence[ClassRule] = DEFAULT_CLASSES
 ) -> None:
     classes = apply_classes(only_years(lake.read(spark, "cleaned"), list(years)), rules)
-    lake.write(classes, "classes")
-    written = lake.read(spark, "classes")
-    names = [r.name for r in rules]
-    by_year = [class_summary(only_years(written, [y]), names).withColumn("ANO", F.lit(y)) for y in years]
+    lake.write(classes, "classes", years=years)
+    summary = class_summary_by_year(only_years(lake.read(spark, "classes"), list(years)), list(years), [r.name for r in rules])
     # A folder for each year: building one year leaves the summaries of the others.
-    lake.write(reduce(DataFrame.unionByName, by_year), "classes_summary", partition_by=["ANO"])
+    lake.write(summary, "classes_summary", partition_by=["ANO"], years=years)
 
 
 def gold_tables(cleaned: DataFrame, bands: list[tuple] = MEAN_BANDS) -> dict[str, DataFrame]:
@@ -92,12 +107,14 @@ def gold_tables(cleaned: DataFrame, bands: list[tuple] = MEAN_BANDS) -> dict[str
 
 
 def build_gold(
-    spark: SparkSession, lake: Lake, years: Sequence[int], bands: list[tuple] = MEAN_BANDS
+    spark: SparkSession, lake: Lake, years: Sequence[int], bands: list[tuple] = MEAN_BANDS, checks: Sequence[Check] = ()
 ) -> None:
+    """Write the gold tables. ``checks`` are measured while their table is written, and a failed one stops the build."""
     cleaned = only_years(lake.read(spark, "cleaned"), list(years))
     for name, table in gold_tables(cleaned, bands).items():
         # Row-level gold is partitioned by year; the aggregates are small single folders.
-        lake.write(table, name, partition_by=["ANO"] if name == "tb_notas" else [])
+        by = ["ANO"] if name == "tb_notas" else []
+        assert_outcomes(checked_write(lake, table, name, checks, partition_by=by))
     gold.assert_unique(lake.read(spark, "dim_municipio"), ["CO_MUNICIPIO_PROVA"])
 
 
@@ -109,16 +126,25 @@ def build_lake(
     plan: CleaningPlan = CleaningPlan(),
     skip_existing: bool = False,
     publish: bool = False,
+    with_gold: bool = True,
+    checks: Sequence[Check] = (),
 ) -> None:
-    """Everything from raw files to gold. ``skip_existing`` leaves out years already cleaned;
-    gold always covers all requested years."""
-    done = set(lake.years(spark, "cleaned")) if skip_existing else set()
+    """Everything from raw files to gold, published by one commit: a build that stops leaves the lake as it was.
+
+    ``skip_existing`` leaves out years whose whole build was committed; gold always covers all requested years.
+    Nothing is published if one of ``checks`` fails on the gold tables.
+    """
+    done = set(lake.complete_years(spark)) if skip_existing else set()
     todo = [y for y in years if y not in done]
+    own = lake.begin()
     if todo:
-        raw_to_silver(spark, lake, raw_root, todo)
-        silver_to_cleaned(spark, lake, todo, plan)
-        cleaned_to_classes(spark, lake, todo)
-    build_gold(spark, lake, years)
+        raw_to_silver(spark, own, raw_root, todo)
+        silver_to_cleaned(spark, own, todo, plan)
+        cleaned_to_classes(spark, own, todo)
+        own.mark_complete(todo)
+    if with_gold:
+        build_gold(spark, own, years, checks=checks)
+    own.commit(spark)
     if publish:
         publish_dashboard(spark, lake)
 

@@ -86,6 +86,18 @@ def unpivot(table: str, keys: list[str], names, key_name: str, value_name: str,
     )
 
 
+def silver(year: str) -> str:
+    return f"""
+SELECT ID_INSCRICAO, {year} AS ANO,
+  SG_UF_PROVA, CAST(CO_MUNICIPIO_PROVA AS VARCHAR) AS CO_MUNICIPIO_PROVA, NO_MUNICIPIO_PROVA, TP_SEXO,
+  CAST(TP_COR_RACA AS BIGINT) AS TP_COR_RACA, CAST(NULL AS BIGINT) AS TP_FAIXA_ETARIA,
+  CASE WHEN NU_IDADE BETWEEN 8 AND 120 THEN CAST(NU_IDADE AS BIGINT) END AS NU_IDADE, Q006,
+  {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in
+             ("TP_PRESENCA_CN", "TP_PRESENCA_CH", "TP_PRESENCA_LC", "TP_PRESENCA_MT", "TP_STATUS_REDACAO"))},
+  {", ".join(f"{VALID[s]} AS {s}" for s in SCORES)}, {KEY}
+FROM exam"""
+
+
 CTE = {
     "exam": f"""
 SELECT concat(l_orderkey, '-', l_linenumber) AS ID_INSCRICAO,
@@ -114,16 +126,9 @@ FROM lineitem
 LEFT JOIN orders ON l_orderkey = o_orderkey
 LEFT JOIN supplier ON l_suppkey = s_suppkey""",
     # Standardised rows: the text layout drops the year of every 29th part and out-of-range values.
-    "silver": f"""
-SELECT ID_INSCRICAO,
-  CASE WHEN l_partkey % 29 = 0 THEN {DEFAULT_YEAR} ELSE ANO END AS ANO,
-  SG_UF_PROVA, CAST(CO_MUNICIPIO_PROVA AS VARCHAR) AS CO_MUNICIPIO_PROVA, NO_MUNICIPIO_PROVA, TP_SEXO,
-  CAST(TP_COR_RACA AS BIGINT) AS TP_COR_RACA, CAST(NULL AS BIGINT) AS TP_FAIXA_ETARIA,
-  CASE WHEN NU_IDADE BETWEEN 8 AND 120 THEN CAST(NU_IDADE AS BIGINT) END AS NU_IDADE, Q006,
-  {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in
-             ("TP_PRESENCA_CN", "TP_PRESENCA_CH", "TP_PRESENCA_LC", "TP_PRESENCA_MT", "TP_STATUS_REDACAO"))},
-  {", ".join(f"{VALID[s]} AS {s}" for s in SCORES)}, {KEY}
-FROM exam""",
+    "silver": silver(f"CASE WHEN l_partkey % 29 = 0 THEN {DEFAULT_YEAR} ELSE ANO END"),
+    # The same rows out of files by year, whose year they take.
+    "filed": silver("ANO"),
     "numbered": f"""
 SELECT *, row_number() OVER (PARTITION BY ANO, ID_INSCRICAO ORDER BY {KEY}) AS nth
 FROM exam WHERE NOT ({BAD})""",
@@ -209,6 +214,7 @@ FROM geo WHERE SG_UF_PROVA = {q(STATE)} AND NOTA_REDACAO_count >= 1""",
 }
 NEEDS = {
     "silver": ["exam"],
+    "filed": ["exam"],
     "numbered": ["exam"],
     "kept": ["numbered"],
     "classed": ["exam"],
@@ -294,12 +300,10 @@ REASON = (
     + " ".join(f"WHEN {s} < 0 OR {s} > 1000 THEN 'range_{s}'" for s in SCORES)
     + " END"
 )
-STD_TYPED = over(
-    "silver",
-    f"""SELECT ID_INSCRICAO, CAST(ANO AS INTEGER) AS ANO, SG_UF_PROVA, CO_MUNICIPIO_PROVA, NO_MUNICIPIO_PROVA,
+SILVER_OUT = f"""ID_INSCRICAO, CAST(ANO AS INTEGER) AS ANO, SG_UF_PROVA, CO_MUNICIPIO_PROVA, NO_MUNICIPIO_PROVA,
 TP_SEXO, TP_COR_RACA, TP_FAIXA_ETARIA, NU_IDADE, Q006, TP_PRESENCA_CN, TP_PRESENCA_CH, TP_PRESENCA_LC,
-TP_PRESENCA_MT, TP_STATUS_REDACAO, {R4_SCORES} FROM silver""",
-)
+TP_PRESENCA_MT, TP_STATUS_REDACAO, {R4_SCORES}"""
+STD_TYPED = over("silver", f"SELECT {SILVER_OUT} FROM silver")
 
 
 def dedup(nth: str) -> str:
@@ -537,6 +541,21 @@ FROM exam WHERE ANO < {YEAR}""",
             "exam",
             f"""SELECT CASE WHEN l_partkey % 29 <> 0 THEN CAST(ANO AS BIGINT) END AS NU_ANO,
 NO_MUNICIPIO_PROVA AS MUNICIPIO_PROVA, TP_COR_RACA || ',0' AS TP_ETNIA, CAST(NU_IDADE AS BIGINT) AS IDADE FROM exam""",
+        ),
+        "contract_from_metadata": over(
+            "exam",
+            f"""SELECT CASE WHEN l_partkey % 29 <> 0 THEN CAST(ANO AS BIGINT) END AS NU_ANO,
+NO_MUNICIPIO_PROVA AS MUNICIPIO_PROVA, TP_COR_RACA || ',0' AS TP_ETNIA, CAST(NU_IDADE AS BIGINT) AS IDADE, '0,1,2,3,4,5' AS allowed
+FROM exam WHERE ANO = {YEAR}""",
+        ),
+        "raw_layouts": over("filed", f"SELECT {SILVER_OUT} FROM filed WHERE ANO IN ({FIRST}, {YEAR})"),
+        "lake_rebuild": over(
+            "exam",
+            f"""SELECT * FROM (
+  WITH made AS (SELECT ANO, ID_INSCRICAO FROM exam WHERE ANO IN ({FIRST}, {LAST}) OR (ANO = {YEAR} AND TP_SEXO = 'F')),
+  sums AS (SELECT ANO, count(*) AS n, count(DISTINCT ID_INSCRICAO) AS ids FROM made GROUP BY ANO)
+  SELECT 'silver' AS dataset, ANO, n FROM sums UNION ALL SELECT 'cleaned', ANO, ids FROM sums UNION ALL SELECT 'classes', ANO, ids FROM sums
+  UNION ALL SELECT 'cleaning_duplicates', ANO, n - ids FROM sums WHERE n > ids)""",
         ),
         "year_selection": over(
             "exam", f"SELECT ANO, count(*) AS n FROM exam WHERE ANO BETWEEN {FIRST} AND {LAST} GROUP BY ANO"
@@ -547,6 +566,12 @@ NO_MUNICIPIO_PROVA AS MUNICIPIO_PROVA, TP_COR_RACA || ',0' AS TP_ETNIA, CAST(NU_
         ),
         "clean_valid": CLEAN_VALID,
         "stream_clean": CLEAN_VALID,
+        "clean_metadata": over(
+            "numbered",
+            f"""SELECT {EXAM_OUT} FROM (SELECT * REPLACE (
+  CASE WHEN RENDA_FAMILIAR IN ('A', 'B') OR (ANO < {YEAR} AND RENDA_FAMILIAR = 'C') THEN RENDA_FAMILIAR ELSE 'UNKNOWN' END AS RENDA_FAMILIAR,
+  CASE WHEN ANO % 2 <> 0 OR TP_COR_RACA BETWEEN 0 AND 5 THEN TP_COR_RACA END AS TP_COR_RACA) FROM numbered WHERE nth = 1)""",
+        ),
         "clean_invalid": over("exam", f"SELECT {EXAM_OUT} FROM exam WHERE {BAD}"),
         "clean_duplicates": over("numbered", f"SELECT {EXAM_OUT} FROM numbered WHERE nth > 1"),
         "clean_report": CLEAN_REPORT,
@@ -613,6 +638,12 @@ FROM classed GROUP BY ALL""",
         ),
         "mean5_rows": over("mean5", f"SELECT ID_INSCRICAO, ANO, {R4_SCORES}, MEDIA_5_DISC FROM mean5"),
         "state_bands": over("bands", "SELECT * FROM bands"),
+        "state_bands_file": over(
+            "mean5",
+            """SELECT ANO, coalesce(SG_UF_PROVA, 'XX') AS SG_UF_PROVA, CASE WHEN MEDIA_5_DISC < 300 THEN 10 WHEN MEDIA_5_DISC < 452.5 THEN 20
+  WHEN MEDIA_5_DISC < 700 THEN 30 ELSE 40 END AS ID_FAIXA, CASE WHEN MEDIA_5_DISC < 300 THEN 'Até 300' WHEN MEDIA_5_DISC < 452.5 THEN 'De 300 a 452,5'
+  WHEN MEDIA_5_DISC < 700 THEN 'Meio' ELSE 'Alto # topo' END AS DESCRICAO_FAIXA, count(*) AS QTD_ALUNOS FROM mean5 GROUP BY ALL""",
+        ),
         "state_bands_dense": over(
             "bands",
             f"""SELECT s.ANO, s.SG_UF_PROVA, b.id AS ID_FAIXA, b.label AS DESCRICAO_FAIXA,
@@ -760,6 +791,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY ANO ORDER BY SG_UF_PROVA DESC) A
         "year_choices": over("stats", f"SELECT ANO FROM stats WHERE ANO >= {FIRST}"),
         "default_years": over("stats", f"SELECT ANO FROM stats WHERE ANO >= {FIRST} ORDER BY ANO DESC LIMIT 3"),
         "checks": checks(),
+        "gate": checks(),
         "audit": over(
             "exam",
             f"""SELECT 'silver' AS layer, ANO AS ano, 'exam' AS parquet_path, count(*) AS row_count,

@@ -6,15 +6,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.fixed_values import RACE_LABELS, SCORES
+from examlake.fixed_values import RACE_LABELS, RAW_SCORE_COLUMNS, SCORES
 from examlake.functions import text
 from examlake.operators import classes, cleaning, gold, metadata, quality, reports, serving, standardize, views
+from examlake.plans import build
 from examlake.plans.build import gold_tables
 from examlake.plans.exam_view import (
     EXAM_COLUMNS,
     LINE_ONLY,
     NO_ORDER,
     NO_PLACE,
+    RAW_LAYOUT,
     ROW_KEY,
     exam_from,
     exam_rows,
@@ -110,6 +112,15 @@ def contract_typed(spark, sf):
     return metadata.apply_types(metadata.select_known(raw, contract), contract)
 
 
+@query
+def contract_from_metadata(spark, sf):
+    """The contract of one year, read from the metadata table, on the raw rows of that year."""
+    contract = metadata.build_contract(exam_metadata(spark, sf), YEAR)
+    raw = raw_text(lake.only_years(exam_rows(spark, sf, keyed=True), [YEAR])).drop("SEXO")
+    typed = metadata.apply_types(metadata.select_known(raw, contract), contract)
+    return typed.withColumn("allowed", F.lit(",".join(contract["TP_ETNIA"].domain)))
+
+
 @query
 def year_selection(spark, sf):
     return lake.only_years(exam_rows(spark, sf, wanted=["ANO"]), lake.select_years(start=FIRST, end=LAST, known=range(1990, 2010))).groupBy(
@@ -125,7 +136,8 @@ def skip_existing(spark, sf):
 
 # ------------------------------------------------------------------ clean
 def cleaned(spark, sf):
-    return cleaning.clean(exam_rows(spark, sf, keyed=True), PLAN)
+    """The four tables as views of one write."""
+    return cleaning.write_marked(exam_rows(spark, sf, keyed=True), shared_folder(spark, "cleaned"), PLAN)
 
 
 @query
@@ -148,6 +160,36 @@ def clean_report(spark, sf):
     return cleaned(spark, sf).report
 
 
+def exam_metadata(spark, sf):
+    """A declaration of the raw and canonical variables for each year there is, with domains that differ by year."""
+    years = exam_rows(spark, sf, wanted=["ANO"]).select(F.col("ANO").alias("ano")).distinct()
+    letters = F.when(F.col("ano") < YEAR, F.array(*map(F.lit, "ABC"))).otherwise(F.array(*map(F.lit, "AB")))
+    races = F.when(F.col("ano") % 2 == 0, F.array(*map(F.lit, "012345")))
+    declared = {
+        "RENDA_FAMILIAR": ("string", letters),
+        "TP_COR_RACA": ("Int64", races),
+        "TP_ETNIA": ("string", races),
+        "TP_SEXO": ("string", F.array(F.lit("F"), F.lit("M"))),
+        "IDADE": ("Int64", F.lit(None).cast("array<string>")),
+        "NU_ANO": ("int32", F.lit(None).cast("array<string>")),
+        "MUNICIPIO_PROVA": ("text", F.lit(None).cast("array<string>")),
+    }
+    rows = [
+        F.struct(F.lit(n).alias("nome_original"), F.lit(n).alias("nome_padrao"), F.lit("").alias("descricao"), F.lit(t).alias("tipo_padrao"), d.alias("dominio_valores"))
+        for n, (t, d) in declared.items()
+    ]
+    return years.select("ano", F.inline(F.array(*rows)))
+
+
+@query
+def clean_metadata(spark, sf):
+    """Domains from the metadata of each row's year."""
+    domains = cleaning.domains_by_year(exam_metadata(spark, sf))
+    plan = cleaning.CleaningPlan(order=tuple(ROW_KEY))
+    rows = exam_rows(spark, sf, keyed=True)
+    return cleaning.write_marked(rows, shared_folder(spark, "cleaned"), plan, domains=domains).valid.select(*EXAM_COLUMNS)
+
+
 @query
 def rule_valid(spark, sf):
     return cleaning.enforce_ranges(exam_rows(spark, sf))[0]
@@ -295,6 +337,37 @@ def state_bands(spark, sf):
     return bands(spark, sf)
 
 
+# Bands as users write them.
+BAND_FILE = """# faixas de uma escola
+faixas:
+  - id: 10
+    min: 0
+    max: 300
+    descricao: "Até 300"
+    cor: "#ef4444" # vermelho
+  - id: 20
+    min: 300
+    max: 452.5
+    descricao: 'De 300 a 452,5'
+  - id: 30
+    min: 452.5
+    max: 700
+    descricao: Meio
+  - id: 40
+    min: 700
+    max: 1000
+    descricao: "Alto # topo"
+"""
+
+
+@query
+def state_bands_file(spark, sf):
+    """Bands read from a file and joined by their limits."""
+    path = shared_folder(spark, "bands")
+    spark.createDataFrame([(BAND_FILE,)], "value string").coalesce(1).write.text(path)
+    return gold.state_bands_joined(exam_rows(spark, sf), gold.bands_from_file(spark, path))
+
+
 @query
 def state_bands_dense(spark, sf):
     return gold.state_bands(exam_rows(spark, sf), dense=True)
@@ -580,12 +653,31 @@ def audit(spark, sf):
     return report.select(*[F.concat_ws(",", c).alias(c) if c in arrays else c for c in report.columns])
 
 
+@query
+def gate(spark, sf):
+    """Checks from a file, measured while the tables are written, before anything is published."""
+    folder = shared_folder(spark, "gate")
+    rules = spark.createDataFrame([(quality.checks_text(quality.DASHBOARD_CHECKS),)], "value string")
+    rules.coalesce(1).write.text(f"{folder}/checks")
+    checks = quality.load_checks(spark, f"{folder}/checks")
+    stored = lake.Lake(f"{folder}/lake").begin()
+    tables = {"tb_notas_stats": stats, "tb_notas_geo_uf": states, "tb_socio_economico": boxes}
+    found = [o for name, make in tables.items() for o in quality.checked_write(stored, make(spark, sf), name, checks)]
+    quality.assert_outcomes(found)
+    stored.commit(spark)
+    return spark.createDataFrame(found, quality.OUTCOMES)
+
+
 @query
 def audit_gold(spark, sf):
-    """Row and column counts of every gold table."""
-    tables = gold_tables(exam_rows(spark, sf))
-    report = quality.audit_report([quality.audit_dataset(df, "gold", name) for name, df in tables.items()])
-    return report.select("layer", "parquet_path", "row_count", "column_count", "has_ano_column")
+    """Row and column counts of every gold table of a lake."""
+    stored = lake.Lake(shared_folder(spark, "lake"))
+    rows = exam_rows(spark, sf)
+    for name, df in gold_tables(rows).items():
+        stored.write(df, name)
+    report = quality.audit_gold(spark, stored, [*gold_tables(rows), "tb_missing"])
+    table = F.substring_index("parquet_path", "/", -1).alias("parquet_path")
+    return report.select("layer", table, "row_count", "column_count", "has_ano_column")
 
 
 @query
@@ -659,6 +751,50 @@ def lake_round_trip(spark, sf):
     )
 
 
+def write_raw(df, path):
+    """A raw file as a folder of parts."""
+    how = {"header": True, "sep": ";", "encoding": "ISO-8859-1", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.drop(*ROW_KEY).write.options(**how).csv(path)
+
+
+@query
+def raw_layouts(spark, sf):
+    """A year in two layouts, and a year whose scores stand in a results file, by one catalog."""
+    root = shared_folder(spark, "raw")
+    rows = exam_rows(spark, sf, keyed=True)
+    first, later = (raw_text(lake.only_years(rows, [y])) for y in (FIRST, YEAR))
+    write_raw(first.filter("l_linenumber <= 4"), f"{root}/a/DADOS/MICRODADOS_EXAM_{FIRST}.csv")
+    turned = first.filter("l_linenumber > 4").drop("EXTRA_COLUMN")
+    write_raw(turned.select(*reversed(turned.columns)), f"{root}/a/dados/microdados_again_{FIRST}.csv")
+    scores = {RAW_LAYOUT[s]: name for s, name in zip(SCORES, RAW_SCORE_COLUMNS)}
+    write_raw(later.drop(*scores), f"{root}/microdados_exam_{YEAR}.csv")
+    write_raw(later.withColumnsRenamed(scores), f"{root}/b/Resultados_{YEAR}.csv")
+    stored = lake.Lake(shared_folder(spark, "lake"))
+    build.raw_to_silver(spark, stored, root, [FIRST, YEAR])
+    return stored.read(spark, "silver").drop("_POS")
+
+
+@query
+def lake_rebuild(spark, sf):
+    """Two years built, one of them again from fewer rows, a third stopped in the middle, then what is missing."""
+    folder = shared_folder(spark, "rebuild")
+    rows = exam_rows(spark, sf, keyed=True)
+    for year in (FIRST, YEAR, LAST):
+        write_raw(raw_text(lake.only_years(rows, [year])), f"{folder}/raw/microdados_exam_{year}.csv")
+    fewer = lake.only_years(rows, [YEAR]).filter("TP_SEXO = 'F'")
+    write_raw(raw_text(fewer), f"{folder}/again/microdados_exam_{YEAR}.csv")
+    stored = lake.Lake(f"{folder}/lake")
+    build.build_lake(spark, f"{folder}/raw", stored, [FIRST, YEAR], with_gold=False)
+    build.build_lake(spark, f"{folder}/again", stored, [YEAR], with_gold=False)
+    stopped = stored.begin()
+    build.raw_to_silver(spark, stopped, f"{folder}/raw", [LAST])
+    build.silver_to_cleaned(spark, stopped, [LAST])
+    build.build_lake(spark, f"{folder}/raw", stored, [FIRST, YEAR, LAST], skip_existing=True, with_gold=False)
+    tables = ["silver", "cleaned", "cleaning_duplicates", "classes"]
+    counts = [stored.read(spark, t, ["ANO"]).groupBy("ANO").agg(F.count("*").alias("n")).select(F.lit(t).alias("dataset"), "ANO", "n") for t in tables]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def json_export(spark, sf):
     folder = shared_folder(spark, "json")
@@ -694,17 +830,32 @@ def stream_standardize(spark, sf):
     return spark.read.parquet(f"{folder}/silver")
 
 
+ARRIVALS = 3
+
+
+def arriving(spark, sf, folder, run):
+    """The line items in three arrivals, by part number, so that copies of an identifier come one after the other in the order
+    of the row key; ``run`` is started anew on the stream after each."""
+    lines, schema = table(spark, sf, "lineitem"), table(spark, sf, "lineitem").schema
+    limits = lines.agg(F.min("l_partkey"), F.max("l_partkey")).first()
+    step = (limits[1] - limits[0]) // ARRIVALS + 1
+    for i in range(ARRIVALS):
+        lines.filter(F.floor((F.col("l_partkey") - limits[0]) / step) == i).write.mode("append").parquet(f"{folder}/in")
+        stream = incremental.file_stream(spark, schema, f"{folder}/in")
+        run(exam_from(stream, table(spark, sf, "orders"), table(spark, sf, "supplier")))
+
+
 @query
 def stream_clean(spark, sf):
     folder = shared_folder(spark, "stream-clean")
-    incremental.stream_clean(line_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint", PLAN)
+    arriving(spark, sf, folder, lambda rows: incremental.stream_clean(rows, f"{folder}/out", f"{folder}/checkpoint", PLAN))
     return incremental.read_cleaned(spark, f"{folder}/out").drop(*ROW_KEY)
 
 
 @query
 def stream_clean_report(spark, sf):
     folder = shared_folder(spark, "stream-report")
-    incremental.stream_clean(line_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint", PLAN)
+    arriving(spark, sf, folder, lambda rows: incremental.stream_clean(rows, f"{folder}/out", f"{folder}/checkpoint", PLAN))
     return incremental.read_report(spark, f"{folder}/out")
 
 
@@ -720,5 +871,5 @@ def stream_classes(spark, sf):
 @query
 def stream_class_summary(spark, sf):
     folder = shared_folder(spark, "stream-summary")
-    incremental.stream_class_summary(line_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out")
+    arriving(spark, sf, folder, lambda rows: incremental.stream_class_summary(rows, f"{folder}/out", f"{folder}/checkpoint"))
+    return incremental.read_class_summary(spark, f"{folder}/out")

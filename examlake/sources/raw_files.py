@@ -1,5 +1,12 @@
 """Raw year files: finding them, reading delimited text, choosing the file that has scores."""
 
+import csv
+import re
+from collections import defaultdict
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,11 +18,6 @@ POSITION = "_POS"
 YEAR_IN_PATH = r"(?:^|\D)((?:19|20)\d{2})(?:\D|$)"
 
 
-def any_case(name: str) -> str:
-    """A file glob matching ``name`` in any letter case."""
-    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
-
-
 def header_columns(
     spark: SparkSession, path: str | list[str], sep: str = ";", encoding: str = "ISO-8859-1"
 ) -> list[str]:
@@ -92,43 +94,121 @@ def parquet_position() -> Column:
     )
 
 
-def find_files(spark: SparkSession, root: str, name: str) -> list[str]:
-    """Files below ``root`` whose name equals ``name`` in any letter case (globs allowed)."""
-    return sorted(
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", any_case(name))
-        .text(root)
-        .inputFiles()
-    )
+MAIN, RESULTS = "microdados_*_{year}.csv", "resultados_{year}.csv"
+HEADER_BYTES = 1 << 16
+READERS = 16  # headers read at a time
 
 
-def year_files(
-    spark: SparkSession,
-    root: str,
-    year: int,
-    main: str = "microdados_*_{year}.csv",
-    results: str = "resultados_{year}.csv",
-) -> list[str]:
+@dataclass(frozen=True)
+class RawFile:
+    """A delimited file, or a folder of part files under a file's name, with the columns of its header."""
+
+    path: str
+    name: str
+    columns: tuple[str, ...] = ()
+
+    def has(self, wanted: Sequence[str]) -> bool:
+        return set(wanted) <= set(self.columns)
+
+
+def list_files(spark: SparkSession, root: str) -> dict[str, str]:
+    """Every data file below ``root`` and the file or folder of parts it belongs to, from one recursive listing.
+
+    A folder whose name ends like a file's (``x_2019.csv/part-0``) is one file. Hidden files are left out.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return {}
+    top = fs.makeQualified(folder).toString().rstrip("/")
+    files, found = fs.listFiles(folder, True), {}
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        parts = path.removeprefix(top).split("/")
+        if parts[-1].startswith(("_", ".")):
+            continue
+        named = next((i for i, x in enumerate(parts) if x.lower().endswith(".csv")), len(parts) - 1)
+        found[path] = top + "/".join(parts[: named + 1])
+    return dict(sorted(found.items()))
+
+
+def first_line(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> str:
+    """The first line of a file by one read of its first bytes, through Spark's file systems and without a job."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEADER_BYTES)))
+    finally:
+        stream.close()
+    return re.split(r"\r\n|\r|\n", data.decode(encoding, "replace"), maxsplit=1)[0]
+
+
+def catalog(spark: SparkSession, root: str, encoding: str = "ISO-8859-1", sep: str = ";", wanted: str = r".*\.csv") -> list[RawFile]:
+    """The raw files below ``root`` whose name matches ``wanted`` in any letter case, with their headers.
+
+    One listing and a read of the first bytes of each file, side by side; no Spark job. A file that stands in two folders under
+    one name is refused, as nobody can say which of them holds the rows.
+    """
+    by_path: dict[str, str] = {}
+    for file, whole in list_files(spark, root).items():
+        if re.fullmatch(wanted, whole.rsplit("/", 1)[1], re.IGNORECASE):
+            by_path.setdefault(whole, file)
+    named = defaultdict(list)
+    for path in by_path:
+        named[path.rsplit("/", 1)[1].lower()].append(path)
+    twice = [paths for paths in named.values() if len(paths) > 1]
+    if twice:
+        raise ValueError(f"the same raw file in several places: {twice}")
+
+    def header(path: str) -> RawFile:
+        line = first_line(spark, by_path[path], encoding).removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf")
+        columns = next(csv.reader([line], delimiter=sep), [])
+        if "" in columns or len({c.lower() for c in columns}) < len(columns):
+            columns = header_columns(spark, path, sep, encoding)  # Spark names blank and repeated columns
+        return RawFile(path, path.rsplit("/", 1)[1], tuple(columns))
+
+    with ThreadPoolExecutor(READERS) as pool:
+        return list(pool.map(header, by_path))
+
+
+def glob_pattern(name: str, year: int) -> str:
+    return re.escape(name.format(year=year)).replace(r"\*", ".*")
+
+
+def files_of_year(files: Sequence[RawFile], year: int, root: str, main: str = MAIN, results: str = RESULTS) -> list[RawFile]:
     """The files holding a year's rows: the main files, or the results files when only those
     carry the score columns."""
-    main_files = find_files(spark, root, main.format(year=year))
-    if main_files and has_columns(spark, main_files, RAW_SCORE_COLUMNS):
-        return main_files
-    result_files = find_files(spark, root, results.format(year=year))
-    if result_files and has_columns(spark, result_files, RAW_SCORE_COLUMNS):
+
+    def named(pattern: str) -> list[RawFile]:
+        return [f for f in files if re.fullmatch(glob_pattern(pattern, year), f.name, re.IGNORECASE)]
+
+    def scored(found: list[RawFile]) -> bool:
+        return any(f.has(RAW_SCORE_COLUMNS) for f in found)
+
+    main_files, result_files = named(main), named(results)
+    if not scored(main_files) and scored(result_files):
         return result_files
     if not main_files:
         raise FileNotFoundError(f"no raw file for {year} below {root}")
     return main_files
 
 
-def has_columns(spark: SparkSession, path: str | list[str], wanted: list[str]) -> bool:
-    return set(wanted) <= set(header_columns(spark, path))
+def find_files(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Files below ``root`` whose name equals ``name`` in any letter case (globs allowed)."""
+    pattern = re.escape(name).replace(r"\*", ".*")
+    found = set(list_files(spark, root).values())
+    return sorted(p for p in found if re.fullmatch(pattern, p.rsplit("/", 1)[1], re.IGNORECASE))
+
+
+def year_files(spark: SparkSession, root: str, year: int, main: str = MAIN, results: str = RESULTS) -> list[str]:
+    """Paths of the files holding a year's rows (``files_of_year`` over a catalog of that year)."""
+    names = "|".join(glob_pattern(n, year) for n in (main, results))
+    return [f.path for f in files_of_year(catalog(spark, root, wanted=names), year, root, main, results)]
 
 
 def year_from_path(path: Column | None = None) -> Column:
-    """Year written in a file's name, else in its folders."""
+    """Year written in a file's name (or the name of its folder of parts), else in its folders."""
     path = F.col("_metadata.file_path") if path is None else path
-    name = F.substring_index(path, "/", -1)
-    found = [F.regexp_extract(text, YEAR_IN_PATH, 1).try_cast("int") for text in (name, path)]
+    name = F.regexp_extract(path, r"(?i)([^/]*\.csv)(?:/[^/]*)?$", 1)
+    found = [F.regexp_extract(text, YEAR_IN_PATH, 1).try_cast("int") for text in (name, F.substring_index(path, "/", -1), path)]
     return F.coalesce(*found)

@@ -6,25 +6,18 @@ file sinks commit through their own log, and ``foreachBatch`` writers own one fo
 which a repeated batch overwrites.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
-from pyspark.sql.types import StructType
 
 from examlake.fixed_values import CLASS_COLUMNS
-from examlake.operators.classes import DEFAULT_CLASSES, ClassRule, apply_classes, class_counts
-from examlake.operators.cleaning import (
-    CleaningPlan,
-    cleaning_report,
-    keep_first,
-    later_copies,
-    present_keys,
-    quarantine,
-    repair_domains,
-)
+from examlake.operators.classes import DEFAULT_CLASSES, ClassRule, apply_classes, class_counts, with_empty_classes
+from examlake.operators.cleaning import VALID, VERDICT, CleaningPlan, by_verdict, first_positions, flag, mark, unique_keys
 from examlake.operators.standardize import standardize
+from examlake.sources.lake import hadoop_folder
 from examlake.sources.raw_files import POSITION
 
 BATCH = "batch_id"
@@ -61,63 +54,83 @@ def stream_standardize(
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RUNNING, KIND = "_RUNNING", "_KIND"
+
+
+@contextmanager
+def on_disk_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, on the executors' disks and in the checkpoint."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+
 def stream_clean(silver: DataFrame, output: str, checkpoint: str, plan: CleaningPlan = CleaningPlan()) -> None:
     """New silver rows cleaned against themselves and against all rows cleaned before.
 
-    Writes ``valid``, ``invalid``, ``duplicates`` and ``report`` below ``output``. The identifiers
-    seen so far are read from ``valid`` itself (key columns only, and only the years the batch
-    brings), so there is no second store to keep in step and the state may be as large as the table.
+    Writes ``valid``, ``invalid``, ``duplicates`` and ``report`` below ``output``. The keys seen so far are the state of a
+    streaming aggregation that counts the valid rows of each key: a batch looks up its own keys there, whatever the size of
+    the tables, and gets their running counts. A key whose running count exceeds its rows in the batch was seen
+    before. Rows and counts leave the query together and are stored once (``staged``); verdicts, repairs and the
+    four tables are made of the stored rows. A repeated batch starts from the same state and replaces its folders.
     """
     spark = silver.sparkSession
+    flagged = flag(silver, plan)
+    keys = unique_keys(flagged, plan)
+    both = flagged.withColumn(RUNNING, F.lit(None).cast("bigint"))
+    if keys:
+        counts = flagged.filter(F.col(VERDICT) == VALID).groupBy(*keys).agg(F.count("*").alias(RUNNING))
+        both = both.unionByName(counts, allowMissingColumns=True)
+    schema = both.schema.add(KIND, "string")
+    by_year = ["ANO"] if "ANO" in unique_keys(flagged, plan) else []
 
     def clean_batch(batch: DataFrame, batch_id: int) -> None:
-        scope = present_keys(batch, plan.scope)
-        keys = [*scope, *[k for k in present_keys(batch, plan.keys) if k not in scope]]
-        passing, invalid = quarantine(batch, plan.ranges)
-        first = keep_first(passing, keys, plan.order)
-        again = later_copies(passing, keys, plan.order)
-        by_year = ["ANO"] if "ANO" in scope else []
-        stored = first.drop(POSITION).schema.add(BATCH, "integer")
-        seen = _cleaned_before(spark, f"{output}/valid", batch_id, keys, stored)
-        if seen is not None and by_year:
-            years = [r["ANO"] for r in batch.select("ANO").distinct().collect()]
-            seen = seen.filter(F.col("_seen_ANO").isin(years))
-        if seen is not None:
-            # Null-safe on every key, so a missing identifier is a value like any other.
-            same = [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in keys]
-            again = again.unionByName(first.join(seen, same, "left_semi"))
-            first = first.join(seen, same, "left_anti")
-        report = cleaning_report(batch, plan, first)
-        tables = {
-            "valid": repair_domains(first, plan.domains),
-            "invalid": invalid,
-            "duplicates": again,
-            "report": report,
-        }
-        for name, table in tables.items():
-            writer = table.drop(POSITION).write.mode("overwrite")
-            if name == "valid" and by_year:
-                writer = writer.partitionBy("ANO").option("partitionOverwriteMode", "static")
-            writer.parquet(f"{output}/{name}/{BATCH}={batch_id}")
-
-    _finish(
-        silver.writeStream.foreachBatch(clean_batch)
+        kind = F.when(F.col(RUNNING).isNull(), "rows").otherwise("keys")
+        staged = f"{output}/staged"
+        writer = batch.withColumn(KIND, kind).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy(KIND).parquet(staged)
+        stored = spark.read.schema(schema).parquet(staged)
+        rows = stored.filter(F.col(KIND) == "rows").select(*flagged.columns)
+        running = stored.filter(F.col(KIND) == "keys").select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], RUNNING)
+        marked = mark(rows, plan, taken_before(rows, running, plan) if keys else None).persist()
+        try:
+            for name, table in by_verdict(marked, plan)._asdict().items():
+                out = table.drop(POSITION).write.mode("overwrite").option("partitionOverwriteMode", "static")
+                if name == "valid" and by_year:
+                    out = out.partitionBy(*by_year)
+                out.parquet(f"{output}/{name}/{BATCH}={batch_id}")
+        finally:
+            marked.unpersist()
+
+    with on_disk_state(spark):
+        query = silver_query(both, clean_batch, checkpoint)
+    _finish(query)
+
+
+def taken_before(rows: DataFrame, running: DataFrame, plan: CleaningPlan) -> DataFrame:
+    """Keys of the batch that earlier batches have valid rows of: their running count exceeds that of the batch."""
+    own = first_positions(rows, plan).drop("_first")
+    names = [c for c in own.columns if c != "_copies"]
+    total = running.select(*[F.col(n).alias(f"_run{n}") for n in names], RUNNING)
+    same = [F.col(n).eqNullSafe(F.col(f"_run{n}")) for n in names]
+    return own.join(total, same).filter(F.col(RUNNING) > F.col("_copies")).select(*names)
+
+
+def silver_query(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return (
+        rows.writeStream.outputMode("update")
+        .foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def _cleaned_before(
-    spark: SparkSession, path: str, batch_id: int, keys: Sequence[str], schema: StructType
-) -> DataFrame | None:
-    """Keys kept by earlier batches (a repeated batch must not see its own first attempt)."""
-    if batch_id == 0:
-        return None
-    table = spark.read.schema(schema).parquet(path).filter(F.col(BATCH) < batch_id)
-    return table.select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
-
-
 def read_cleaned(spark: SparkSession, output: str) -> DataFrame:
     return spark.read.parquet(f"{output}/valid").drop(BATCH)
 
@@ -153,16 +166,42 @@ def stream_class_summary(
     rules: Sequence[ClassRule] = DEFAULT_CLASSES,
     columns: Sequence[str] = CLASS_COLUMNS,
 ) -> None:
-    """Running class counts. The state holds one number per class value."""
+    """Running class counts, age classes listed even when empty. The state holds one number per class value.
+
+    Every batch writes a version of its own; ``read_class_summary`` reads the last whole one, and the version
+    before stays for readers that have opened it.
+    """
+    spark = cleaned.sparkSession
 
     def publish(counts: DataFrame, batch_id: int) -> None:
-        counts.write.mode("overwrite").parquet(output)
+        with_empty_classes(counts, columns).write.mode("overwrite").parquet(f"{output}/{BATCH}={batch_id}")
+        fs, folder = hadoop_folder(spark, output)
+        for version in published_versions(spark, output)[:-2]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{BATCH}={version}"), True)
 
+    counts = class_counts(apply_classes(cleaned, rules), columns)
     _finish(
-        class_counts(apply_classes(cleaned, rules), columns)
-        .writeStream.outputMode("complete")
+        counts.writeStream.outputMode("complete")
         .foreachBatch(publish)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def published_versions(spark: SparkSession, output: str) -> list[int]:
+    """Numbers of the wholly written versions, in order."""
+    fs, folder = hadoop_folder(spark, output)
+    if not fs.exists(folder):
+        return []
+    found = [e.getPath() for e in fs.listStatus(folder) if e.getPath().getName().startswith(f"{BATCH}=")]
+    whole = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix(f"{BATCH}=")) for p in whole)
+
+
+def read_class_summary(spark: SparkSession, output: str) -> DataFrame:
+    """The last whole version of the running summary."""
+    versions = published_versions(spark, output)
+    if not versions:
+        raise FileNotFoundError(f"no class summary below {output}")
+    return spark.read.parquet(f"{output}/{BATCH}={versions[-1]}")

@@ -133,3 +133,47 @@ def test_duplicates_join_is_not_forced_to_broadcast(spark):
     df = spark.range(10).select(F.col("id").alias("pos"), (F.col("id") % 3).cast("string").alias("ID_INSCRICAO"))
     plan = cleaning.later_copies(df, ["ID_INSCRICAO"], ["pos"])._jdf.queryExecution().logical().toString()
     assert "broadcast" not in plan.lower()
+
+
+# ------------------------------------------------------------------ one marked pass
+MARKED = "pos int, ANO int, ID_INSCRICAO string, NU_IDADE int, NOTA_MATEMATICA double, RENDA_FAMILIAR string, GRUPO int"
+MARKED_ROWS = [
+    (0, 2016, "1", 16, 500.0, "A", 1), (1, 2016, "1", 16, 510.0, "Z", 9), (2, 2016, "2", 17, 600.0, "Z", 9), (3, 2016, None, 17, 600.0, None, 2),
+    (4, 2016, "4", 250, 700.0, "Z", 9), (5, 2017, "1", 30, 650.0, "C", 3), (6, 2016, None, 40, 1.0, "B", 1), (7, 2016, "4", 25, float("nan"), "Z", None),
+]
+
+
+def test_marked_pass_equals_the_separate_ones(spark, tmp_path):
+    df = spark.createDataFrame(MARKED_ROWS, MARKED)
+    plan = CleaningPlan(domains=(DomainRule("RENDA_FAMILIAR", ("A", "B", "C")), DomainRule("GRUPO", ("1", "2", "3"), year=2016)), order=("pos",))
+    one, separate = cleaning.write_marked(df, str(tmp_path / "marked"), plan), cleaning.clean(df, plan)
+    for name in ("valid", "invalid", "duplicates", "report"):
+        got, expected = getattr(one, name), getattr(separate, name)
+        assert sorted(map(str, got.select(expected.columns).collect())) == sorted(map(str, expected.collect())), name
+    folders = {p.name for p in (tmp_path / "marked").iterdir() if p.is_dir()}
+    assert folders == {"_VERDICT=valid", "_VERDICT=invalid", "_VERDICT=duplicate"}
+
+
+def test_marked_pass_without_keys_and_without_rows(spark, tmp_path):
+    plan = CleaningPlan(order=("pos",))
+    df = spark.createDataFrame(MARKED_ROWS, MARKED).drop("ID_INSCRICAO")
+    one = cleaning.write_marked(df, str(tmp_path / "a"), plan)
+    assert (one.valid.count(), one.invalid.count(), one.duplicates.count()) == (7, 1, 0)
+    none = cleaning.write_marked(df.limit(0), str(tmp_path / "b"), plan)
+    assert [t.count() for t in none] == [0, 0, 0, 0] and none.valid.columns == df.columns
+
+
+def test_domains_of_the_metadata_hold_in_their_year(spark, tmp_path):
+    schema = "ano int, nome_padrao string, dominio_valores array<string>"
+    declared = [
+        (2016, "RENDA_FAMILIAR", ["A", "B"]), (2017, "RENDA_FAMILIAR", ["A"]), (2016, "GRUPO", ["1", "2.0", "x"]), (2016, "NU_IDADE", None),
+        (2016, "ABSENT", ["1"]), (2016, "", ["1"]), (2016, "RENDA_FAMILIAR", ["A", "B", "Z"]),
+    ]
+    domains = cleaning.domains_by_year(spark.createDataFrame(declared, schema))
+    df = spark.createDataFrame(MARKED_ROWS, MARKED)
+    one = cleaning.write_marked(df, str(tmp_path / "a"), CleaningPlan(order=("pos",)), domains=domains)
+    got = {r.pos: (r.RENDA_FAMILIAR, r.GRUPO) for r in one.valid.collect()}
+    assert got == {0: ("A", 1), 2: ("UNKNOWN", None), 3: (None, 2), 5: ("UNKNOWN", 3), 7: ("UNKNOWN", None)}
+    report = {(r.ANO, r.rule): r.affected_rows for r in one.report.collect()}
+    assert report[2016, "domain:RENDA_FAMILIAR"] == 2 and report[2016, "domain:GRUPO"] == 1 and report[2017, "domain:RENDA_FAMILIAR"] == 1
+    assert not cleaning.write_marked(df.limit(0), str(tmp_path / "b"), CleaningPlan(order=("pos",)), domains=domains).valid.count()

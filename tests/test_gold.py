@@ -175,3 +175,49 @@ def test_bands_from_a_file(spark, tmp_path):
     path.write_text('[{"id": 2, "min": 650, "max": 1000, "descricao": "high"}, {"id": 1, "min": 0, "max": 650, "descricao": "low"}]')
     assert gold.load_bands(spark, str(path)) == [(1, 0, 650, "low"), (2, 650, 1000, "high")]
     assert len(gold.load_bands(spark)) == 4
+
+
+def test_bands_from_a_file(spark, tmp_path):
+    path = tmp_path / "bands.yaml"
+    path.write_text("# x\r\nfaixas:\r\n  - id: 7\r\n    min: 100\r\n    max: 400 # y\r\n    descricao: \"A: b\"\r\n  - id: 8\r\n    cor: z\r\n    min: 400\r\n    max: 1000\r\n    descricao: Alto\r\n", "utf-8")
+    bands = gold.bands_from_file(spark, str(path))
+    assert [tuple(r) for r in bands.orderBy("place").collect()] == [(1, 7, 100.0, 400.0, "A: b"), (2, 8, 400.0, 1000.0, "Alto")]
+    values = [50.0, 100.0, 399.99, 400.0, 1000.0]
+    df = scores_frame(spark, [(2020, str(i), "SP", 20, *[v] * 5) for i, v in enumerate(values)], "ANO int, ID_INSCRICAO string, SG_UF_PROVA string, NU_IDADE int")
+    got = {r.ID_FAIXA: r.QTD_ALUNOS for r in gold.state_bands_joined(df, bands).collect()}
+    assert got == {7: 3, 8: 2}  # 50 lies in no band and falls to the first
+
+
+def test_bands_joined_equal_the_default_ones_and_overlap(spark):
+    rng = np.random.default_rng(4)
+    rows = [(2019 + i % 2, str(i), ["SP", "BA", None][i % 3], 20, *map(float, rng.uniform(0, 1000, 5).round(1))) for i in range(300)]
+    df = scores_frame(spark, rows, "ANO int, ID_INSCRICAO string, SG_UF_PROVA string, NU_IDADE int")
+    table = spark.createDataFrame([(i, b[0], float(b[1]), float(b[2]), b[3]) for i, b in enumerate(gold.MEAN_BANDS)], gold.BANDS)
+    assert sorted(map(tuple, gold.state_bands_joined(df, table).collect()), key=str) == sorted(map(tuple, gold.state_bands(df).collect()), key=str)
+    twice = table.unionByName(table.withColumn("place", F.col("place") + 10).withColumn("id", F.lit(99)))
+    assert gold.state_bands_joined(df, twice).agg(F.sum("QTD_ALUNOS")).first()[0] == 300
+    assert not gold.state_bands_joined(df, twice).filter("ID_FAIXA = 99").count()
+    assert gold.state_bands_joined(df.limit(0), table).count() == 0
+
+
+def test_exact_summary_of_odd_groups(spark):
+    """Null groups, groups without values, single values, values out of the range; two reads of the rows."""
+    from examlake.operators.quantiles import exact_summary
+
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.normal(500, 300, 2000)] + [("one", 5.0), ("none", None), ("none", None), (None, 1.0), (None, 3.0), ("same", 7.0), ("same", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r.g: r for r in exact_summary(df, ["g"], "v", {"q1": 0.25, "median": 0.5}, 0, 1000, 50).collect()}
+    values = np.array([v for g, v in rows if g == "a"])
+    assert (got["a"]["count"], got["a"]["min"], got["a"]["max"]) == (2000, values.min(), values.max())
+    assert got["a"]["mean"] == pytest.approx(values.mean(), rel=1e-12) and got["a"]["std"] == pytest.approx(values.std(ddof=1), rel=1e-12)
+    assert got["a"]["q1"] == pytest.approx(np.quantile(values, 0.25), rel=1e-12)
+    assert tuple(got["none"])[1:] == (0, None, None, None, None, None, None)
+    assert tuple(got["one"])[1:] == (1, 5.0, None, 5.0, 5.0, 5.0, 5.0)
+    assert tuple(got[None])[1:4] == (2, 2.0, pytest.approx(2**0.5)) and got[None]["median"] == 2.0
+    assert got["same"]["std"] == 0.0
+    assert exact_summary(df.limit(0), ["g"], "v", {"median": 0.5}, 0, 1000).count() == 0
+    found = exact_summary(df, ["g"], "v", {"median": 0.5}, 0, 1000)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Scan ExistingRDD") <= 2

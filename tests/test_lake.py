@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from examlake.operators import metadata
 from examlake.operators.cleaning import CleaningPlan, DomainRule
+from examlake.operators.quality import Check
 from examlake.plans import build
-from examlake.sources import exports
-from examlake.sources.lake import Lake, missing_years, only_years, select_years
+from examlake.sources import exports, raw_files
+from examlake.sources.lake import ConcurrentCommit, Lake, missing_years, only_years, select_years
 
 HEAD = (
     "NU_INSCRICAO;{uf};CO_MUNICIPIO_PROVA;NO_MUNICIPIO_PROVA;TP_SEXO;NU_IDADE;Q006;TP_PRESENCA_CN;TP_PRESENCA_CH;"
@@ -150,3 +151,113 @@ def test_append_and_empty_results_keep_the_schema(spark, tmp_path):
     assert made.read(spark, "cleaned").count() == 2
     made.write(df.filter(F.lit(False)), "empty", partition_by=[])
     assert made.read(spark, "empty").columns == ["ANO", "v"]
+
+
+# ------------------------------------------------------------------ snapshots
+def test_stale_years_go_and_others_stay(spark, tmp_path):
+    made = Lake(str(tmp_path))
+    made.write(spark.createDataFrame([(2020, "a"), (2021, "b"), (2022, "c")], "ANO int, v string"), "silver")
+    made.write(spark.createDataFrame([(2020, "x")], "ANO int, v string"), "silver", years=[2020, 2021])
+    assert sorted(map(tuple, made.read(spark, "silver", ["ANO", "v"]).collect())) == [(2020, "x"), (2022, "c")]
+    assert made.years(spark, "silver") == [2020, 2022]
+    assert made.read(spark, "silver", version=1).count() == 3  # the first snapshot is still whole
+    made.write(spark.createDataFrame([], "ANO int, v string"), "silver", years=[2020, 2022])
+    assert made.read(spark, "silver").columns == ["v", "ANO"] and made.read(spark, "silver").count() == 0
+
+
+def test_nothing_is_seen_before_commit(spark, tmp_path):
+    made = Lake(str(tmp_path))
+    made.write(spark.range(3), "a")
+    own = made.begin()
+    own.write(spark.range(5), "a")
+    own.write(spark.range(7), "b")
+    own.mark_complete([2020])
+    assert own.read(spark, "a").count() == 5 and made.read(spark, "a").count() == 3
+    assert not made.exists(spark, "b") and made.complete_years(spark) == []
+    assert own.commit(spark) == 2
+    assert (made.read(spark, "a").count(), made.read(spark, "b").count(), made.complete_years(spark)) == (5, 7, [2020])
+
+
+def test_two_writers_of_one_table(spark, tmp_path):
+    made = Lake(str(tmp_path))
+    one, two, three = made.begin(), made.begin(), made.begin()
+    one.write(spark.range(1), "a")
+    two.write(spark.range(2), "a")
+    three.write(spark.range(3), "b")
+    one.commit(spark)
+    with pytest.raises(ConcurrentCommit):
+        two.commit(spark)
+    three.commit(spark)  # another table: both commits hold
+    assert (made.read(spark, "a").count(), made.read(spark, "b").count()) == (1, 3)
+    assert not made._publish(spark, {"version": 1, "tables": {}, "complete": []})  # a version is never written over
+    gone = made.vacuum(spark, keep=1)
+    assert len(gone) == 1 and gone[0].startswith("a/") and made.read(spark, "a").count() == 1
+
+
+def test_one_write_as_several_tables(spark, tmp_path):
+    made = Lake(str(tmp_path))
+    rows = spark.createDataFrame([(2020, "x", 1), (2020, "y", 2), (2021, "x", 3)], "ANO int, kind string, v int")
+    folder = made.write_split(rows, "all", "kind", {"x": "xs", "y": "ys", "z": "zs"}, hide=["v"], years=[2020, 2021])
+    assert sorted(r.ANO for r in made.read(spark, "xs").collect()) == [2020, 2021]
+    assert made.read(spark, "ys").columns == ["ANO"] and made.read(spark, "zs").count() == 0
+    assert spark.read.parquet(folder).count() == 3 and made.read(spark, "xs", position=True).columns[-1] == "_POS"
+
+
+def test_columns_that_came_later(spark, tmp_path):
+    made = Lake(str(tmp_path))
+    made.write(spark.createDataFrame([(2020, "a")], "ANO int, v string"), "cleaned")
+    made.write(spark.createDataFrame([(2021, "b", 5)], "ANO int, v string, w int"), "cleaned", append=True)
+    assert sorted(map(tuple, made.read(spark, "cleaned", ["ANO", "w"]).collect()), key=str) == [(2020, None), (2021, 5)]
+    assert set(made.read(spark, "cleaned", merge_schema=True).columns) == {"ANO", "v", "w"}
+
+
+def test_a_build_that_stops_leaves_the_lake_as_it_was(spark, raw_root, tmp_path, monkeypatch):
+    made = Lake(str(tmp_path / "lake"))
+    build.build_lake(spark, raw_root, made, [2019], with_gold=False)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(build, "cleaned_to_classes", stop)
+        with pytest.raises(RuntimeError):
+            build.build_lake(spark, raw_root, made, [2019, 2020], skip_existing=True, with_gold=False)
+    assert made.years(spark, "cleaned") == made.complete_years(spark) == [2019]
+    build.build_lake(spark, raw_root, made, [2019, 2020], skip_existing=True, with_gold=False)
+    assert made.years(spark, "classes") == made.complete_years(spark) == [2019, 2020]
+
+
+def test_a_failed_check_stops_the_build(spark, raw_root, tmp_path):
+    made = Lake(str(tmp_path / "lake"))
+    with pytest.raises(RuntimeError, match="tb_notas_stats"):
+        build.build_lake(spark, raw_root, made, [2019], checks=[Check("tb_notas_stats", "row_count", ">", 5)])
+    assert made.versions(spark) == []
+    build.build_lake(spark, raw_root, made, [2019], checks=[Check("tb_notas_stats", "row_count", "=", 1)])
+    assert made.read(spark, "tb_notas_stats").count() == 1
+
+
+# ------------------------------------------------------------------ the catalog of raw files
+def test_catalog_lists_files_and_folders_of_parts(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "Microdados_A_2019.CSV").write_bytes("\ufeffNU_INSCRICAO;Município\r\n1;2\r\n".encode("utf-8"))
+    spark.createDataFrame([("1", "2")], '`NU_NOTA_CN` string, `q;uoted` string').coalesce(1).write.options(header=True, sep=";").csv(str(tmp_path / "resultados_2019.csv"))
+    (tmp_path / "notes.txt").write_text("x")
+    files = {f.name: f for f in raw_files.catalog(spark, str(tmp_path), "utf-8")}
+    assert files["Microdados_A_2019.CSV"].columns == ("NU_INSCRICAO", "Município")
+    assert files["resultados_2019.csv"].columns == ("NU_NOTA_CN", "q;uoted") and len(files) == 2
+    assert [f.name for f in raw_files.files_of_year(list(files.values()), 2019, "")] == ["Microdados_A_2019.CSV"]
+    assert raw_files.catalog(spark, str(tmp_path / "absent")) == []
+
+
+def test_the_same_file_in_two_places_is_refused(spark, tmp_path):
+    for folder in ("DADOS", "copy"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / f"microdados_x_2019.{'csv' if folder == 'copy' else 'CSV'}").write_text("A;B\n1;2\n")
+    with pytest.raises(ValueError, match="several places"):
+        raw_files.catalog(spark, str(tmp_path))
+
+
+def test_catalog_runs_no_job(spark, raw_root):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert len(raw_files.catalog(spark, raw_root)) == 2
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before

@@ -2,6 +2,7 @@ import pytest
 
 from examlake.operators import quality, reports
 from examlake.operators.quality import Check
+from examlake.sources.lake import Lake
 
 
 def tables(spark, top=900.0):
@@ -83,3 +84,51 @@ def test_head_with_flag(spark):
     cut = reports.head_with_flag(df, ["id"], 10)
     assert [(r.id, r.truncated) for r in cut.collect()] == [(i, True) for i in range(10)]
     assert {r.truncated for r in reports.head_with_flag(df, ["id"], 50).collect()} == {False}
+
+
+CHECK_FILE = """
+# what the dashboard needs
+checks for tb_notas_stats:
+  - row_count > 0
+  - missing_count(ANO) = 0   # no year
+checks for tb_other:
+  - duplicate_count(ANO, SG_UF_PROVA) = 0
+  - max( HIGH ) <= 1000.5
+"""
+
+
+def test_checks_from_a_file(spark, tmp_path):
+    path = tmp_path / "checks.yml"
+    path.write_text(CHECK_FILE)
+    checks = quality.load_checks(spark, str(path))
+    assert checks == (
+        Check("tb_notas_stats", "row_count", ">", 0),
+        Check("tb_notas_stats", "missing_count", "=", 0, ("ANO",)),
+        Check("tb_other", "duplicate_count", "=", 0, ("ANO", "SG_UF_PROVA")),
+        Check("tb_other", "max", "<=", 1000.5, ("HIGH",)),
+    )
+    assert quality.parse_checks(quality.checks_text(quality.DASHBOARD_CHECKS)) == quality.DASHBOARD_CHECKS
+
+
+@pytest.mark.parametrize("bad", ["- row_count > 0", "checks for t:\n- row_count", "checks for t:\n- mean(A) > 0", "checks for t:\n- min > 0", "checks for t:\n- row_count(A) > 0", "t:"])
+def test_bad_check_files_are_refused(bad):
+    with pytest.raises(ValueError, match="line"):
+        quality.parse_checks(bad)
+
+
+def test_checks_are_measured_while_writing(spark, tmp_path):
+    checks = [
+        Check("t", "row_count", ">", 2), Check("t", "missing_count", "=", 0, ("a",)), Check("t", "min", ">=", 0, ("b",)), Check("t", "max", "<=", 5, ("b",)),
+        Check("t", "duplicate_count", "=", 0, ("a",)), Check("other", "row_count", ">", 0),
+    ]
+    df = spark.createDataFrame([("x", 1.0), ("x", 9.0), (None, 2.0)], "a string, b double").orderBy("b")
+    store = Lake(str(tmp_path)).begin()
+    found = quality.checked_write(store, df, "t", checks)
+    assert {(o.check_name, o.value, o.passed) for o in found} == {
+        ("row_count > 2", 3.0, True), ("missing_count(a) = 0", 1.0, False), ("min(b) >= 0", 1.0, True), ("max(b) <= 5", 9.0, False), ("duplicate_count(a) = 0", 1.0, False),
+    }
+    assert not Lake(str(tmp_path)).exists(spark, "t") and store.read(spark, "t").count() == 3
+    with pytest.raises(RuntimeError, match="max"):
+        quality.assert_outcomes(found)
+    empty = quality.checked_write(store, df.limit(0), "t", checks)
+    assert {o.check_name for o in empty if not o.passed} == {"row_count > 2", "min(b) >= 0", "max(b) <= 5"}

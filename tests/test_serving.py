@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from examlake.fixed_values import DISPLAY_BANDS, SCORES
@@ -130,6 +131,38 @@ def test_guarded_sql(spark):
             serving.run_query(spark, bad)
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        r"WITH x AS (SELECT r'\' AS c) INSERT OVERWRITE DIRECTORY '/tmp/p' USING parquet SELECT c FROM x",
+        r"SELECT r'\' AS c, java_method('java.lang.System', 'getProperty', 'user.dir'), '",
+        "SELECT * FROM t_geo WHERE ANO IN (SELECT `reflect`('java.lang.Math', 'abs', 1))",
+        "WITH x AS (SELECT try_reflect('java.lang.Math', 'abs', 1)) SELECT * FROM x",
+        "FROM t_geo SELECT TRANSFORM(ANO) USING 'cat' AS (x)",
+        "SHOW CREATE TABLE t_geo",
+    ],
+)
+def test_guard_goes_by_the_parsed_plan(spark, hidden):
+    """No spelling of a literal hides a command, and no function reaches beyond Spark."""
+    towns(spark).createOrReplaceTempView("t_geo")
+    with pytest.raises((ValueError, ParseException)):
+        serving.run_query(spark, hidden)
+
+
+def test_guard_lets_lookups_pass(spark):
+    towns(spark).createOrReplaceTempView("t_geo")
+    for good in (
+        "DESCRIBE t_geo",
+        "SHOW TABLES",
+        "EXPLAIN SELECT * FROM t_geo",
+        "VALUES (1, 'insert into')",
+        r"SELECT r'\' AS c, 'it''s' AS d",
+        "WITH x AS (SELECT ANO FROM t_geo WHERE ANO IN (SELECT max(ANO) FROM t_geo)) SELECT count(*) FROM x",
+        "SELECT ANO, row_number() OVER (ORDER BY ANO) FROM t_geo ORDER BY ANO LIMIT 1",
+    ):
+        assert serving.run_query(spark, good).count() > 0
+
+
 def test_chart_views(spark):
     states = towns(spark).drop("CO_MUNICIPIO_PROVA", "NO_MUNICIPIO_PROVA")
     weighted = {r.uf: r for r in views.state_weighted_means(states).collect()}

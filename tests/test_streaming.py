@@ -99,8 +99,48 @@ def test_stream_classes_and_summary_equal_batch(spark, arrivals, tmp_path):
     batch = classes.apply_classes(spark.createDataFrame(ROWS, SCHEMA))
     got = spark.read.parquet(str(out / "rows")).select(batch.columns)
     assert rows_of(got, "pos") == rows_of(batch, "pos")
-    summary = spark.read.parquet(str(out / "sum"))
+    summary = incremental.read_class_summary(spark, str(out / "sum"))
+    # Age classes are listed even when empty, as in a batch summary.
     assert rows_of(summary.select("class_name", "class_value", "total"), "class_name", "class_value") == rows_of(
-        classes.class_counts(batch), "class_name", "class_value"
+        classes.class_summary(batch), "class_name", "class_value"
     )
+    assert ("CLASS_FAIXA_ETARIA", "18_A_24", 0) in [tuple(r) for r in summary.select("class_name", "class_value", "total").collect()]
     assert summary.agg(F.sum("total")).first()[0] == 3 * len(ROWS) and SCORES
+
+
+def test_readers_never_see_half_a_summary(spark, arrivals, tmp_path):
+    """Each batch is a version; an unfinished one is not read, and only the last two stay."""
+    out, checkpoint = str(tmp_path / "sum"), str(tmp_path / "checkpoint")
+    with pytest.raises(FileNotFoundError):
+        incremental.read_class_summary(spark, out)
+    for start, stop in ((0, 3), (3, 5), (5, 9)):
+        arrivals(start, stop)
+        incremental.stream_class_summary(stream(spark, arrivals), out, checkpoint)
+    assert incremental.published_versions(spark, out) == [1, 2]
+    (tmp_path / "sum" / "batch_id=3").mkdir()
+    assert incremental.read_class_summary(spark, out).agg(F.sum("total")).first()[0] == 3 * len(ROWS)
+
+
+def test_state_holds_what_was_seen_in_any_batch(spark, arrivals, tmp_path):
+    """Copies come back after batches without them; hot and missing identifiers; the checkpoint is all that is read of the past."""
+    rows = [(i, 2016, "hot" if i % 3 else None, 20, 500.0, "A") for i in range(30)] + [(30, 2016, "new", 20, 500.0, "A"), (31, 2017, "hot", 20, 500.0, "A")]
+    folder, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for part in (rows[:10], rows[30:31], rows[10:30] + rows[31:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        incremental.stream_clean(incremental.file_stream(spark, schema, folder), out, checkpoint, PLAN)
+    assert sorted(r.pos for r in incremental.read_cleaned(spark, out).select("pos").collect()) == [0, 1, 30, 31]
+    batch = cleaning.clean(spark.createDataFrame(rows, SCHEMA), PLAN)
+    report = incremental.read_report(spark, out).select(batch.report.columns)
+    assert rows_of(report, "ANO", "rule") == rows_of(batch.report, "ANO", "rule")
+    from pathlib import Path
+
+    assert any("RocksDB" in f.read_text() for f in Path(checkpoint, "offsets").glob("*") if f.is_file() and not f.name.startswith("."))
+
+
+def test_rows_without_an_identifier_column(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame([(0, 2016, 250), (1, 2016, 20), (2, 2016, 20)], "pos int, ANO int, NU_IDADE int")
+    df.coalesce(1).write.parquet(folder)
+    incremental.stream_clean(incremental.file_stream(spark, df.schema, folder), out, str(tmp_path / "cp"), CleaningPlan(order=("pos",)))
+    assert sorted(r.pos for r in incremental.read_cleaned(spark, out).select("pos").collect()) == [1, 2]
