@@ -22,7 +22,10 @@ def items(rows):
     ]
 
 
-def test_contamination_equals_brute_force(spark, docs, pairs, items):
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_contamination_equals_brute_force(spark, docs, pairs, items, limit, monkeypatch):
+    """Also with no window broadcast."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
     got = found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256), "contaminated"
@@ -41,7 +44,18 @@ def test_contaminated_documents_and_spans_go(spark, docs, pairs, items):
     assert again["n_words"] == 6000 - brute.op1([(110, dict(pairs)[110])], items)[0][2]
 
 
-def test_no_benchmark_and_no_documents(spark, docs, empty, items):
+def test_no_text_moves_beyond_the_broadcast_limit(spark, docs, items, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    words = docs.select("doc_id", F.lit(1).alias("text_key"), decontaminate.token_words(F.col("text")).alias("words"))
+    grams = decontaminate.benchmark_grams(spark.createDataFrame(items, "item_id long, text string"))
+    plan = decontaminate.joined_hits(words, grams, [13, 2])._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(hash" in line]
+    assert moved and "words" not in "".join(moved)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_no_benchmark_and_no_documents(spark, docs, empty, items, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, none).filter("n_hit > 0 or contaminated").count() == 0
     assert decontaminate.contamination(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
@@ -177,3 +191,35 @@ def test_ledger_opened_again_goes_on(spark, docs):
     before = again.entries().count()
     secret_ledger.BlobLedger(spark, folder).scan(versions)
     assert again.entries().count() == before == again.entries().select("blob", "kind", "version").distinct().count()
+
+
+def test_ledger_keeps_columns_and_takes_an_empty_table(spark, docs, empty):
+    versions = docs.select("doc_id", F.col("text").alias("content"), F.lit("own").alias("blob"), F.lit(1).alias("found"), "hash")
+    ledger = secret_ledger.BlobLedger(spark, shared_folder(spark, "ledger"))
+    none = empty.select("doc_id", F.col("text").alias("content"), F.lit("own").alias("blob"), F.lit(1).alias("found"))
+    ledger.scan(none)
+    assert ledger.findings(none).count() == 0 and ledger.entries().count() == 0
+    ledger.scan(versions)
+    got = ledger.findings(versions)
+    assert got.columns == ["doc_id", "content", "blob", "hash", "found"] and got.count() == versions.count()
+    assert got.filter("blob <> 'own'").count() == 0 and got.filter("size(found) > 0").count() >= 3
+
+
+def test_thresholds_are_the_exact_quantiles(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 900), rng.randint(0, 5000), rng.choice([0, 0, rng.randint(0, 40)]), rng.randint(0, 9), 0, int(rng.random() < 0.3)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bad int")
+    cuts = quality_rules.thresholds(df)
+    exact = df.groupBy("bad").agg(*[F.percentile(v, F.array(*map(F.lit, quality_rules.STEPS))).alias(k) for k, v in quality_rules.features().items()]).collect()
+    for k in quality_rules.features():
+        assert cuts[k] == pytest.approx(sorted({0.0, *(round(x, 6) for r in exact for x in r[k])}), abs=2e-6)
+    assert quality_rules.thresholds(df.limit(0)) == {}
+
+
+def test_quality_report_of_odd_tables(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 3 and 1) for i in range(40)] + [(None, 0), (5, None)], "doc_id long, quality int")
+    none = labels.limit(0)
+    alone = quality_rules.quality_report(docs, none)
+    assert alone.filter("kept = base_failed").count() == 0 and alone.count() == docs.count()
+    assert quality_rules.quality_report(empty, labels).count() == 0
+    assert quality_rules.quality_report(docs, labels).filter("kept and base_failed").count() == 0
