@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examlake.llm.common import BLANKS, blank_words, full_text, stored, text_key
+from examlake.operators.quantiles import exact_summary
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -164,6 +165,31 @@ def _best(table, cuts, least_bad: float) -> tuple[Condition, float, float] | Non
     return Condition(name, above, cut), p, n
 
 
+STEPS = [i / 20 for i in range(1, 20)] + [0.975, 0.99]
+
+
+def thresholds(rows: DataFrame) -> dict[str, list[float]]:
+    """Values a rule may test, by feature: zero and quantiles of the bad and of the good rows; none if there are no rows.
+
+    The quantiles are exact and located by counting, on values scaled to [0, 1] by each feature's range, so that no task
+    holds the values of a group.
+    """
+    values = features()
+    ends = rows.agg(*[x for k, v in values.items() for x in (F.min(v).alias(f"{k}_low"), F.max(v).alias(f"{k}_high"))]).first()
+    low = {k: ends[f"{k}_low"] for k in values}
+    if None in low.values():
+        return {}
+    width = {k: (ends[f"{k}_high"] - low[k]) or 1.0 for k in values}
+    pairs = [x for k, v in values.items() for x in (F.lit(k), (v - low[k]) / width[k])]
+    long = rows.select("bad", F.stack(F.lit(len(values)), *pairs).alias("feature", "value"))
+    found = exact_summary(long, ["bad", "feature"], "value", {f"q{i}": q for i, q in enumerate(STEPS)}, 0.0, 1.0).collect()
+    cuts = {k: {0.0} for k in values}
+    for r in found:
+        k = r["feature"]
+        cuts[k] |= {round(low[k] + width[k] * r[f"q{i}"], 6) for i in range(len(STEPS))}
+    return {k: sorted(c) for k, c in cuts.items()}
+
+
 def learn(labelled: DataFrame, precision: float = 0.97, most_rules: int = 8, most_conditions: int = 3) -> DecisionList:
     """Decision list from ``statistics`` with a column ``bad`` (0 or 1); rows with a null ``bad`` don't count.
 
@@ -173,13 +199,10 @@ def learn(labelled: DataFrame, precision: float = 0.97, most_rules: int = 8, mos
     """
     part = F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0
     rows = stored(labelled.filter("bad is not null").select(*COUNTS, F.col("bad").cast("int").alias("bad"), part.alias("prune")), "quality-labelled")
-    steps = [i / 20 for i in range(1, 20)] + [0.975, 0.99]
-    values = features()
-    quantiles = rows.groupBy("bad").agg(*[F.percentile(v, F.array(*map(F.lit, steps))).alias(k) for k, v in values.items()]).collect()
-    cuts = {k: sorted({0.0, *(round(x, 6) for r in quantiles for x in r[k])}) for k in values}
+    cuts = thresholds(rows)
     rules: list[Rule] = []
     left = rows
-    while quantiles and len(rules) < most_rules:
+    while cuts and len(rules) < most_rules:
         grow, best, part_rows = [], 0.0, left.filter(~F.col("prune"))
         least = 3.0
         while len(grow) < most_conditions:
@@ -218,7 +241,8 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics and verdicts of all documents by rules learned from ``labels`` (``doc_id, quality``; 0 is bad).
 
-    Unlabelled rows are only judged; without labels there are no rules and the base alone decides.
+    Unlabelled rows are only judged; without labels there are no rules and the base alone decides. Null texts count zero and fail
+    the base; repeated rows are judged each; an empty table gives no rows; of other columns none is read.
     """
     stats = stored(statistics(docs), "quality-statistics")
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
