@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm.common import full_text
+from examlake.llm.common import fresh, full_text
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,6 @@ class Rule:
     pattern: str
     least: int
     version: int = 1
-    hint: str = ""  # a cheaper pattern that any match contains
 
 
 # Fixed patterns the results depend on, in the order in which kinds are listed.
@@ -103,7 +102,8 @@ class BlobLedger:
     def scan(self, contents: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
         """Scan the unseen pairs of ``contents`` (column ``content``) and rules, and write them down.
 
-        Equal contents are one blob, combined before the shuffle. An unseen blob is read once for all rules it lacks.
+        Equal contents are one blob, combined before the shuffle. An unseen blob is read once for all rules it lacks. A null
+        content is the empty blob, a very long one a blob like any other; an empty table adds nothing; other columns are not read.
         """
         blobs = contents.select(blob_id(F.col("content")).alias("blob"), full_text("content").alias("content"))
         once = blobs.dropDuplicates(["blob"])
@@ -129,8 +129,9 @@ class BlobLedger:
     def findings(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """``versions`` (``content`` and any other columns) with ``found``: kind, start, end of every finding.
 
-        Findings are in order of start, then of kind as the rules list them. Every path of a blob gets its findings; the
-        join is an ordinary one, whose hot blobs are split at run time.
+        Findings are in order of start, then of kind as the rules list them. Every path of a blob gets its findings, repeated
+        rows each; the join is an ordinary one, whose hot blobs are split at run time. A null content is the empty
+        text. An empty table gives no rows. Other columns stay, whatever their names; a column ``found`` is replaced.
         """
         order = F.array(*[F.lit(r.kind) for r in rules])
         kept = [f"{r.kind}:{r.version}" for r in rules]
@@ -141,7 +142,10 @@ class BlobLedger:
                 "spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(order, F.col("kind")).alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end"))
             ).alias("spans"),
         )
-        by_blob = flat.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("found"))
-        named = versions.withColumn("blob", blob_id(F.col("content")))
-        empty = F.array().cast(by_blob.schema["found"].dataType)
-        return named.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", empty))
+        key, here, all_ = fresh("blob"), fresh("here"), fresh("found")
+        by_blob = flat.groupBy(F.col("blob").alias(key)).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias(all_))
+        named = versions.withColumn(here, blob_id(F.col("content")))
+        empty = F.array().cast(by_blob.schema[all_].dataType)
+        found = named.join(by_blob, named[here] == by_blob[key], "left")
+        kept_columns = [named[c] for c in versions.columns if c != "found"]
+        return found.select(*kept_columns, F.coalesce(F.col(all_), empty).alias("found"))
