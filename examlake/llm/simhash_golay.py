@@ -149,18 +149,25 @@ def near_links(prints: np.ndarray, begin: np.ndarray, size: np.ndarray, most: in
 
 
 def link_rows(most: int, defer: int | None):
-    """Links of ``key, print`` sorted by key: ``print, other``, a few for each group; groups over ``defer`` are passed on whole."""
+    """Links of ``key, print`` sorted by key: ``print, other``, a few for each group; every group over ``defer`` is passed on whole."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        def settle(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
             begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.append(begin, len(keys)))
+            many = size > (defer or len(keys))
+            for b, n in zip(begin[many], size[many]):
+                yield out(keys[b], prints[b : b + n], prints[b : b + n])
+            prints, size = prints[np.repeat(~many, size)], size[~many]
+            if not len(prints):
+                return
+            begin = np.cumsum(size) - size
             label = near_links(prints, begin, size, most)
             # The same fingerprint in several groups joins their links.
             linked = np.flatnonzero(label != np.arange(len(label)))
             pairs = np.unique(np.stack([prints[linked], prints[label[linked]]], axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            return out(None, np.maximum(pairs[:, 0], pairs[:, 1]), np.minimum(pairs[:, 0], pairs[:, 1]))
+            yield out(None, np.maximum(pairs[:, 0], pairs[:, 1]), np.minimum(pairs[:, 0], pairs[:, 1]))
 
         def out(key, a, b) -> pa.RecordBatch:
             keys = pa.nulls(len(a), pa.int64()) if key is None else pa.array(np.full(len(a), key))
@@ -182,14 +189,14 @@ def link_rows(most: int, defer: int | None):
                 continue
             last = int(np.searchsorted(keys, keys[-1]))
             if last:
-                yield settle(keys[:last], prints[:last])
+                yield from settle(keys[:last], prints[:last])
                 keys, prints = keys[last:], prints[last:]
             if defer and len(keys) > defer:
                 passing = keys[0]
                 yield out(passing, prints, prints)
                 keys, prints = keys[:0], prints[:0]
         if len(keys):
-            yield settle(keys, prints)
+            yield from settle(keys, prints)
 
     return compare
 
@@ -244,7 +251,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """Per row: ``doc_id, text_key, print, root, component_id``.
 
-    Texts are linked if their fingerprints differ in ``most`` bits or fewer; the component's id is the smallest doc_id in it (null only
+    A null or empty text has fingerprint zero and is linked like any other; a very long text has one fingerprint like any other, its
+    hashes counted in pieces; repeated rows are reported each; an empty table gives no rows; of other columns none is read. Texts are linked if their fingerprints differ in ``most`` bits or fewer; the component's id is the smallest doc_id in it (null only
     if all are). Texts of one fingerprint are one node, so copies cost a row each and no pairs.
     """
     prints = stored(fingerprints(docs), "simhash-prints")
