@@ -247,7 +247,17 @@ def settled_rows(
 
 
 def context_hashes(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of ranges of ``values``, from running sums of hashed symbols times powers of an odd number."""
+    """128-bit hashes of ranges of ``values``; those that begin within CHUNK symbols are worked on together."""
+    out = np.empty((2, len(begin)), np.int64)
+    order = np.argsort(begin, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(begin[order] // CHUNK)) + 1):
+        if len(part):
+            out[:, part] = range_hashes(values, begin[part], length[part])
+    return out[0], out[1]
+
+
+def range_hashes(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each range, from running sums of hashed symbols times powers of an odd number; where a range stands doesn't matter."""
     out = []
     for seed, base in ((1, MIX1), (7, MIX2)):
         low, high = int(begin.min()), int((begin + length).max())
@@ -257,7 +267,7 @@ def context_hashes(values: np.ndarray, begin: np.ndarray, length: np.ndarray) ->
         sums = np.concatenate([[U(0)], np.cumsum(mix(values[low:high].astype(U) + U(seed)) * powers[: high - low])])
         raw = (sums[begin + length - low] - sums[begin - low]) * back[begin - low]
         out.append(mix(raw + length.astype(U)).view(np.int64))
-    return out[0], out[1]
+    return out
 
 
 def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[dict[str, np.ndarray], list]]:

@@ -110,10 +110,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` made of the words that stay, one blank apart, and ``n_words``, ``n_removed`` added.
 
     A word goes if a window of 13 words over it also starts in a document with a smaller id; a null id is the smallest.
-    Rows of one id are one document. A null or empty text has no words; texts that lose nothing are respaced too.
+    Rows of one id are one document. A null or empty text has no words; texts that lose nothing are respaced too. A very long
+    text is worked on in chunks of windows. An empty table gives no rows. Other columns stay, whatever their names; columns
+    ``n_words`` and ``n_removed`` are replaced.
     """
-    others = [c for c in docs.columns if c not in ("n_words", "n_removed", "row", "spans")]
-    keyed = keyed_rows(docs.select(*others))
+    others = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    own = {c: fresh(c) for c in others if c in ("row", "spans")}
+    keyed = keyed_rows(docs.select(*others).withColumnsRenamed(own))
     spans = repeated_spans(keyed, word_hashes, SHAPE, judge)
     words, gone = fresh("words"), fresh("gone")
     joined = keyed.join(spans, "row", "left").withColumn(words, blank_words(F.col("text")))
@@ -123,7 +126,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     stay = F.transform(F.array_except(every, F.col(gone)), lambda i: F.col(words)[i])
     text = F.array_join(F.when(F.col(gone).isNull(), F.col(words)).otherwise(stay), " ")
     return counted.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in others],
+        *[text.alias("text") if c == "text" else F.col(own.get(c, c)).alias(c) for c in others],
         F.size(words).cast("bigint").alias("n_words"),
         F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).cast("bigint").alias("n_removed"),
     )

@@ -256,7 +256,8 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes) and ``kept_sha256``.
 
     Every byte covered by a string of 200 bytes that also starts anywhere else goes, wherever it stands. A null
-    text is empty; repeated rows are texts of their own and lose what they share; other columns are not read.
+    text is empty; repeated rows are texts of their own and lose what they share; a very long text is hashed in chunks; an
+    empty table gives no rows; other columns, whatever their names, are not read.
     """
     keyed = keyed_rows(docs.select("doc_id", "text"))
     spans = repeated_spans(keyed, lambda text: text.cast("binary"), SHAPE, judge)

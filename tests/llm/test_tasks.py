@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from conftest import ordered
 from pyspark.sql import functions as F
@@ -20,6 +21,29 @@ def test_substring_dedup_equals_brute_force(docs, pairs, empty):
     assert substring_dedup.dedup_substrings(empty.select("doc_id", "text")).count() == 0
 
 
+def test_substring_dedup_keeps_columns_of_any_name(docs, pairs):
+    df = docs.select("doc_id", F.lit("mine").alias("row"), "text", F.lit(7).alias("spans"), F.lit(1).alias("n_words"))
+    out = substring_dedup.dedup_substrings(df)
+    assert out.columns == ["doc_id", "row", "text", "spans", "n_words", "n_removed"]
+    assert out.filter("row <> 'mine' or spans <> 7").count() == 0
+    got = out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()
+    assert ordered(got) == ordered(brute.op7(pairs))
+
+
+def test_hashes_do_not_depend_on_the_chunks(monkeypatch):
+    rng = np.random.default_rng(12)
+    values = rng.integers(0, 256, 5_000).astype(np.uint8)
+    begin = rng.integers(0, 4_000, 700)
+    length = rng.integers(1, 600, 700)
+    whole = anchors.context_hashes(values, begin, length)
+    monkeypatch.setattr(anchors, "CHUNK", 97)
+    parts = anchors.context_hashes(values, begin, length)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    again = anchors.context_hashes(np.concatenate([values[:50], values]), begin + 50, length)
+    assert (again[0] == whole[0]).all()
+    assert not len(anchors.context_hashes(values, begin[:0], length[:0])[0])
+
+
 def test_byte_dedup_equals_brute_force(docs, pairs, empty):
     got = suffix_array.dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert ordered(got) == ordered(brute.op9(pairs)) and any(r[2] for r in got)
@@ -132,6 +156,7 @@ def test_golay_decodes_three_errors_and_near_words_share_a_key():
 
 def test_near_duplicates_equal_brute_force(docs, pairs, empty):
     found = simhash_golay.near_duplicates(docs)
+    assert found.columns == ["doc_id", "text_key", "print", "root", "component_id"]
     got = found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0"), "component_id").collect()
     assert ordered(got) == ordered(brute.op10(pairs))
     assert simhash_golay.near_duplicates(empty).count() == 0
@@ -145,6 +170,25 @@ def test_one_of_each_group_stays(docs, pairs):
     assert kept.count() == len({(f[2], f[1] if f[2] is None else 0) for f in found})
 
 
+def test_keep_one_of_an_empty_table_and_clashing_names(spark, docs, empty, pairs):
+    assert simhash_golay.keep_one(empty).count() == 0
+    clash = docs.filter("doc_id < 113").selectExpr("doc_id", "text", "1 as root", "2 as first", "3 as n", "4 as print", "5 as text_key")
+    kept = simhash_golay.keep_one(clash)
+    found = brute.op10([p for p in pairs if p[0] is not None and p[0] < 113])
+    assert kept.columns == clash.columns and kept.count() == len({f[2] for f in found})
+    assert kept.filter("root <> 1 or first <> 2 or n <> 3 or print <> 4 or text_key <> 5").count() == 0
+
+
+def test_every_group_over_the_limit_is_passed_on():
+    rng = np.random.default_rng(2)
+    keys = np.repeat(np.arange(6), [10, 300, 5, 250, 1, 90]).astype(np.int64)
+    prints = rng.integers(-(1 << 62), 1 << 62, len(keys))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints)], ["key", "print"])
+    out = pa.Table.from_batches(list(simhash_golay.link_rows(3, 100)(iter([batch]))))
+    passed = out.filter(pa.compute.is_valid(out["key"])).to_pandas()
+    assert passed.groupby("key").size().to_dict() == {1: 300, 3: 250}
+
+
 @pytest.mark.parametrize("defer", [50_000, 60])
 def test_links_of_a_dense_group(spark, defer, monkeypatch):
     """A ball of fingerprints, chains of three-bit steps and strangers; also with groups cut into pairs of parts."""
