@@ -464,6 +464,35 @@ def labelled(source: str, where: str, heads: str) -> str:
     return over(source, f"SELECT {heads}, {scores} FROM {source} WHERE {where}")
 
 
+PUBLISHED = {
+    "silver_microdados": "raw",
+    **{f"gold_{t}": "exam" for t in ("cleaned", "classes", "tb_notas")},
+    "gold_tb_notas_stats": "stats",
+    "gold_tb_notas_geo": "geo",
+    "gold_tb_notas_geo_uf": "geo_uf",
+    "gold_tb_notas_histogram": "hist",
+    "gold_tb_socio_economico": "box",
+    "gold_tb_media_uf": "bands",
+    "dim_municipio": "(SELECT 1 FROM dim WHERE SG_UF_PROVA IS NOT NULL)",
+}
+_PLACE = [("ANO", "int"), ("SG_UF_PROVA", "string")]
+_MEANS = [(f"{s}_{x}", t) for s in SCORES for x, t in (("count", "bigint"), ("mean", "double"))]
+PUBLISHED_COLUMNS = {
+    "gold_tb_notas_stats": [("ANO", "int"), ("TOTAL_INSCRITOS", "bigint"), *[(f"IDADE_{x}", "double") for x in STAT_NAMES]]
+    + [c for s in SCORES for c in [(f"{s}_count", "bigint"), *[(f"{s}_{x}", "double") for x in STAT_NAMES]]],
+    "gold_tb_notas_geo": [*_PLACE, ("CO_MUNICIPIO_PROVA", "bigint"), ("NO_MUNICIPIO_PROVA", "string"), ("INSCRITOS", "bigint"), *_MEANS],
+    "gold_tb_notas_geo_uf": [*_PLACE, ("INSCRITOS", "bigint"), *_MEANS],
+    "gold_tb_notas_histogram": [("ANO", "int"), ("DISCIPLINA", "string"), ("BIN_START", "double"), ("BIN_END", "double"), ("CONTAGEM", "bigint")],
+}
+
+
+def published(body: str) -> str:
+    """Over the gold tables of the cleaned rows; ``raw`` are the rows before."""
+    chain = [n for n in needed("kept stats geo geo_uf hist box bands dim".split()) if n not in ("exam", "numbered", "kept")]
+    parts = [f"raw AS ({CTE['exam']})", f"numbered AS ({CTE['numbered'].replace('FROM exam', 'FROM raw')})", f"exam AS ({CTE['kept']})"]
+    return "WITH " + ",\n".join([*parts, *[f"{n} AS ({CTE[n]})" for n in chain]]) + "\n" + body
+
+
 def oracle_sql() -> dict[str, str]:
     report_scores = ", ".join(
         f'round_even(coalesce({c}, 0) * 10, 0) / 10 AS "{label}"'
@@ -792,6 +821,42 @@ FROM (SELECT *, row_number() OVER (PARTITION BY ANO ORDER BY SG_UF_PROVA DESC) A
         "default_years": over("stats", f"SELECT ANO FROM stats WHERE ANO >= {FIRST} ORDER BY ANO DESC LIMIT 3"),
         "checks": checks(),
         "gate": checks(),
+        "clean_plan": over("kept", "SELECT ANO, count(*) AS n, count(*) FILTER (RENDA_FAMILIAR = 'UNKNOWN') AS unknown FROM kept GROUP BY ANO"),
+        "renamed_columns": over(
+            "exam",
+            """SELECT '  ' || ID_INSCRICAO || ' ' AS ID_INSCRICAO, NO_MUNICIPIO_PROVA, CAST(NU_IDADE AS VARCHAR) AS NU_IDADE,
+' ' || lower(TP_SEXO) AS TP_SEXO FROM exam""",
+        ),
+        "required_columns": f"""SELECT * FROM (VALUES ('complete', ''), ('other name', ''),
+('no identifier', 'required columns missing for {YEAR}: [''NU_INSCRICAO'']'), ('no rows', 'raw data for {YEAR} is empty')) t(name, refusal)""",
+        "metadata_year": over(
+            "exam",
+            f"""SELECT y AS ano, nome_padrao, tipo_padrao, domain FROM (SELECT DISTINCT ANO AS y FROM exam WHERE ANO = {YEAR})
+CROSS JOIN (VALUES ('RENDA_FAMILIAR', 'string', 'A,B'), ('TP_COR_RACA', 'Int64', '0,1,2,3,4,5'), ('TP_ETNIA', 'string', '0,1,2,3,4,5'),
+('TP_SEXO', 'string', 'F,M'), ('IDADE', 'Int64', ''), ('NU_ANO', 'int32', ''), ('MUNICIPIO_PROVA', 'text', '')) t(nome_padrao, tipo_padrao, domain)""",
+        ),
+        "published_views": published(
+            " UNION ALL ".join(f"SELECT '{view}' AS view, count(*) AS n FROM {src}" for view, src in PUBLISHED.items())
+        ),
+        "published_columns": "SELECT * FROM (VALUES "
+        + ", ".join(f"('{t}', '{c}', '{k}', {i})" for t, columns in PUBLISHED_COLUMNS.items() for i, (c, k) in enumerate(columns))
+        + ") t(table_name, column_name, column_type, position)",
+        "audit_saved": published(
+            f"""SELECT 'silver' AS layer, ANO AS ano, 'silver' AS parquet_path, count(*) AS row_count, {len(EXAM_COLUMNS)} AS column_count,
+'IDADE,MUNICIPIO_PROVA,NU_ANO,TP_ETNIA' AS missing_expected_columns FROM raw WHERE ANO BETWEEN {FIRST} AND {LAST} GROUP BY ANO """
+            + " ".join(
+                f"UNION ALL SELECT 'gold', NULL, '{t}', count(*), {n}, '' FROM {PUBLISHED['gold_' + t if t != 'dim_municipio' else t]}"
+                for t, n in (
+                    ("tb_notas", 10), ("tb_notas_stats", 37), ("tb_notas_geo", 15), ("tb_notas_geo_uf", 13), ("tb_notas_histogram", 5),
+                    ("tb_socio_economico", 8), ("tb_media_uf", 5), ("dim_municipio", 3),
+                )
+            )
+        ),
+        "report_summary": over(
+            "geo",
+            f"""SELECT ANO AS "Ano", SG_UF_PROVA AS "UF", {title("NO_MUNICIPIO_PROVA")} AS "Município", INSCRITOS AS "Inscritos",
+'Anos: {FIRST}, {YEAR} | UFs: {STATE}' AS "Filtros" FROM geo WHERE ANO IN ({FIRST}, {YEAR}) AND SG_UF_PROVA = {q(STATE)} AND {min_counts(30)}""",
+        ),
         "audit": over(
             "exam",
             f"""SELECT 'silver' AS layer, ANO AS ano, 'exam' AS parquet_path, count(*) AS row_count,

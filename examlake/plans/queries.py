@@ -112,20 +112,59 @@ def contract_typed(spark, sf):
     return metadata.apply_types(metadata.select_known(raw, contract), contract)
 
 
+@query
+def renamed_columns(spark, sf):
+    """Raw columns under the canonical names that their many names stand for."""
+    names = standardize.rename_map()
+    raw = raw_text(exam_rows(spark, sf, keyed=True))
+    renamed = raw.withColumnsRenamed({c: names[c] for c in raw.columns if c in names})
+    return renamed.select("ID_INSCRICAO", "NO_MUNICIPIO_PROVA", "NU_IDADE", "TP_SEXO")
+
+
+@query
+def required_columns(spark, sf):
+    """Which raw tables pass the check for required columns, by any of their names."""
+    raw = raw_text(exam_rows(spark, sf, keyed=True))
+    cases = {
+        "complete": (raw, ("NU_INSCRICAO", "NO_MUNICIPIO_PROVA")),
+        "other name": (raw.withColumnRenamed("NU_INSCRICAO", "ID_INSCRICAO"), ("NU_INSCRICAO",)),
+        "no identifier": (raw.drop("NU_INSCRICAO"), ("NU_INSCRICAO",)),
+        "no rows": (raw.filter("l_partkey < 0"), ("NU_INSCRICAO",)),
+    }
+
+    def refusal(df, required):
+        try:
+            standardize.validate_required(df, required, YEAR)
+        except ValueError as e:
+            return str(e)
+        return ""
+
+    return spark.createDataFrame([(name, refusal(*case)) for name, case in cases.items()], "name string, refusal string")
+
+
+@query
+def metadata_year(spark, sf):
+    """Metadata written, read back and limited to a year."""
+    path = shared_folder(spark, "metadata")
+    metadata.save_metadata(exam_metadata(spark, sf), path)
+    rows = metadata.metadata_for_year(metadata.load_metadata(spark, path), YEAR)
+    return rows.select("ano", "nome_padrao", "tipo_padrao", F.concat_ws(",", "dominio_valores").alias("domain"))
+
+
 @query
 def contract_from_metadata(spark, sf):
     """The contract of one year, read from the metadata table, on the raw rows of that year."""
     contract = metadata.build_contract(exam_metadata(spark, sf), YEAR)
-    raw = raw_text(lake.only_years(exam_rows(spark, sf, keyed=True), [YEAR])).drop("SEXO")
+    raw = raw_text(exam_rows(spark, sf, keyed=True, years=(YEAR, YEAR))).drop("SEXO")
     typed = metadata.apply_types(metadata.select_known(raw, contract), contract)
     return typed.withColumn("allowed", F.lit(",".join(contract["TP_ETNIA"].domain)))
 
 
 @query
 def year_selection(spark, sf):
-    return lake.only_years(exam_rows(spark, sf, wanted=["ANO"]), lake.select_years(start=FIRST, end=LAST, known=range(1990, 2010))).groupBy(
-        "ANO"
-    ).agg(F.count("*").alias("n"))
+    years = lake.select_years(start=FIRST, end=LAST, known=range(1990, 2010))
+    rows = exam_rows(spark, sf, wanted=["ANO"], years=(years[0], years[-1]))
+    return lake.only_years(rows, years).groupBy("ANO").agg(F.count("*").alias("n"))
 
 
 @query
@@ -190,6 +229,14 @@ def clean_metadata(spark, sf):
     return cleaning.write_marked(rows, shared_folder(spark, "cleaned"), plan, domains=domains).valid.select(*EXAM_COLUMNS)
 
 
+@query
+def clean_plan(spark, sf):
+    """Valid rows by year under a plan made of allowed values and further keys, of which some are absent."""
+    plan = cleaning.cleaning_plan(INCOME_DOMAIN, order=tuple(ROW_KEY))
+    valid = cleaning.clean(exam_rows(spark, sf, keyed=True), plan).valid
+    return valid.groupBy("ANO").agg(F.count("*").alias("n"), F.count_if(F.col("RENDA_FAMILIAR") == "UNKNOWN").alias("unknown"))
+
+
 @query
 def rule_valid(spark, sf):
     return cleaning.enforce_ranges(exam_rows(spark, sf))[0]
@@ -419,7 +466,7 @@ def race_means(spark, sf):
 
 @query
 def race_means_filtered(spark, sf):
-    return serving.race_means(exam_rows(spark, sf), YEAR, RACE_STATE.lower())
+    return serving.race_means(exam_rows(spark, sf, years=(YEAR, YEAR)), YEAR, RACE_STATE.lower())
 
 
 @query
@@ -565,12 +612,12 @@ def histogram_peak(spark, sf):
 
 @query
 def race_rank(spark, sf):
-    return views.race_ranking(serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE), YEAR))
+    return views.race_ranking(serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE, years=(YEAR, YEAR)), YEAR))
 
 
 @query
 def race_rank_subject(spark, sf):
-    return views.race_ranking(serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE), YEAR), SUBJECT)
+    return views.race_ranking(serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE, years=(YEAR, YEAR)), YEAR), SUBJECT)
 
 
 @query
@@ -617,7 +664,7 @@ def band_total(spark, sf):
 
 @query
 def race_chart(spark, sf):
-    return views.race_chart_rows(serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE), YEAR))
+    return views.race_chart_rows(serving.race_means(exam_rows(spark, sf, wanted=NO_PLACE, years=(YEAR, YEAR)), YEAR))
 
 
 @query
@@ -680,6 +727,54 @@ def audit_gold(spark, sf):
     return report.select("layer", table, "row_count", "column_count", "has_ano_column")
 
 
+def published_lake(spark, sf):
+    """A lake with every table a view is published of, but the optional town means."""
+    stored = lake.Lake(shared_folder(spark, "lake")).begin()
+    rows = exam_rows(spark, sf)
+    stored.write(rows, "silver")
+    valid = cleaning.clean(exam_rows(spark, sf, keyed=True), PLAN).valid.drop(*ROW_KEY)
+    stored.write(valid, "cleaned")
+    stored.write(classes.apply_classes(stored.read(spark, "cleaned")), "classes")
+    for name, df in gold_tables(stored.read(spark, "cleaned")).items():
+        stored.write(df, name)
+    stored.commit(spark)
+    return stored
+
+
+@query
+def published_views(spark, sf):
+    """Rows of each published view; an optional one without its table is not there."""
+    views_ = exports.publish_views(spark, published_lake(spark, sf))
+    counts = [spark.table(v).groupBy().agg(F.count("*").alias("n")).select(F.lit(v).alias("view"), "n") for v in views_]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def published_columns(spark, sf):
+    """Columns of the published tables, with type and order."""
+    exports.publish_views(spark, published_lake(spark, sf))
+    return exports.describe_tables(spark)
+
+
+@query
+def audit_saved(spark, sf):
+    """Audit of a lake by year and table, written to the lake and read back."""
+    stored = published_lake(spark, sf)
+    build.audit_lake(spark, stored, exam_metadata(spark, sf), range(FIRST, LAST + 1), save_as="audit")
+    report = stored.read(spark, "audit")
+    table = F.substring_index("parquet_path", "/", -1).alias("parquet_path")
+    missing = F.concat_ws(",", "missing_expected_columns").alias("missing_expected_columns")
+    return report.select("layer", "ano", table, "row_count", "column_count", missing)
+
+
+@query
+def report_summary(spark, sf):
+    """Report rows with a line of text that names the filters."""
+    chosen = {"years": [YEAR, FIRST], "states": [STATE]}
+    rows = reports.report_rows(serving.filter_towns(towns(spark, sf), **chosen))
+    return rows.select("Ano", "UF", "Município", "Inscritos", F.lit(reports.filter_summary([YEAR, FIRST], [STATE])).alias("Filtros"))
+
+
 @query
 def mask(spark, sf):
     rows = exam_rows(spark, sf, wanted=LINE_ONLY).select(
@@ -761,8 +856,7 @@ def write_raw(df, path):
 def raw_layouts(spark, sf):
     """A year in two layouts, and a year whose scores stand in a results file, by one catalog."""
     root = shared_folder(spark, "raw")
-    rows = exam_rows(spark, sf, keyed=True)
-    first, later = (raw_text(lake.only_years(rows, [y])) for y in (FIRST, YEAR))
+    first, later = (raw_text(exam_rows(spark, sf, keyed=True, years=(y, y))) for y in (FIRST, YEAR))
     write_raw(first.filter("l_linenumber <= 4"), f"{root}/a/DADOS/MICRODADOS_EXAM_{FIRST}.csv")
     turned = first.filter("l_linenumber > 4").drop("EXTRA_COLUMN")
     write_raw(turned.select(*reversed(turned.columns)), f"{root}/a/dados/microdados_again_{FIRST}.csv")
@@ -778,10 +872,9 @@ def raw_layouts(spark, sf):
 def lake_rebuild(spark, sf):
     """Two years built, one of them again from fewer rows, a third stopped in the middle, then what is missing."""
     folder = shared_folder(spark, "rebuild")
-    rows = exam_rows(spark, sf, keyed=True)
     for year in (FIRST, YEAR, LAST):
-        write_raw(raw_text(lake.only_years(rows, [year])), f"{folder}/raw/microdados_exam_{year}.csv")
-    fewer = lake.only_years(rows, [YEAR]).filter("TP_SEXO = 'F'")
+        write_raw(raw_text(exam_rows(spark, sf, keyed=True, years=(year, year))), f"{folder}/raw/microdados_exam_{year}.csv")
+    fewer = exam_rows(spark, sf, keyed=True, years=(YEAR, YEAR)).filter("TP_SEXO = 'F'")
     write_raw(raw_text(fewer), f"{folder}/again/microdados_exam_{YEAR}.csv")
     stored = lake.Lake(f"{folder}/lake")
     build.build_lake(spark, f"{folder}/raw", stored, [FIRST, YEAR], with_gold=False)
