@@ -22,6 +22,8 @@ DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 # Bounds of the training sample: rows, and words of a row.
 MOST_ROWS, MOST_WORDS = 6_000, 4_000
 THRESHOLD = 0.3
+LEAST_TEXTS = 3  # training texts a word must stand in to get an embedding
+UPDATES, FOLDS, FOLD_UPDATES = 900, 3, 600
 SEED = 29
 STEP_TOKENS = 1 << 17  # tokens scored at once
 
@@ -113,21 +115,24 @@ def split_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     """At most MOST_ROWS training rows with a label, in a seeded order: ``toxic, lang, codes``.
 
-    Held-out rows, null labels and texts of more than MOST_WORDS words are left out. Only their ids are broadcast.
+    Held-out rows, null labels and texts of more than MOST_WORDS words are left out. Only their ids are broadcast. An id with
+    several labels is toxic if one says so.
     """
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(SEED))
     chosen = known.orderBy(order, "doc_id").limit(MOST_ROWS).select(F.col("doc_id").alias(i := fresh("id")), F.col("toxic").alias(y := fresh("toxic")))
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col(i)).select(
-        F.col(i).alias("doc_id"), F.col(y).alias("toxic"), docs["lang"], word_codes(full_text(docs["text"])).alias("codes")
+        F.col(i).alias("doc_id"), F.col(y).alias("toxic"), docs["lang"], text_key(docs["text"]).alias("key"), word_codes(full_text(docs["text"])).alias("codes")
     )
+    # Of several texts of one id that with the least key, then language, wherever they stand.
+    one = rows.filter(F.size("codes") <= MOST_WORDS).groupBy("doc_id").agg(F.min(F.struct("key", "lang", "toxic", "codes")).alias("r"))
     # By Arrow, so that the driver holds arrays of numbers instead of Python lists.
-    table = rows.filter(F.size("codes") <= MOST_WORDS).dropDuplicates(["doc_id"]).toArrow()
+    table = one.select("doc_id", "r.toxic", "r.lang", "r.codes").toArrow()
     return table.to_pandas().sort_values("doc_id")
 
 
-def train(rows: pd.DataFrame, updates: int = 900, docs_per_step: int = 32, rate: float = 0.05) -> Model:
-    """Fit by Adagrad on four fifths of the rows; the rest sets the scale of scores and the thresholds."""
+def fit_rows(rows: pd.DataFrame, updates: int = UPDATES, docs_per_step: int = 32, rate: float = 0.05, fit: np.ndarray | None = None) -> Model:
+    """Fit by Adagrad on the rows ``fit`` (all by default); the scale of scores is left open."""
     rng = np.random.default_rng(SEED)
     n = 1 << BITS
     model = Model(
@@ -144,8 +149,12 @@ def train(rows: pd.DataFrame, updates: int = 900, docs_per_step: int = 32, rate:
         return model
     codes = [np.asarray(c, np.int64) for c in rows["codes"]]
     y = rows["toxic"].to_numpy(np.float32)
-    fold = rng.permutation(len(rows)) % 5
-    fit, tune = np.flatnonzero(fold > 0), np.flatnonzero(fold == 0)
+    if fit is None:
+        fit = np.arange(len(rows))
+    known = common_numbers([codes[i] for i in fit])
+    # A word met in few texts tells one from another, not toxic from clean: it stays neutral, as an unknown one is.
+    model.words[~known[0]] = 0
+    model.starts[~known[1]] = 0
     weights = [model.words, model.starts, *model.filters, *model.bias, model.out]
     squares = [np.full(w.shape, 1e-2, np.float32) for w in weights]
 
@@ -200,21 +209,59 @@ def train(rows: pd.DataFrame, updates: int = 900, docs_per_step: int = 32, rate:
         inside = real.ravel()[flat] & (np.abs(slope).sum(axis=1) > 0)
         flat, slope = flat[inside], slope[inside]
         for k, number in ((0, np.concatenate([a[flat], b[flat]])), (1, c[flat])):
+            slope_of = np.concatenate([slope, slope]) if k == 0 else slope
+            learnt = known[k][number]
+            number, slope_of = number[learnt], slope_of[learnt]
             unique, inverse = np.unique(number, return_inverse=True)
             total = np.zeros((len(unique), DIM), np.float32)
-            np.add.at(total, inverse, np.concatenate([slope, slope]) if k == 0 else slope)
+            np.add.at(total, inverse, slope_of)
             update(k, unique, total)
-    _calibrate(model, [codes[i] for i in tune], y[tune], rows["lang"].fillna("").to_numpy()[tune])
     return model
 
 
-def _calibrate(model: Model, codes: list[np.ndarray], y: np.ndarray, lang: np.ndarray) -> None:
+def common_numbers(codes: list[np.ndarray], least: int = LEAST_TEXTS) -> tuple[np.ndarray, np.ndarray]:
+    """Which embedding numbers, of words and of beginnings, stand in at least ``least`` of the texts."""
+    found = np.zeros((2, 1 << BITS), np.int32)
+    for c in codes:
+        a, b, start = split_codes(np.unique(c))
+        found[0][np.unique(np.concatenate([a, b]))] += 1
+        found[1][np.unique(start)] += 1
+    return found[0] >= least, found[1] >= least
+
+
+def logits(model: Model, codes: list[np.ndarray]) -> np.ndarray:
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+    return model.logit(model.pooled(np.concatenate(codes) if codes else np.zeros(0, np.int64), offsets))
+
+
+def train(rows: pd.DataFrame) -> Model:
+    """A model of all rows, whose scale and thresholds come from rows that were not trained on.
+
+    Each of FOLDS parts is scored by a model of the other parts, so that every labelled row serves to calibrate, however few there are.
+    """
+    model = fit_rows(rows)
+    if rows.empty or rows["toxic"].nunique() < 2:
+        return model
+    codes = [np.asarray(c, np.int64) for c in rows["codes"]]
+    y, fold = rows["toxic"].to_numpy(np.float32), np.empty(len(rows), np.int64)
+    rng = np.random.default_rng(SEED + 1)
+    for kind in (0, 1):  # each part has its share of toxic rows
+        at = np.flatnonzero(y == kind)
+        fold[at] = rng.permutation(len(at)) % FOLDS
+    outside = np.zeros(len(rows))
+    for k in range(FOLDS):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(own) and 0 < y[rest].sum() < len(rest):
+            outside[own] = logits(fit_rows(rows, fit=rest, updates=FOLD_UPDATES), [codes[i] for i in own])
+    _calibrate(model, outside, y, rows["lang"].fillna("").to_numpy())
+    return model
+
+
+def _calibrate(model: Model, logit: np.ndarray, y: np.ndarray, lang: np.ndarray) -> None:
     """Scale scores to probabilities on rows not trained on, and choose each language's threshold there.
 
     A language's threshold is the one with the best F1 among its rows, drawn towards the common THRESHOLD by as much as 20 toxic rows weigh.
     """
-    offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
-    logit = model.logit(model.pooled(np.concatenate(codes) if codes else np.zeros(0, np.int64), offsets))
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(500):
@@ -260,7 +307,8 @@ def lang_threshold(model: Model) -> Column:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``scores`` with ``held_out``, ``predicted`` (score of THRESHOLD or more), and ``rejected`` by ``lang_threshold``.
 
-    Repeated rows are scored each.
+    Repeated rows are scored each; null and empty texts get the score of no words; a very long text is worked on in parts; an
+    empty table gives no rows; of other columns none is read.
     """
     model = fit(docs, labels)
     rows = scores(docs, model).withColumn("lang_threshold", lang_threshold(model))

@@ -222,6 +222,53 @@ def test_links_of_a_dense_group(spark, defer, monkeypatch):
     assert {k: v for k, v in got.items() if k != v} == want
 
 
+def test_scores_equal_convolution_and_pooling_by_loops(monkeypatch):
+    """Texts shorter than a filter, without words, and cut into parts while they are scored."""
+    rng = np.random.default_rng(4)
+    n, width = 1 << toxicity.BITS, toxicity.DIM
+    model = toxicity.Model(
+        rng.normal(0, 1, (n, width)).astype(np.float32), rng.normal(0, 1, (n, width)).astype(np.float32),
+        [rng.normal(0, 1, (w, width, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
+        [rng.normal(0, 1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS],
+        rng.normal(0, 1, toxicity.FILTERS * len(toxicity.WIDTHS) + 1).astype(np.float32), (0.7, -0.2),
+    )
+    texts = [rng.integers(0, 1 << 3 * toxicity.BITS, k) for k in (0, 1, 2, 3, 7, 40, 0, 90)]
+    none = np.zeros(width, np.float32)
+
+    def plain(codes):
+        x = [model.words[c & (n - 1)] + model.words[c >> toxicity.BITS & (n - 1)] + model.starts[c >> 2 * toxicity.BITS] for c in codes.tolist()]
+        pooled = []
+        for f, bias in zip(model.filters, model.bias):
+            best = np.maximum(bias, 0)  # the window of blanks after a text counts, also of a text without words
+            for i in range(len(x)):  # a window may run past the end of the text
+                value = bias + sum((x[i + o] if i + o < len(x) else none) @ f[o] for o in range(len(f)))
+                best = np.maximum(best, value)
+            pooled.append(best)
+        z = 0.7 * (np.concatenate(pooled) @ model.out[:-1] + model.out[-1]) - 0.2
+        return 1 / (1 + np.exp(-z))
+
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    for step in (toxicity.STEP_TOKENS, 11):
+        monkeypatch.setattr(toxicity, "STEP_TOKENS", step)
+        got = model.score(np.concatenate(texts), offsets)
+        assert got == pytest.approx([plain(t) for t in texts], abs=1e-4), step
+
+
+def test_rare_words_stay_neutral_and_every_row_calibrates():
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    code = lambda words: np.array([int(w) * 2654435761 % (1 << 3 * toxicity.BITS) for w in words])
+    rows = [(i, int(i % 8 == 0), "en", code([*rng.integers(100, 160, 20), *([7, 8, 9][i % 3 :] if i % 8 == 0 else []), 10_000 + i])) for i in range(240)]
+    model = toxicity.train(pd.DataFrame(rows, columns=["doc_id", "toxic", "lang", "codes"]))
+    rare = toxicity.split_codes(code([10_003]))[0]
+    assert not model.words[rare].any() and model.words[toxicity.split_codes(code([9]))[0]].any()
+    new = [code([*rng.integers(100, 160, 20), 90_000 + i, *([9] if i % 2 else [])]) for i in range(40)]
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in new])]).astype(np.int64)
+    predicted = model.score(np.concatenate(new), offsets) >= toxicity.THRESHOLD
+    assert predicted[1::2].mean() > 0.9 and predicted[::2].mean() < 0.1
+
+
 def test_toxicity_learns_and_keeps_its_bounds(spark, docs, empty):
     rng = random.Random(9)
     rows, labels = [], []
