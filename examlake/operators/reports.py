@@ -1,6 +1,6 @@
 """Masking, the report projection, its clean-up and number formats."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,47 @@ def report_rows(towns: DataFrame, role: str = "user") -> DataFrame:
     )
 
 
+def _kinds(df: DataFrame) -> tuple[list[str], list[str]]:
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return text, [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+
+
+def tidy_cells(df: DataFrame) -> DataFrame:
+    """Text cells cleaned and missing numbers 0, before anything is known of whole columns."""
+    out = []
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            c = clean_cell(c)
+        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            c = F.coalesce(drop_nan(c), F.lit(0.0))
+        elif isinstance(field.dataType, T.NumericType):
+            c = F.coalesce(c, F.lit(0).cast(field.dataType))
+        out.append(c.alias(field.name))
+    return df.select(*out)
+
+
+def column_facts(tidy: DataFrame) -> dict[str, Column]:
+    """Per text column whether all its cells are numbers, per floating column whether all are whole: one aggregate each."""
+    text, floats = _kinds(tidy)
+    facts = {c: F.bool_and(F.col(f"`{c}`").isNull() | parse_number(F.col(f"`{c}`")).isNotNull()) for c in text}
+    return facts | {c: F.bool_and(F.col(f"`{c}`") % 1 == 0) for c in floats}
+
+
+def typed_cells(tidy: DataFrame, decided: dict[str, bool | None]) -> DataFrame:
+    """Tidy cells under the types their columns' facts call for."""
+    text, floats = _kinds(tidy)
+    out = []
+    for name in tidy.columns:
+        c = F.col(f"`{name}`")
+        if name in text and decided[name]:
+            c = parse_number(c)
+        elif name in floats:
+            c = c.cast("bigint") if decided[name] else round_half_even(c, 1)
+        out.append(c.alias(name))
+    return tidy.select(*out)
+
+
 def sanitize_report(df: DataFrame) -> DataFrame:
     """Clean text cells; turn all-numeric text columns into numbers; tidy number columns.
 
@@ -34,34 +75,23 @@ def sanitize_report(df: DataFrame) -> DataFrame:
     What a column becomes depends on all of its values, so one aggregation over the whole frame
     (one row of flags) decides that first.
     """
-    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    cleaned = {c: clean_cell(F.col(f"`{c}`")) for c in text}
-    flags = [
-        F.bool_and(cleaned[c].isNull() | parse_number(cleaned[c]).isNotNull()).alias(f"t{i}")
-        for i, c in enumerate(text)
-    ] + [
-        F.bool_and(F.coalesce(drop_nan(F.col(f"`{c}`")), F.lit(0.0)) % 1 == 0).alias(f"f{i}")
-        for i, c in enumerate(floats)
-    ]
-    decided = df.agg(*flags).first().asDict() if flags else {}
-    out = []
-    for field in df.schema:
-        name, c = field.name, F.col(f"`{field.name}`")
-        if name in text:
-            value = cleaned[name]
-            if decided[f"t{text.index(name)}"]:
-                value = parse_number(value)
-        elif name in floats:
-            value = F.coalesce(drop_nan(c), F.lit(0.0))
-            whole = decided[f"f{floats.index(name)}"]
-            value = value.cast("bigint") if whole else round_half_even(value, 1)
-        elif isinstance(field.dataType, T.NumericType):
-            value = F.coalesce(c, F.lit(0).cast(field.dataType))
-        else:
-            value = c
-        out.append(value.alias(name))
-    return df.select(*out)
+    tidy = tidy_cells(df)
+    facts = column_facts(tidy)
+    found = tidy.agg(*[f.alias(f"f{i}") for i, f in enumerate(facts.values())]).first() if facts else ()
+    return typed_cells(tidy, dict(zip(facts, found)))
+
+
+def write_report(df: DataFrame, path: str) -> DataFrame:
+    """``sanitize_report`` of a report that is written: the facts are observed while the tidy cells are, in one pass over the input.
+
+    What is returned reads the written cells under the types decided.
+    """
+    tidy = tidy_cells(df)
+    facts, seen = column_facts(tidy), Observation()
+    watched = tidy.observe(seen, *[f.alias(f"f{i}") for i, f in enumerate(facts.values())]) if facts else tidy
+    watched.write.parquet(path)
+    decided = dict(zip(facts, seen.get.values())) if facts else {}
+    return typed_cells(df.sparkSession.read.schema(tidy.schema).parquet(path), decided)
 
 
 SUMMARY_WIDTH = 60  # fixed display length of the list of towns

@@ -787,7 +787,7 @@ def mask(spark, sf):
 @query
 def report_rows(spark, sf):
     report = reports.report_rows(serving.filter_towns(towns(spark, sf), years=[YEAR]))
-    return reports.sanitize_report(report)
+    return reports.write_report(report, shared_folder(spark, "report"))
 
 
 @query

@@ -132,3 +132,13 @@ def test_checks_are_measured_while_writing(spark, tmp_path):
         quality.assert_outcomes(found)
     empty = quality.checked_write(store, df.limit(0), "t", checks)
     assert {o.check_name for o in empty if not o.passed} == {"row_count > 2", "min(b) >= 0", "max(b) <= 5"}
+
+
+def test_a_written_report_equals_the_sanitized_one(spark, tmp_path):
+    rows = [("1,5", "x\x07y", 2.0, 2.5, None, 1), ("7", None, 3.0, float("nan"), None, None), (None, " a ", None, 1.0, None, 3)]
+    df = spark.createDataFrame(rows, "n string, t string, w double, f double, e string, i int")
+    for name, frame in {"rows": df, "none": df.limit(0)}.items():
+        plain, written = reports.sanitize_report(frame), reports.write_report(frame, str(tmp_path / name))
+        assert written.dtypes == plain.dtypes
+        assert sorted(map(str, written.collect())) == sorted(map(str, plain.collect()))
+    assert reports.write_report(df.select("i"), str(tmp_path / "ints")).count() == 3
