@@ -4,11 +4,13 @@ Words are hashed to embeddings; filters of several widths run over the text, the
 logistic layer scores the pooled values. Training is numpy on a bounded sample of labelled rows; scoring runs in Spark's tasks.
 """
 
+from __future__ import annotations
+
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from examlake.llm.anchors import list_parts
 from examlake.llm.common import fresh, full_text, text_key
 
+if TYPE_CHECKING:  # the driver's tables; tasks do without
+    import pandas as pd
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BITS, PREFIX = 17, 4  # of an embedding's number; characters of a word's beginning
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
@@ -26,6 +31,7 @@ LEAST_TEXTS = 3  # training texts a word must stand in to get an embedding
 UPDATES, FOLDS, FOLD_UPDATES = 900, 3, 600
 SEED = 29
 STEP_TOKENS = 1 << 17  # tokens scored at once
+STEP_ROWS = 1_000  # rows scored, and filtered, at once
 
 
 def word_codes(text: Column) -> Column:
@@ -328,7 +334,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, STEP_ROWS) for b in batches for i in range(0, b.num_rows, STEP_ROWS)):
             values, offsets = list_parts(batch.column(len(names)))
             keep = shared.value.score(values.view(np.int64), offsets) < batch.column(len(names) + 1).to_numpy()
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(keep))
