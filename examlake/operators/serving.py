@@ -399,7 +399,7 @@ def band_shares(counts: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ ad-hoc SQL
 LITERAL_OR_COMMENT = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
 # Statements that only look something up, by the name of their parsed node.
-LOOKUPS = re.compile(r"Describe\w+|Show(?!CreateTable)\w+|ExplainCommand")
+LOOKUPS = re.compile(r"Describe\w+|Show\w+|ExplainCommand")
 # Functions that call any Java method by its name.
 CALLS_JAVA = {"java_method", "reflect", "try_reflect"}
 
