@@ -1,5 +1,6 @@
 """Numeric expressions: tolerant parsing, range checks, row means, rounding, bins and bands."""
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -21,6 +22,11 @@ def parse_number(c: Column) -> Column:
     return F.regexp_extract(text, NUMBER_PATTERN, 1).try_cast("double")
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def parse_integer(c: Column) -> Column:
     """Like ``parse_number``, then rounded half-even to a bigint."""
     return F.rint(parse_number(c)).try_cast("bigint")
