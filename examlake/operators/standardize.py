@@ -35,36 +35,47 @@ def coerce(c: Column, kind: str) -> Column:
     return parse_integer(c) if kind == "integer" else parse_number(c)
 
 
-def sanitize_scores(columns: dict[str, Column]) -> dict[str, Column]:
-    """Scores outside the valid range become null."""
-    return {n: within(c, SCORE_MIN, SCORE_MAX) if n in SCORES else c for n, c in columns.items()}
-
-
-def sanitize_ages(columns: dict[str, Column]) -> dict[str, Column]:
-    """Ages outside the valid range become null."""
-    return {n: within(c, AGE_MIN, AGE_MAX) if n == "NU_IDADE" else c for n, c in columns.items()}
-
-
 def standardize(df: DataFrame, year: int | Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """Project a raw frame to the canonical columns, in order and typed.
 
     Missing sources become typed nulls, unknown source columns are dropped and ``year`` fills in
-    where the row has none. ``carry`` passes technical columns (the row position) through. No
+    where the row has none; scores and ages outside their range become null. ``carry`` passes technical columns (the row position) through. No
     shuffle is added and only the picked source columns are scanned.
     """
-    columns = {}
+    plain, whole, scores = {}, {}, {}
     for target, (kind, names) in CANONICAL_COLUMNS.items():
         source = pick_source(df.columns, names)
         if source is None:
-            columns[target] = F.lit(None).cast(KIND_TYPES[kind])
+            plain[target] = F.lit(None).cast(KIND_TYPES[kind])
+        elif kind in ("integer", "numeric"):
+            (scores if target in SCORES else whole)[target] = F.col(f"`{source}`").cast("string")
         else:
-            columns[target] = coerce(F.col(f"`{source}`"), kind)
+            plain[target] = coerce(F.col(f"`{source}`"), kind)
+    age = list(whole).index("NU_IDADE") if "NU_IDADE" in whole else -1
+    integers = F.transform(numbers_of(whole), lambda x: F.rint(x).try_cast("bigint"))
+    integers = F.transform(integers, lambda x, i: F.when((i != age) | x.between(AGE_MIN, AGE_MAX), x))
+    doubles = F.transform(numbers_of(scores), lambda x: within(x, SCORE_MIN, SCORE_MAX))
     default_year = year if isinstance(year, Column) else F.lit(year)
-    columns["ANO"] = F.coalesce(columns["ANO"], default_year).cast("int")
-    # Two projections: the range checks use a value several times, parsing it happens once.
-    typed = df.select(*[c.alias(n) for n, c in columns.items()], *carry)
-    checked = sanitize_ages(sanitize_scores({n: F.col(n) for n in columns}))
-    return typed.select(*[c.alias(n) for n, c in checked.items()], *carry)
+
+    def row(parsed: Column) -> Column:
+        values = {n: F.get(parsed["whole"], i) for i, n in enumerate(whole)}
+        values |= {n: F.get(parsed["scores"], i) for i, n in enumerate(scores)}
+        values |= plain
+        values["ANO"] = F.coalesce(values["ANO"], default_year).cast("int")
+        return F.struct(*[values[n].alias(n) for n in CANONICAL_COLUMNS])
+
+    # One parser for all numbers keeps the code of a row small enough to be compiled, and the row of a generator is made
+    # once: filters on its columns are not pushed below it, where each would parse its numbers again.
+    parsed = F.array(F.struct(integers.alias("whole"), doubles.alias("scores")))
+    made = df.select(*carry, F.inline(F.transform(parsed, row)))
+    return made.select(*CANONICAL_COLUMNS, *carry)
+
+
+def numbers_of(texts: dict[str, Column]) -> Column:
+    """Text columns as one array of doubles (``parse_number``)."""
+    if not texts:
+        return F.array().cast("array<double>")
+    return F.transform(F.array(*texts.values()), parse_number)
 
 
 def rename_map() -> dict[str, str]:

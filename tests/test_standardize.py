@@ -152,3 +152,12 @@ def test_small_domains(spark):
     df = spark.createDataFrame(data, "i int, few string, many string")
     got = {r.column: r.domain for r in metadata.small_domains(df, ["few", "many"], F.col("i"), 3).collect()}
     assert got == {"few": ["A", "B", "C"], "many": None}
+
+
+def test_filters_do_not_repeat_the_parsing(spark):
+    raw = spark.createDataFrame([("1", "2019", "20", "550,5")], "NU_INSCRICAO string, NU_ANO string, IDADE string, NT_CN string")
+    silver = standardize.standardize(raw, 2019)
+    kept = silver.filter("NU_IDADE >= 8 AND NU_IDADE <= 120 AND NOTA_CIENCIAS_NATUREZA <= 1000 AND ANO > 0")
+    assert [(r.NU_IDADE, r.NOTA_CIENCIAS_NATUREZA) for r in kept.collect()] == [(20, 550.5)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 2  # one parser for whole numbers, one for scores
