@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METADATA_SCHEMA = (
     "ano int, nome_original string, nome_padrao string, descricao string, "
@@ -80,23 +81,28 @@ def small_domains(
 ) -> DataFrame:
     """Distinct values per column in order of first appearance; null when over ``max_size``.
 
-    Values are reduced to their first position before the shuffle, and only ``max_size + 1`` of
-    them per column are ever ranked together, so a high-cardinality column costs one aggregation.
+    Values are reduced to the first field of their first position before the shuffle, which needs no sort of the rows, and
+    at most ``max_size + 1`` of them per column are ever ranked together, so a high-cardinality column costs one
+    aggregation. Whole positions are compared only between rows that share the first field of a small column's value.
     """
     long = df.select(
         position.alias("_at"), *[F.col(c).cast("string").alias(c) for c in columns]
     ).unpivot(["_at"], columns, "column", "value")
-    first = (
-        long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.min("_at").alias("_at"))
-    )
-    ranked = first.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("column").orderBy("_at", "value"))
+    long = long.filter(F.col("value").isNotNull())
+    kind = long.schema["_at"].dataType
+    start = F.col("_at").getField(kind.names[0]) if isinstance(kind, T.StructType) else F.col("_at")
+    first = long.groupBy("column", "value").agg(F.min(start).alias("_start"), F.bool_or(start.isNull()).alias("_null"))
+    few = first.withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("column").orderBy("value"))
     ).filter(F.col("_rank") <= max_size + 1)
-    return ranked.groupBy("column").agg(
-        F.when(
-            F.count("*") <= max_size,
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("_rank", "value"))), lambda x: x["value"]
-            ),
-        ).alias("domain")
+    values = F.collect_list(F.struct(F.col("value").alias("_value"), "_start", "_null"))
+    found = few.groupBy(F.col("column").alias("_column")).agg(values.alias("_values"))
+    small = found.filter(F.size("_values") <= max_size).select("_column", F.inline("_values"))
+    at_start = F.when(F.col("_null"), start.isNull()).otherwise(start == F.col("_start"))
+    same = (F.col("column") == F.col("_column")) & (F.col("value") == F.col("_value")) & at_start
+    # Of a column at most max_size rows, so the broadcast does not grow.
+    places = long.join(F.broadcast(small), same).groupBy("column", "value").agg(F.min("_at").alias("_at"))
+    domains = places.groupBy("column").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]).alias("domain")
     )
+    return found.join(domains, F.col("_column") == F.col("column"), "left").select(F.col("_column").alias("column"), "domain")

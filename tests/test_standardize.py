@@ -161,3 +161,12 @@ def test_filters_do_not_repeat_the_parsing(spark):
     assert [(r.NU_IDADE, r.NOTA_CIENCIAS_NATUREZA) for r in kept.collect()] == [(20, 550.5)]
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 2  # one parser for whole numbers, one for scores
+
+
+def test_small_domains_compare_whole_positions_only_at_the_start(spark):
+    rows = [(2, 1, "b", "x"), (1, 2, "a", "x"), (1, 1, "c", "y"), (None, 5, "d", None), (None, 4, "e", "z")]
+    df = spark.createDataFrame(rows, "p int, q int, v string, w string")
+    found = metadata.small_domains(df, ["v", "w"], F.struct("p", "q"))
+    assert {r.column: r.domain for r in found.collect()} == {"v": ["e", "d", "c", "a", "b"], "w": ["z", "y", "x"]}
+    found = metadata.small_domains(df, ["v", "w"], F.struct("p", "q"), max_size=4)
+    assert {r.column: r.domain for r in found.collect()} == {"v": None, "w": ["z", "y", "x"]}
