@@ -177,3 +177,15 @@ def test_domains_of_the_metadata_hold_in_their_year(spark, tmp_path):
     report = {(r.ANO, r.rule): r.affected_rows for r in one.report.collect()}
     assert report[2016, "domain:RENDA_FAMILIAR"] == 2 and report[2016, "domain:GRUPO"] == 1 and report[2017, "domain:RENDA_FAMILIAR"] == 1
     assert not cleaning.write_marked(df.limit(0), str(tmp_path / "b"), CleaningPlan(order=("pos",)), domains=domains).valid.count()
+
+
+def test_only_rows_of_repeated_keys_are_compared(spark):
+    df = spark.range(20000).select((F.col("id") % 19800).cast("string").alias("ID_INSCRICAO"), F.col("id").alias("pos"))
+    df = df.unionByName(spark.createDataFrame([(None, 30000), (None, 30001)], "ID_INSCRICAO string, pos bigint"))
+    single, compared = cleaning.split_repeated(df, ["ID_INSCRICAO"])
+    assert single.count() + compared.count() == 20002
+    assert compared.count() < 500  # 201 keys twice, and rows that share a bit with them
+    twice = compared.groupBy("ID_INSCRICAO").count().filter("count = 2")
+    assert twice.count() == 201
+    stored = cleaning.clean(df, PLAN, stored=True).valid
+    assert sorted(r.pos for r in stored.collect()) == sorted(r.pos for r in cleaning.clean(df, PLAN).valid.collect())
