@@ -96,7 +96,7 @@ def year_stats(df: DataFrame, unique_ids: bool = False) -> DataFrame:
         total = scores.groupBy("ANO").agg(enrolled_here(scores).alias("TOTAL_INSCRITOS"))
     pairs = [x for m in measures for x in (F.lit(m), F.col(m))]
     long = scores.select("ANO", F.stack(F.lit(len(measures)), *pairs).alias("measure", "value"))
-    found = exact_summary(long, ["ANO", "measure"], "value", {"median": 0.5}, SCORE_MIN, SCORE_MAX)
+    found = exact_summary(long, ["ANO", "measure"], "value", {"median": 0.5}, SCORE_MIN, SCORE_MAX, few_groups=True)
     stats = found.groupBy(F.col("ANO").alias("_ANO")).agg(
         *[
             F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{m}_{x}")
@@ -225,7 +225,7 @@ def income_boxes(df: DataFrame) -> DataFrame:
         row_mean([drop_nan(F.col(s).cast("double")) for s in SCORES]).alias("score"),
     ).filter(F.col("CLASSE").isNotNull())
     found = exact_summary(
-        scored, ["ANO", "CLASSE"], "score", {"Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75}, SCORE_MIN, SCORE_MAX
+        scored, ["ANO", "CLASSE"], "score", {"Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75}, SCORE_MIN, SCORE_MAX, few_groups=True
     )
     return found.select(
         "CLASSE", F.col("min").alias("LOW"), "Q1", "MEDIAN", "Q3", F.col("max").alias("HIGH"), F.col("count").alias("COUNT"), "ANO"

@@ -33,6 +33,7 @@ def exact_summary(
     low: float,
     high: float,
     buckets: int = 1000,
+    few_groups: bool = False,
 ) -> DataFrame:
     """``count, mean, std, min, max`` and the named quantiles of ``value`` per group, in two reads of the rows.
 
@@ -44,7 +45,8 @@ def exact_summary(
 
     Values beyond the range fall in the outer buckets, so the result is exact for any input. A null group is a group. A group
     without values has the count 0 and nulls. The statistics travel with the list of wanted buckets, at most two rows
-    per group and quantile, so the states are used once.
+    per group and quantile, so the states are used once. That list is broadcast, and the values not shuffled, if there are
+    ``few_groups``: a number that does not grow with the rows, such as years by a fixed list.
     """
     width = (high - low) / buckets
     values = df.select(*groups, F.col(value).alias("_v")).withColumn("_b", _bucket(F.col("_v"), F.lit(low), width, buckets))
@@ -57,6 +59,7 @@ def exact_summary(
     )
     states = _merged(states, groups, (low + high) / 2)
     wanted = _holding_ranks(states, groups, "_b", F.lit(0), quantiles, ["_all"])
+    wanted = F.broadcast(wanted) if few_groups else wanted
 
     slice_start = F.lit(low) + F.col("_b") * width
     counts = (
