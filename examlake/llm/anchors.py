@@ -8,6 +8,7 @@ an anchor: only about one place in ``width / 2`` is one. Anchors that occur once
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ from examlake.llm.common import full_text
 
 U = np.uint64
 MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-CHUNK = 1 << 20  # symbols worked on at once; above it a text is a chunk of its own
+CHUNK = 1 << 20  # symbols of heavy windows settled at once; above it a text is a chunk of its own
+STEP = 1 << 16  # symbols hashed at once, so that the arrays stay in a core's cache
 POSITION_BITS = U(32)
 
 ANCHOR_SCHEMA = "anchor bigint, salt int, row bigint, packed bigint"  # packed: size, then at in 32 bits
@@ -35,14 +37,27 @@ class Shape:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(32))) * MIX1
-    x = (x ^ (x >> U(29))) * MIX2
-    return x ^ (x >> U(32))
+    out = x >> U(32)
+    out ^= x
+    out *= MIX1
+    shifted = out >> U(29)
+    out ^= shifted
+    out *= MIX2
+    np.right_shift(out, U(32), out=shifted)
+    out ^= shifted
+    return out
+
+
+def mixed(symbols: np.ndarray, seed: int) -> np.ndarray:
+    """``mix`` of each symbol plus ``seed``; bytes are looked up."""
+    if symbols.dtype == np.uint8:
+        return mix(np.arange(256, dtype=U) + U(seed))[symbols]
+    return mix(symbols.astype(U) + U(seed))
 
 
 def gram_hashes(symbols: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """Hash of the ``k`` symbols from each place on (``len - k + 1`` of them), by doubling."""
-    out, done, block, size, m = None, 0, mix(symbols.astype(U) + U(seed)), 1, len(symbols)
+    out, done, block, size, m = None, 0, mixed(symbols, seed), 1, len(symbols)
     while True:
         if k & size:
             part = block[done : done + m - k + 1]
@@ -80,14 +95,14 @@ def find_anchors(symbols: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple
     return hashes[place[first]].view(np.int64), owner, valid[first] - starts[owner], runs
 
 
-def chunks(lengths: np.ndarray) -> Iterator[slice]:
-    """Ranges of texts of about CHUNK symbols together."""
+def chunks(lengths: np.ndarray, most: int) -> Iterator[slice]:
+    """Ranges of texts of about ``most`` symbols together."""
     begin, total = 0, 0
-    for i, n in enumerate(lengths):
-        if total and total + n > CHUNK:
+    for i, n in enumerate(lengths.tolist()):
+        if total and total + n > most:
             yield slice(begin, i)
             begin, total = i, 0
-        total += int(n)
+        total += n
     if begin < len(lengths):
         yield slice(begin, len(lengths))
 
@@ -95,7 +110,7 @@ def chunks(lengths: np.ndarray) -> Iterator[slice]:
 def all_anchors(values: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """Anchors of a batch of texts, in the order of the texts."""
     found = [(np.zeros(0, np.int64),) * 4]
-    for part in chunks(np.diff(offsets)):
+    for part in chunks(np.diff(offsets), STEP):
         low, high = offsets[part.start], offsets[part.stop]
         a, t, s, n = find_anchors(values[low:high], offsets[part.start : part.stop] - low, shape)
         found.append((a, t + part.start, s, n))
@@ -195,7 +210,7 @@ def context_rows(shape: Shape) -> Callable:
             light, single = order[~heavy[order]], order[heavy[order]]
             if len(light):
                 yield from settled_rows(shape, values, offsets, rows, docs, owner[light], a[light], at[light], n[light])
-            for part in chunks(n[single]):
+            for part in chunks(n[single], CHUNK):
                 many = n[single[part]]
                 reps = np.repeat(single[part], many)
                 step = np.arange(len(reps)) - np.repeat(np.cumsum(many) - many, many)
@@ -247,24 +262,28 @@ def settled_rows(
 
 
 def context_hashes(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of ranges of ``values``; those that begin within CHUNK symbols are worked on together."""
+    """128-bit hashes of ranges of ``values``; those that begin within STEP symbols are worked on together."""
     out = np.empty((2, len(begin)), np.int64)
     order = np.argsort(begin, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(begin[order] // CHUNK)) + 1):
+    for part in np.split(order, np.flatnonzero(np.diff(begin[order] // STEP)) + 1):
         if len(part):
             out[:, part] = range_hashes(values, begin[part], length[part])
     return out[0], out[1]
 
 
+@lru_cache(4)
+def powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse."""
+    return tuple(np.cumprod(np.full(n, x, U)) for x in (base, pow(base, -1, 1 << 64)))
+
+
 def range_hashes(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
     """Two hashes of each range, from running sums of hashed symbols times powers of an odd number; where a range stands doesn't matter."""
     out = []
     for seed, base in ((1, MIX1), (7, MIX2)):
         low, high = int(begin.min()), int((begin + length).max())
-        powers = np.cumprod(np.full(high - low + 1, base, U))
-        inverse = U(pow(int(base), -1, 1 << 64))
-        back = np.cumprod(np.full(high - low + 1, inverse, U))
-        sums = np.concatenate([[U(0)], np.cumsum(mix(values[low:high].astype(U) + U(seed)) * powers[: high - low])])
+        powers, back = powers_of(int(base), 1 << (high - low).bit_length())
+        sums = np.concatenate([[U(0)], np.cumsum(mixed(values[low:high], seed) * powers[: high - low])])
         raw = (sums[begin + length - low] - sums[begin - low]) * back[begin - low]
         out.append(mix(raw + length.astype(U)).view(np.int64))
     return out

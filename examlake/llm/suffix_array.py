@@ -19,9 +19,19 @@ WIDTH = 200
 SHAPE = Shape(width=WIDTH, gram=24, across_docs=False)
 PIECE = 8 << 20  # bytes of rows taken together
 SHARD = 1 << 20  # bytes of a shard
+PART = 1 << 17  # bytes of the groups that share a shard; a larger group has shards of its own
+FIRST_BYTES = U(1) << (U(8) * np.arange(1, 8, dtype=U))  # a number of eight bytes below the i-th begins with 7 - i zero bytes
 END = 0xFF  # stands between texts; no UTF-8 text holds it
 
 
+def next_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; past the end they count as zero."""
+    key = np.concatenate([data, np.zeros(7, np.uint8)]).astype(U)
+    for size in (1, 2, 4):
+        key = (key[:-size] << U(8 * size)) | key[size:]
+    return key
+
+
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes by their first ``depth`` bytes at least.
 
@@ -29,10 +39,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     bytes known at each step. Sorted ones are left alone.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(U)
-    key = np.zeros(n, U)
-    for i in range(8):
-        key = (key << U(8)) | padded[i : i + n]
+    key = next_bytes(data)
     order = np.argsort(key)
     ordered = key[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -60,19 +67,22 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
 def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of suffixes ``a`` and ``b``, counted up to ``most``."""
     n, out = len(data), np.zeros(len(a), np.int64)
-    left = np.arange(len(a))
-    while len(left):
-        x, y = a[left] + out[left], b[left] + out[left]
+    key = next_bytes(data)
+    left, x, y = np.arange(len(a)), a, b
+    while True:
         inside = (np.maximum(x, y) < n) & (out[left] < most)
         left, x, y = left[inside], x[inside], y[inside]
-        # Eight bytes at a time; the first that differs ends it.
-        step = np.arange(8)
-        same = data[np.minimum(x[:, None] + step, n - 1)] == data[np.minimum(y[:, None] + step, n - 1)]
-        same &= np.maximum(x, y)[:, None] + step < n
-        run = np.where(same.all(axis=1), 8, np.argmin(same, axis=1))
+        if not len(left):
+            return out
+        # Eight bytes at a time; the first that differs ends it, as does the end of the data.
+        differ = key[x] ^ key[y]
+        ends = np.flatnonzero(differ)
+        run = np.full(len(left), 8)
+        run[ends] = (differ[ends, None] < FIRST_BYTES).sum(axis=1)
+        run = np.minimum(run, n - np.maximum(x, y))
         out[left] += run
-        left = left[run == 8]
-    return out
+        going = run == 8
+        left, x, y = left[going], x[going] + 8, y[going] + 8
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -163,15 +173,19 @@ def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def repeated_windows(texts: list[bytes], group: np.ndarray, weight: np.ndarray, width: int = WIDTH, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
     """(text, first byte) of the windows found more than once among ``texts`` of a group; a text counts ``weight`` times.
 
-    Texts come sorted by group. Shards hold ``shard`` bytes and whole groups; only a group too large for one takes several, which
-    look each other's windows up.
+    Texts come sorted by group. A shard holds whole groups of ``PART`` bytes together, or one larger group; only a group of more than
+    ``shard`` bytes takes several, which look each other's windows up.
     """
     total = np.cumsum([len(t) + 1 for t in texts])
     text_out, at_out = [], []
     begin, kept = 0, []  # shards before this one that hold nothing but its first group
     while begin < len(texts):
-        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + shard, side="right")))
-        if end < len(texts) and group[begin] != group[end]:
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + min(PART, shard), side="right")))
+        if end < len(texts) and group[begin] == group[end]:
+            own = int(np.searchsorted(group, group[begin], side="right"))
+            end = max(begin + 1, min(own, int(np.searchsorted(total, before + shard, side="right"))))
+        elif end < len(texts):
             end = int(np.searchsorted(group, group[end]))
         piece = Shard(texts[begin:end], width)
         number = piece.classes()

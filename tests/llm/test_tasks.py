@@ -354,3 +354,39 @@ def test_pipeline_stages(spark, tmp_path):
             assert sorted(d for d, _ in left) == sorted(r[0] for r in brute.op1(given, items) if not r[5])
     assert counts[0] >= counts[1] >= counts[2]
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_small_groups_share_small_shards(monkeypatch):
+    """Suffix arrays stay in a core's cache; a group of more bytes than PART still is one shard, as it was."""
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 101, 1000, np.uint8)) for _ in range(60)]
+    texts[1] = texts[0][:500] + texts[1][500:]
+    texts[41] = texts[59][:300] + texts[41][300:]
+    group, sizes, built = np.array([i // 5 for i in range(40)] + [50] * 20), [], suffix_array.Shard.__init__
+
+    def recorded(self, texts, *more):
+        sizes.append(sum(len(t) + 1 for t in texts))
+        built(self, texts, *more)
+
+    monkeypatch.setattr(suffix_array.Shard, "__init__", recorded)
+    monkeypatch.setattr(suffix_array, "PART", 12_000)
+    got = sorted(zip(*(x.tolist() for x in suffix_array.repeated_windows(texts, group, np.ones(60)))))
+    assert got == [(t, at) for t, most in ((0, 301), (1, 301), (41, 101), (59, 101)) for at in range(most)]
+    assert sizes == [10 * 1001] * 4 + [20 * 1001]
+
+
+def test_bytes_are_hashed_by_a_table_in_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 300_000, np.uint8)
+    offsets = np.arange(0, 300_001, 3000)
+    mixed, plain = [], anchors.mix
+    monkeypatch.setattr(anchors, "mix", lambda x: mixed.append(len(x)) or plain(x))
+    got = anchors.all_anchors(data, offsets, suffix_array.SHAPE)
+    assert max(mixed) <= anchors.STEP and sum(mixed) < 5.1 * len(data)
+    monkeypatch.setattr(anchors, "STEP", 1 << 20)
+    assert all((a == b).all() for a, b in zip(got, anchors.all_anchors(data, offsets, suffix_array.SHAPE)))
+    # The table gives what hashing each symbol gives.
+    assert (anchors.gram_hashes(data[:500], 24) == anchors.gram_hashes(data[:500].astype(np.uint64), 24)).all()
+    begin, length = np.array([0, 70_000, 299_000]), np.array([300, 250, 1000])
+    wide = anchors.context_hashes(data.astype(np.uint64), begin, length)
+    assert all((a == b).all() for a, b in zip(anchors.context_hashes(data, begin, length), wide))
