@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from examlake.fixed_values import SCORES, UF_BY_CODE
 from examlake.functions.numeric import lookup
+from examlake.operators.cleaning import keep_first
 
 # Total order over the rows, deciding which copy of an identifier is first.
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -36,8 +37,10 @@ def _absent_when_divisible(by: int) -> Column:
     return F.when(F.col("l_partkey") % by == 0, 0).otherwise(1)
 
 
-def exam_from(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, wanted: Sequence[str] = EXAM_COLUMNS) -> DataFrame:
-    """Line items (batch or stream) as candidates with the ``wanted`` columns, row key included.
+def exam_from(
+    lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, wanted: Sequence[str] = EXAM_COLUMNS, carry: Sequence[str] = ROW_KEY
+) -> DataFrame:
+    """Line items (batch or stream) as candidates with the ``wanted`` columns, row key (or other columns to ``carry``) included.
 
     A table is joined only if a wanted column reads it: Spark cannot know that its key is unique, so it would keep
     the join. Both joins keep every line item. They are plain equi-joins: the optimizer broadcasts a side
@@ -77,7 +80,16 @@ def exam_from(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, wante
         "NOTA_MATEMATICA": F.col("o_totalprice") / F.lit(499.3),
         "NOTA_REDACAO": F.round(F.col("l_tax") * 10000, 2),
     }
-    return rows.select(*[columns[c].alias(c) for c in wanted], *ROW_KEY)
+    return rows.select(*[columns[c].alias(c) for c in wanted], *carry)
+
+
+def first_lines(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Line items that hold the first row of a key, found before the columns that no key needs are joined and derived.
+
+    Repeated rows of a joined table may give a key more than one first row here.
+    """
+    keys = [k for k in keys if k in EXAM_COLUMNS]
+    return keep_first(exam_from(lineitem, orders, supplier, keys, lineitem.columns), keys, ROW_KEY).select(*lineitem.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,9 +102,11 @@ def exam_rows(
     keyed: bool = False,
     wanted: Sequence[str] = EXAM_COLUMNS,
     years: tuple[int, int] | None = None,
+    first_of: Sequence[str] = (),
 ) -> DataFrame:
     """Candidates of the batch tables with the ``wanted`` columns; ``keyed`` keeps the row key.
 
+    ``first_of``: for a caller that keeps the first row per key, only line items that hold one.
     ``years``, the first and the last, become a range of dates, which reaches the scan as a derived year would not.
     """
     lines = table(spark, sf_dir, "lineitem")
@@ -100,7 +114,10 @@ def exam_rows(
         kind = lines.schema["l_shipdate"].dataType
         low, high = (F.lit(f"{y}-01-01").cast(kind) for y in (years[0], years[1] + 1))
         lines = lines.filter((F.col("l_shipdate") >= low) & (F.col("l_shipdate") < high))
-    rows = exam_from(lines, table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier"), wanted)
+    orders, supplier = table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier")
+    if first_of:
+        lines = first_lines(lines, orders, supplier, first_of)
+    rows = exam_from(lines, orders, supplier, wanted)
     return rows if keyed else rows.drop(*ROW_KEY)
 
 

@@ -272,8 +272,8 @@ def domain_report(spark, sf):
 @query
 def dedup_two_keys(spark, sf):
     """Keep-first over whichever of several keys exist (the missing one is ignored)."""
-    rows = exam_rows(spark, sf, keyed=True)
     keys = ["TP_COR_RACA", "NU_INSCRICAO", "CO_MUNICIPIO_PROVA"]
+    rows = exam_rows(spark, sf, keyed=True, first_of=keys)
     return cleaning.split_duplicates(rows, keys, ROW_KEY)[0].drop(*ROW_KEY)
 
 
