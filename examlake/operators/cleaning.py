@@ -143,16 +143,18 @@ SLOTS = 1 << 25  # one bit each: the table of repeated keys is 4 MB at most
 SLOT_BITS = 1 << 15  # bits of one bitmap
 
 
-def split_repeated(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def split_repeated(df: DataFrame, keys: Sequence[str], hashes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows whose key stands in no other row, rows whose key may be repeated); null keys count as equal.
 
     Keys are counted by a hash of 64 bits, and the hashes found more than once set bits in a table of fixed size, small
     enough to be broadcast whatever the input. Rows of one key share a bit, so the second part holds every repeated key whole;
-    only that part needs a shuffle to be compared. ``df`` is read three times.
+    only that part needs a shuffle to be compared. ``df`` is read three times, or twice if the ``hashes`` (``_hash``, by
+    ``xxhash64`` of the keys) of the repeated keys are known.
     """
     slot = F.pmod(F.col("_hash"), F.lit(SLOTS))
-    repeated = df.select(F.xxhash64(*keys).alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_copies")).filter("_copies > 1")
-    found = repeated.select(slot.alias("_slot"))
+    if hashes is None:
+        hashes = df.select(F.xxhash64(*keys).alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_copies")).filter("_copies > 1")
+    found = hashes.select(slot.alias("_slot"))
     place = F.col("_slot") % SLOT_BITS
     bits = found.groupBy(F.floor(F.col("_slot") / SLOT_BITS).alias("_part")).agg(F.bitmap_construct_agg(place).alias("_bits"))
     rows = df.withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(SLOTS)))
@@ -310,14 +312,19 @@ def first_positions(flagged: DataFrame, plan: CleaningPlan) -> DataFrame:
     return valid.groupBy(*named).agg(F.min(F.struct(*plan.order)).alias("_first"), F.count("*").alias("_copies"))
 
 
+RUNNING = "_RUNNING"
+
+
 def mark(
-    flagged: DataFrame, plan: CleaningPlan, taken: DataFrame | None = None, domains: DataFrame | None = None
+    flagged: DataFrame, plan: CleaningPlan, running: DataFrame | None = None, domains: DataFrame | None = None
 ) -> DataFrame:
     """Flagged rows with their last verdict and the repairs made (``_REPAIRED``, names of columns).
 
-    A valid row is a duplicate if its key is ``taken`` already (``_key0``, ... of ``first_positions``) or if another row of
-    its key comes first; missing identifiers are one key. Only keys that are taken or repeated are joined to the rows, one
-    row for each, so a hot key is split between tasks; without ``taken``, rows whose key is not repeated are not shuffled. ``plan.order`` must tell rows apart: equal first rows all stay.
+    A valid row is a duplicate if its key is taken already or if another row of its key comes first; missing identifiers are
+    one key. A key is taken if its ``running`` count (``_key0``, ... of ``first_positions`` and ``_RUNNING``: valid rows of
+    all batches so far, this one's included) exceeds its valid rows here; keys without such a count have one row. Only keys
+    that are taken or repeated are joined to the rows, one row for each, so a hot key is split between tasks; without
+    ``running``, rows whose key is not repeated are not shuffled. ``plan.order`` must tell rows apart: equal first rows all stay.
     Values outside their domain are replaced in valid rows only: domains of the plan, or those of the row's year
     from ``domains`` (``domains_by_year``).
     """
@@ -325,14 +332,14 @@ def mark(
     rows = flagged
     if keys:
         names = [f"_key{i}" for i in range(len(keys))]
-        single, compared = split_repeated(flagged, keys) if taken is None else (None, flagged)
+        single, compared = split_repeated(flagged, keys) if running is None else (None, flagged)
         firsts = first_positions(compared, plan)
-        if taken is None:
+        if running is None:
             known = firsts.filter("_copies > 1").withColumn("_taken", F.lit(False))
         else:
-            seen = taken.select(*[F.col(n).alias(f"_seen{n}") for n in names], F.lit(True).alias("_taken"))
-            same = [F.col(n).eqNullSafe(F.col(f"_seen{n}")) for n in names]
-            known = firsts.join(seen, same, "left").filter("_copies > 1 OR _taken")
+            total = running.select(*[F.col(n).alias(f"_run{n}") for n in names], RUNNING)
+            same = [F.col(n).eqNullSafe(F.col(f"_run{n}")) for n in names]
+            known = firsts.join(total, same).withColumn("_taken", F.col(RUNNING) > F.col("_copies"))
         known = known.select(*names, "_first", "_taken")
         same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
         rows = compared.join(known, same, "left")
