@@ -933,7 +933,7 @@ def stream_standardize(spark, sf):
 ARRIVALS = 3
 
 
-def arriving(spark, sf, folder, run, wanted=EXAM_COLUMNS):
+def arriving(spark, sf, folder, run):
     """The candidates in three arrivals, by part number, so that copies of an identifier come one after the other in the order
     of the row key; ``run`` is started anew on the stream after each. They arrive as files of silver rows."""
     lines = table(spark, sf, "lineitem")
@@ -941,7 +941,7 @@ def arriving(spark, sf, folder, run, wanted=EXAM_COLUMNS):
     step = (limits[1] - limits[0]) // ARRIVALS + 1
     for i in range(ARRIVALS):
         part = lines.filter(F.floor((F.col("l_partkey") - limits[0]) / step) == i)
-        rows = exam_from(part, table(spark, sf, "orders"), table(spark, sf, "supplier"), wanted)
+        rows = exam_from(part, table(spark, sf, "orders"), table(spark, sf, "supplier"))
         rows.write.mode("append").parquet(f"{folder}/in")
         run(incremental.file_stream(spark, rows.schema, f"{folder}/in"))
 
@@ -972,5 +972,5 @@ def stream_classes(spark, sf):
 @query
 def stream_class_summary(spark, sf):
     folder = shared_folder(spark, "stream-summary")
-    arriving(spark, sf, folder, lambda rows: incremental.stream_class_summary(rows, f"{folder}/out", f"{folder}/checkpoint"), NO_PLACE)
+    arriving(spark, sf, folder, lambda rows: incremental.stream_class_summary(rows, f"{folder}/out", f"{folder}/checkpoint"))
     return incremental.read_class_summary(spark, f"{folder}/out")
