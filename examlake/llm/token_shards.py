@@ -7,7 +7,10 @@ one size, so a reader finds slot ``k`` by arithmetic and resumes anywhere.
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,6 @@ END_MARK = 50256  # the free id of the vocabulary
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEQUENCE, PER_SHARD, KEY = 2048, 4096, 0x5EED
 ROUNDS = 4
-CACHE = 200_000  # words kept with their ids
 TASKS = 10_000  # tasks that write shards, at most
 
 
@@ -58,8 +60,7 @@ def slots(sequence: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
 class Encoder:
     """Ids of a text as little-endian 16-bit numbers, with the end mark.
 
-    No piece of the pattern runs across a single blank between other characters, so texts without two blanks in a row are encoded word
-    by word, from a bounded memory of words.
+    A text is encoded in one call: a memory of words costs more than it saves where many words occur once.
     """
 
     def __init__(self, vocabulary: bytes):
@@ -67,23 +68,19 @@ class Encoder:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def piece(self, word: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(word), "<u2").tobytes()
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        self.known[word] = ids
-        return ids
+        self.end = END_MARK.to_bytes(2, "little")
 
     def __call__(self, text: str) -> bytes:
-        end = END_MARK.to_bytes(2, "little")
-        if "  " in text or not text:
-            return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes() + end
-        first, *rest = text.split(" ")
-        known, piece = self.known, self.piece
-        head = np.array(self.encoding.encode_ordinary(first), "<u2").tobytes()
-        return head + b"".join([known.get(w) or piece(w) for w in [" " + r for r in rest]]) + end
+        ids = array("H", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes() + self.end
+
+
+@lru_cache(maxsize=1)
+def encoder(vocabulary: bytes) -> Encoder:
+    """The encoder of a vocabulary, read once by a worker however many tasks it runs."""
+    return Encoder(vocabulary)
 
 
 TOKEN_SCHEMA = "task int, start bigint, doc_id bigint, n int, tokens binary"
@@ -93,7 +90,7 @@ def tokenize(vocabulary: bytes):
     """``doc_id, text`` to ids, with the tokens that went before in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start, task = Encoder(vocabulary), 0, TaskContext.get().partitionId()
+        encode, start, task = encoder(vocabulary), 0, TaskContext.get().partitionId()
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)

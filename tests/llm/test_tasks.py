@@ -334,6 +334,27 @@ def test_token_shards_round_trip(spark, docs, pairs, empty, tmp_path):
     assert token_shards.materialize(empty, str(tmp_path / "none")).count() == 0
 
 
+def test_texts_are_encoded_whole_by_one_encoder_of_a_worker(monkeypatch):
+    vocabulary = open(token_shards.TOKENIZER, "rb").read()
+    encoder = token_shards.encoder(vocabulary)
+    assert token_shards.encoder(bytes(bytearray(vocabulary))) is encoder
+    odd = ["a\n \nb", "a  b", " \n\n\n x", "one\ntwo  three\r\n", "don't 's \u3000 9\u00a0z", ""]
+    for text in odd:
+        ids = np.frombuffer(encoder(text), "<u2").tolist()
+        assert ids == [*encoder.encoding.encode_ordinary(text), token_shards.END_MARK]
+        assert encoder.encoding.decode(ids[:-1]) == text
+    calls = []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return [len(calls)]
+
+    monkeypatch.setattr(encoder, "encoding", Counted())
+    assert np.frombuffer(encoder("a text of words"), "<u2").tolist() == [1, token_shards.END_MARK]
+    assert calls == ["a text of words"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
