@@ -1,6 +1,8 @@
 """What the document operators share: splitting text, naming rows, intermediate tables, running totals."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
+# Rows of an Arrow batch that holds texts, or a number for each of their words.
+TEXT_ROWS = 1_000
+
 # A table of at most so many rows may be broadcast; it is counted first.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,11 +48,31 @@ def fresh(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written to the shared folder and read from there: computed once, its size known, its lineage cut."""
-    folder = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(folder, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def stored(df: DataFrame, purpose: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read from there: computed once, its size known, its lineage cut.
+
+    ``rows``: Arrow batches have at most so many while it is written. Batches of whole texts are held by the JVM and by Python at once.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, purpose)
+    with arrow_rows(spark, rows):
+        df.write.parquet(folder, compression=compression)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows; the session's own limit holds if it is less, and again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows is None or 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlake.llm.anchors import list_parts
-from examlake.llm.common import ascii_lower, blank_words, fresh, full_text, small, stored, text_key
+from examlake.llm.common import TEXT_ROWS, ascii_lower, blank_words, fresh, full_text, small, stored, text_key
 
 SHINGLE, MOST_BITS = 3, 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
-BLOCK = 2048  # fingerprints compared with as many others at once
+BLOCK = 512  # fingerprints compared with as many others at once
 DEFER = 50_000  # larger groups are cut into pairs of parts, compared by tasks of their own
-HASHES = 1 << 18  # shingle hashes whose bits are counted at once
+HASHES = 1 << 15  # shingle hashes whose bits are counted at once, some 10 MB
 
 
 def shingle_hashes(text: Column, n: int = SHINGLE) -> tuple[Column, Column]:
@@ -39,13 +39,14 @@ def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, offsets = list_parts(batch.column(2))
         total = np.diff(offsets)
         ones = np.zeros((len(total), 64), np.int64)
-        owner = np.repeat(np.arange(len(total)), total)
-        for begin in range(0, len(owner), HASHES):
-            part = values[offsets[0] + begin : offsets[0] + begin + HASHES]
-            own = owner[begin : begin + HASHES]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        for begin in range(int(offsets[0]), int(offsets[-1]), HASHES):
+            end = min(begin + HASHES, int(offsets[-1]))
+            # Texts with hashes in this piece, and where each begins in it.
+            low, high = np.searchsorted(offsets, begin, "right") - 1, np.searchsorted(offsets, end, "left")
+            own = low + np.flatnonzero(total[low:high])
+            first = np.maximum(offsets[own], begin) - begin
+            bits = np.unpackbits(values[begin:end].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[own] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         set_ = (2 * ones > total[:, None]).astype(np.uint8)
         prints = np.packbits(set_, axis=1, bitorder="little").view(np.int64).ravel()
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "text_key", "print"])
@@ -255,7 +256,7 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     hashes counted in pieces; repeated rows are reported each; an empty table gives no rows; of other columns none is read. Texts are linked if their fingerprints differ in ``most`` bits or fewer; the component's id is the smallest doc_id in it (null only
     if all are). Texts of one fingerprint are one node, so copies cost a row each and no pairs.
     """
-    prints = stored(fingerprints(docs), "simhash-prints")
+    prints = stored(fingerprints(docs), "simhash-prints", rows=TEXT_ROWS)
     distinct = prints.groupBy("print").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(distinct, most))
     rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "least_id")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from examlake.llm.common import full_text, small, stored
+from examlake.llm.common import TEXT_ROWS, full_text, small, stored
 from examlake.session import shared_folder
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -210,7 +210,7 @@ def materialize(
     with open(tokenizer, "rb") as f:
         vocabulary = f.read()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), full_text().alias("text"))
-    tokens = stored(texts.mapInArrow(tokenize(vocabulary), TOKEN_SCHEMA), "tokens", "zstd")
+    tokens = stored(texts.mapInArrow(tokenize(vocabulary), TOKEN_SCHEMA), "tokens", "zstd", rows=TEXT_ROWS)
     # One row per task of the step before.
     sums = tokens.groupBy("task").agg(F.sum("n").alias("sum"))
     before = F.sum("sum").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -223,7 +223,7 @@ def materialize(
     cut = rows.mapInArrow(pieces(length, max(count, 1), per_shard, tasks, key), "part int, slot bigint, at int, doc_id bigint, tokens binary")
     dealt = cut.repartitionById(tasks, F.col("part")).sortWithinPartitions("slot", "at")
     _make_folder(folder)
-    return stored(dealt.mapInArrow(write_shards(folder, length, per_shard), MANIFEST), "token-manifest").orderBy("slot")
+    return stored(dealt.mapInArrow(write_shards(folder, length, per_shard), MANIFEST), "token-manifest", rows=TEXT_ROWS).orderBy("slot")
 
 
 def _make_folder(folder: str) -> None:

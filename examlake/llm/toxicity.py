@@ -31,7 +31,6 @@ LEAST_TEXTS = 3  # training texts a word must stand in to get an embedding
 UPDATES, FOLDS, FOLD_UPDATES = 900, 3, 600
 SEED = 29
 STEP_TOKENS = 1 << 17  # tokens scored at once
-STEP_ROWS = 1_000  # rows scored, and filtered, at once
 
 
 def word_codes(text: Column) -> Column:
@@ -328,16 +327,16 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected ones, in one pass over the rows; all columns stay."""
+    """``docs`` without the rejected ones, in one pass over the rows; all columns stay.
+
+    Only the numbers of the words go to Python and only scores come back: the rows stay in the JVM.
+    """
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, STEP_ROWS) for b in batches for i in range(0, b.num_rows, STEP_ROWS)):
-            values, offsets = list_parts(batch.column(len(names)))
-            keep = shared.value.score(values.view(np.int64), offsets) < batch.column(len(names) + 1).to_numpy()
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(keep))
+    @F.arrow_udf("double")
+    def score(codes: pa.Array) -> pa.Array:
+        values, offsets = list_parts(codes)
+        return pa.array(shared.value.score(values.view(np.int64), offsets).astype(np.float64))
 
-    rows = docs.select("*", word_codes(full_text()).alias(fresh("codes")), lang_threshold(model).alias(fresh("limit")))
-    return rows.mapInArrow(run, docs.schema)
+    return docs.filter(score(word_codes(full_text())) < lang_threshold(model))

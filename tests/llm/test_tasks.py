@@ -1,6 +1,7 @@
 """Substring, byte and near dedup, toxicity, token shards and the pipeline against plain versions."""
 
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from examlake.llm import anchors, simhash_golay, substring_dedup, suffix_array, token_shards, toxicity
+from examlake.llm.common import stored
 
 
 def test_substring_dedup_equals_brute_force(docs, pairs, empty):
@@ -307,6 +309,51 @@ def test_scores_do_not_depend_on_batches(monkeypatch):
         assert np.allclose(whole[i], own[0], atol=1e-5)
 
 
+def numpy_peak(work) -> float:
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_fingerprints_and_links_need_little_memory_besides_their_batch(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 0, 5, 400_000, 0, 1, 90_000, 70_000, 0])
+    values = rng.integers(-(1 << 62), 1 << 62, int(sizes.sum()))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(9)), pa.array(np.arange(9)), lists], ["doc_id", "text_key", "hashes"])
+    out = []
+    assert numpy_peak(lambda: out.extend(simhash_golay.majority(iter([batch, batch.slice(2, 5)])))) < 16
+    want = []
+    for own in np.split(values, np.cumsum(sizes)[:-1]):
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        want.append(int(np.packbits(2 * bits > len(own), bitorder="little").view(np.int64)[0]))
+    assert [b.column(2).to_pylist() for b in out] == [want, want[2:7]]
+    prints = np.sort(rng.integers(0, 1 << 62, 2_500))
+    assert numpy_peak(lambda: simhash_golay.near_links(prints, np.array([0]), np.array([2_500]), 3)) < 16
+
+
+def test_texts_do_not_go_to_python_to_be_dropped(spark, docs):
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    kept = toxicity.drop_toxic(docs, labels)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
+def test_batches_are_small_while_texts_are_stored(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    rows = spark.range(0, 2_500, 1, 1).mapInArrow(sizes, "n bigint")
+    assert sorted(r["n"] for r in stored(rows, "sizes", rows=1_000).collect()) == [500, 1_000, 1_000]
+    assert [r["n"] for r in stored(rows, "sizes").collect()] == [2_500] and spark.conf.get(name) == before
+
+
 def test_slots_are_a_permutation():
     for total in (1, 2, 3, 17, 1000, 4097):
         found = token_shards.slots(np.arange(total), total)
