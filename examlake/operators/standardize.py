@@ -51,24 +51,23 @@ def standardize(df: DataFrame, year: int | Column, carry: tuple[str, ...] = ())
             (scores if target in SCORES else whole)[target] = F.col(f"`{source}`").cast("string")
         else:
             plain[target] = coerce(F.col(f"`{source}`"), kind)
-    age = list(whole).index("NU_IDADE") if "NU_IDADE" in whole else -1
-    integers = F.transform(numbers_of(whole), lambda x: F.rint(x).try_cast("bigint"))
-    integers = F.transform(integers, lambda x, i: F.when((i != age) | x.between(AGE_MIN, AGE_MAX), x))
-    doubles = F.transform(numbers_of(scores), lambda x: within(x, SCORE_MIN, SCORE_MAX))
+    # One parser for all numbers of a kind keeps the code of a row small; all else is left out of the functions of array
+    # elements, as Spark generates no code for what is inside of one.
+    texts = [c.alias(n) for n, c in plain.items()]
     default_year = year if isinstance(year, Column) else F.lit(year)
-
-    def row(parsed: Column) -> Column:
-        values = {n: F.get(parsed["whole"], i) for i, n in enumerate(whole)}
-        values |= {n: F.get(parsed["scores"], i) for i, n in enumerate(scores)}
-        values |= plain
-        values["ANO"] = F.coalesce(values["ANO"], default_year).cast("int")
-        return F.struct(*[values[n].alias(n) for n in CANONICAL_COLUMNS])
-
-    # One parser for all numbers keeps the code of a row small enough to be compiled, and the row of a generator is made
-    # once: filters on its columns are not pushed below it, where each would parse its numbers again.
-    parsed = F.array(F.struct(integers.alias("whole"), doubles.alias("scores")))
-    made = df.select(*carry, F.inline(F.transform(parsed, row)))
-    return made.select(*CANONICAL_COLUMNS, *carry)
+    numbers = [numbers_of(whole).alias("_whole"), numbers_of(scores).alias("_scores")]
+    made = df.select(*carry, *texts, *numbers, default_year.alias("_year"))
+    values = {n: F.col(n) for n in plain}
+    values |= {n: F.rint(F.get("_whole", F.lit(i))).try_cast("bigint") for i, n in enumerate(whole)}
+    values |= {n: F.get("_scores", F.lit(i)) for i, n in enumerate(scores)}
+    values["ANO"] = F.coalesce(values["ANO"], F.col("_year")).cast("int")
+    made = made.select(*carry, *[values[n].alias(n) for n in CANONICAL_COLUMNS])
+    # The row of a generator is made once: filters on its columns are not pushed below it, where each would parse its
+    # numbers again.
+    limits = {"NU_IDADE": (AGE_MIN, AGE_MAX)} | {s: (SCORE_MIN, SCORE_MAX) for s in SCORES}
+    checked = [within(F.col(n), *limits[n]) if n in limits else F.col(n) for n in CANONICAL_COLUMNS]
+    row = F.struct(*[c.alias(n) for n, c in zip(CANONICAL_COLUMNS, checked)])
+    return made.select(*carry, F.inline(F.array(row))).select(*CANONICAL_COLUMNS, *carry)
 
 
 def numbers_of(texts: dict[str, Column]) -> Column:

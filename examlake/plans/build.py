@@ -56,7 +56,8 @@ def raw_to_silver(
     for paths in layouts.values():
         raw = read_delimited(spark, paths, encoding=encoding, position=True)
         validate_required(raw, required, sorted(years))
-        parts.append(standardize(raw, file_year, carry=(POSITION,)).withColumn("ANO", file_year))
+        # The year of the file replaces the year of the row, so none has to be filled in.
+        parts.append(standardize(raw, F.lit(None).cast("int"), carry=(POSITION,)).withColumn("ANO", file_year))
     lake.write(reduce(DataFrame.unionByName, parts), "silver", years=years)
 
 

@@ -209,6 +209,7 @@ def year_files(spark: SparkSession, root: str, year: int, main: str = MAIN, resu
 def year_from_path(path: Column | None = None) -> Column:
     """Year written in a file's name (or the name of its folder of parts), else in its folders."""
     path = F.col("_metadata.file_path") if path is None else path
-    name = F.regexp_extract(path, r"(?i)([^/]*\.csv)(?:/[^/]*)?$", 1)
+    # Only the last two names can match; on a whole path the pattern would be tried at every character.
+    name = F.regexp_extract(F.substring_index(path, "/", -2), r"(?i)([^/]*\.csv)(?:/[^/]*)?$", 1)
     found = [F.regexp_extract(text, YEAR_IN_PATH, 1).try_cast("int") for text in (name, F.substring_index(path, "/", -1), path)]
     return F.coalesce(*found)

@@ -40,6 +40,15 @@ def test_aliases_ranges_and_default_year(spark):
     assert {r.ANO for r in rows} == {2010}
 
 
+def test_the_row_of_the_generator_is_made_of_finished_columns(spark):
+    df = spark.createDataFrame([("1", "700,2", " 18 "), ("2", "1010", "7"), ("3", "x", "2,5e1")], "INSCRICAO string, NT_MT string, IDADE string")
+    found = standardize.standardize(df, 2010).filter("NOTA_MATEMATICA > 1 OR NU_IDADE > 1")
+    assert [(r.NOTA_MATEMATICA, r.NU_IDADE) for r in found.orderBy("ID_INSCRICAO").collect()] == [(700.2, 18), (None, 25)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    made = next(line for line in plan.splitlines() if "Generate inline" in line)
+    assert "lambda" not in made and "regexp_extract" not in made and "trim" not in made
+
+
 def test_alias_order_prefers_first_name(spark):
     df = spark.createDataFrame([("a", "b")], "NU_INSCRICAO string, NU_SEQUENCIAL string")
     assert standardize.standardize(df, 2010).first().ID_INSCRICAO == "b"
